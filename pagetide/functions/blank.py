@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,3 +48,8 @@ def ratio(part: Column, whole: Column, digits: int | None = 4) -> Column:
     """part / max(whole, 1), rounded at the output edge."""
     value = part.cast("double") / F.greatest(whole, F.lit(1))
     return value if digits is None else F.round(value, digits)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once per row, however often `body` mentions it."""
+    return F.get(F.transform(F.array(value), body), 0)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagetide.functions.blank import is_blank
+from pagetide.functions.blank import is_blank, let
 
 # ---- Fixed values
 CURRENCY_MARKERS = (
@@ -60,41 +60,58 @@ def detect_currency(text: Column) -> Column:
     return chain.otherwise("")
 
 
+def _period(text: Column) -> Column:
+    """F05 on a cleaned text."""
+
+    def rules(t: Column) -> Column:
+        unit = F.when(t.rlike(r"\b(seat|user|member)\b"), F.when(t.contains("seat"), "seat").otherwise("user"))
+        per = F.coalesce(F.concat(F.lit("per "), unit, F.lit("/")), F.lit("per "))
+        return (
+            F.when(t.rlike(r"per\s+seat(\s*/\s*|\s+per\s+)month"), "per seat/month")
+            .when(t.rlike(r"per\s+user(\s*/\s*|\s+per\s+)month"), "per user/month")
+            .when(t.rlike(MONTHLY), F.concat(per, F.lit("month")))
+            .when(t.rlike(YEARLY), F.concat(per, F.lit("year")))
+            .otherwise("")
+        )
+
+    return let(F.lower(text), rules)
+
+
 def normalize_billing_period(text: Column) -> Column:
     """'per month', 'per seat/year', ... or ''."""
-    t = F.lower(clean_text(text))
-    unit = F.when(t.rlike(r"\b(seat|user|member)\b"), F.when(t.contains("seat"), "seat").otherwise("user"))
-
-    def phrase(period: str) -> Column:
-        return F.coalesce(F.concat(F.lit("per "), unit, F.lit("/" + period)), F.lit("per " + period))
-
-    return (
-        F.when(t.rlike(r"per\s+seat(\s*/\s*|\s+per\s+)month"), "per seat/month")
-        .when(t.rlike(r"per\s+user(\s*/\s*|\s+per\s+)month"), "per user/month")
-        .when(t.rlike(MONTHLY), phrase("month"))
-        .when(t.rlike(YEARLY), phrase("year"))
-        .otherwise("")
-    )
+    return _period(clean_text(text))
+
+
+def _price_parts(text: Column) -> Column:
+    def parts(t: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_extract(t, PRICE_AMOUNT, 1), "[, ]", "")
+        tidy = F.regexp_replace(digits, r"(\.\d*?)0+$|\.$", "$1")
+        return F.struct(
+            detect_currency(t).alias("currency"),
+            F.when(t.rlike(PRICE_AMOUNT), F.regexp_replace(tidy, r"\.$", "")).alias("amount"),
+            _period(t).alias("period"),
+            t.alias("stripped"),
+        )
+
+    return let(F.regexp_replace(text, PRICE_LEAD, ""), parts)
 
 
 def price_parts(text: Column) -> Column:
-    """STRUCT<currency, amount, period>; amount is NULL when the text has no number."""
-    t = F.regexp_replace(clean_text(text), PRICE_LEAD, "")
-    digits = F.regexp_replace(F.regexp_extract(t, PRICE_AMOUNT, 1), "[, ]", "")
-    amount = F.when(digits.contains("."), F.regexp_replace(digits, r"\.?0+$", "")).otherwise(digits)
-    return F.struct(
-        detect_currency(t).alias("currency"),
-        F.when(digits != "", amount).alias("amount"),
-        normalize_billing_period(t).alias("period"),
-        t.alias("stripped"),
-    )
+    """STRUCT<currency, amount, period, stripped>; amount is NULL when the text has no number."""
+    return _price_parts(clean_text(text))
+
+
+def _price(text: Column) -> Column:
+    def joined(p: Column) -> Column:
+        filled = F.filter(F.array(p["currency"], p["amount"], p["period"]), lambda x: x != "")
+        return F.when(p["amount"].isNull(), p["stripped"]).otherwise(F.array_join(filled, " "))
+
+    return let(_price_parts(text), joined)
 
 
 def normalize_price(text: Column) -> Column:
     """'USD 29.99 per month'; a text without a number is returned stripped."""
-    p = price_parts(text)
-    filled = F.filter(F.array(p["currency"], p["amount"], p["period"]), lambda x: x != "")
-    return F.when(p["amount"].isNull(), p["stripped"]).otherwise(F.array_join(filled, " "))
+    return _price(clean_text(text))
 
 
 def price_amount(text: Column) -> Column:
@@ -113,77 +130,76 @@ def _full_year(year: Column) -> Column:
     return widened.cast("string")
 
 
-def normalize_date(text: Column) -> Column:
-    """ISO date of the first recognised form; an unrecognised or impossible date stays text."""
-    t = clean_text(text)
+def _date(text: Column) -> Column:
+    """F04 on a cleaned text."""
     months = F.create_map(*[F.lit(x) for pair in _month_numbers().items() for x in pair])
 
     def month_of(name: Column) -> Column:
         return F.element_at(months, F.lower(name)).cast("string")
 
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(t, pattern, group)
-
-    dmy_month, mdy_month = month_of(part(DAY_MONTH_YEAR, 2)), month_of(part(MONTH_DAY_YEAR, 1))
-    return F.coalesce(
-        F.when(t.rlike(ISO_DATE), F.coalesce(_valid_date(*[part(ISO_DATE, g) for g in (1, 2, 3)]), t)),
-        F.when(
-            dmy_month.isNotNull(),
-            F.coalesce(
-                _valid_date(_full_year(part(DAY_MONTH_YEAR, 3)), dmy_month, part(DAY_MONTH_YEAR, 1)), t
-            ),
-        ),
-        F.when(
-            mdy_month.isNotNull(),
-            F.coalesce(
-                _valid_date(_full_year(part(MONTH_DAY_YEAR, 3)), mdy_month, part(MONTH_DAY_YEAR, 2)), t
-            ),
-        ),
-        t,
-    )
+    def rules(t: Column) -> Column:
+        def part(pattern: str, group: int) -> Column:
+            return F.regexp_extract(t, pattern, group)
 
+        dmy, mdy = month_of(part(DAY_MONTH_YEAR, 2)), month_of(part(MONTH_DAY_YEAR, 1))
+        return (
+            F.when(t.rlike(ISO_DATE), _valid_date(*[part(ISO_DATE, g) for g in (1, 2, 3)]))
+            .when(dmy.isNotNull(), _valid_date(_full_year(part(DAY_MONTH_YEAR, 3)), dmy, part(DAY_MONTH_YEAR, 1)))
+            .when(mdy.isNotNull(), _valid_date(_full_year(part(MONTH_DAY_YEAR, 3)), mdy, part(MONTH_DAY_YEAR, 2)))
+        )
 
-def normalize_availability(text: Column) -> Column:
-    """out_of_stock, in_stock or preorder; other texts unchanged."""
-    t = clean_text(text)
-    low = F.lower(t)
-    return (
-        F.when(low.rlike(OUT_OF_STOCK), "out_of_stock")
+    return let(text, lambda t: F.coalesce(rules(t), t))
+
+
+def normalize_date(text: Column) -> Column:
+    """ISO date of the first recognised form; an unrecognised or impossible date stays text."""
+    return _date(clean_text(text))
+
+
+def _availability(text: Column) -> Column:
+    """F06 on a cleaned text."""
+    return let(
+        F.lower(text),
+        lambda low: F.when(low.rlike(OUT_OF_STOCK), "out_of_stock")
         .when(low.rlike(IN_STOCK), "in_stock")
         .when(low.rlike(PREORDER), "preorder")
-        .otherwise(t)
+        .otherwise(text),
     )
 
 
+def normalize_availability(text: Column) -> Column:
+    """out_of_stock, in_stock or preorder; other texts unchanged."""
+    return _availability(clean_text(text))
+
+
+def _salary(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, r"\s*/\s*", "/"), r"\s*[-~至到]\s*", "-")
+
+
 def normalize_salary(text: Column) -> Column:
     """no spaces around '/', one '-' as range separator."""
-    tidy = F.regexp_replace(clean_text(text), r"\s*/\s*", "/")
-    return F.regexp_replace(tidy, r"\s*[-~至到]\s*", "-")
-
-
-def _normalize_scalar(name: Column, text: Column) -> Column:
-    t = clean_text(text)
-    return (
-        F.when(name.isin(*PRICE_FIELDS) | name.endswith("_price"), normalize_price(t))
-        .when(name.isin(*DATE_FIELDS) | name.endswith("_date"), normalize_date(t))
-        .when(name.isin(*PERIOD_FIELDS), normalize_billing_period(t))
-        .when(name.isin(*AVAILABILITY_FIELDS), normalize_availability(t))
-        .when(name.isin(*SALARY_FIELDS), normalize_salary(t))
-        .otherwise(t)
-    )
+    return _salary(clean_text(text))
 
 
 def normalize_field_value(field: Column, value: Column) -> Column:
     """normalise by field name; JSON lists element-wise, JSON objects and blanks untouched."""
     name = F.lower(F.trim(field))
-    items = F.from_json(F.when(value.startswith("["), value), "ARRAY<STRING>")
-    return (
-        F.when(is_blank(value) | value.startswith("{"), value)
-        .when(
-            items.isNotNull(),
-            F.to_json(F.transform(items, lambda v: _normalize_scalar(name, v))),
+
+    def scalar(t: Column) -> Column:
+        return (
+            F.when(name.isin(*PRICE_FIELDS) | name.endswith("_price"), _price(t))
+            .when(name.isin(*DATE_FIELDS) | name.endswith("_date"), _date(t))
+            .when(name.isin(*PERIOD_FIELDS), _period(t))
+            .when(name.isin(*AVAILABILITY_FIELDS), _availability(t))
+            .when(name.isin(*SALARY_FIELDS), _salary(t))
+            .otherwise(t)
         )
-        .otherwise(_normalize_scalar(name, value))
+
+    # A scalar is a list of one, so that the rules appear once in the plan.
+    items = F.from_json(F.when(value.startswith("["), value), "ARRAY<STRING>")
+    done = F.transform(F.coalesce(items, F.array(value)), lambda v: scalar(clean_text(v)))
+    return F.when(is_blank(value) | value.startswith("{"), value).otherwise(
+        let(done, lambda d: F.when(items.isNotNull(), F.to_json(d)).otherwise(F.get(d, 0)))
     )
 
 

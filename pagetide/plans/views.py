@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagetide.operators.layout import spread
+
 AS_OF = "2024-01-25 12:00:00"
 
 ERRORS = (
@@ -21,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are expensive to process; small files are spread over the cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp")
 
@@ -95,7 +102,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
             (k % 4).alias("proxy_pool_size"),
         ).alias("_execution_context"),
     )
-    events = table(spark, sf_dir, "events").withColumn("k", _k()).withColumn(
+    events = wide_table(spark, sf_dir, "events").withColumn("k", _k()).withColumn(
         "status",
         F.when(F.col("event_type") == "error", "failed")
         .when(F.col("event_type") == "view", "queued")
@@ -315,3 +322,73 @@ def proxy_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_type") != "error").alias("success"),
         F.col("ts").alias("used_at"),
     )
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide_table(spark, sf_dir, "pages")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as extraction text."""
+    return wide_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("page_id"), F.concat(F.lit("https://"), "source", F.lit(".example.com/doc/"), "doc_id").alias("url"), "text", "lang"
+    )
+
+
+def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A product page per part, with its facts in one of five kinds of metadata."""
+    key, price = F.col("p_partkey"), F.col("p_retailprice").cast("string")
+    offer = F.struct(
+        F.lit("Offer").alias("@type"), price.alias("price"), F.lit("USD").alias("priceCurrency"),
+        F.lit("https://schema.org/InStock").alias("availability"),
+    )
+    linked = F.struct(
+        F.lit("Product").alias("@type"), F.col("p_name").alias("name"),
+        F.struct(F.lit("Brand").alias("@type"), F.col("p_brand").alias("name")).alias("brand"), offer.alias("offers"),
+    )
+    plain = F.struct(
+        F.col("p_name").alias("productName"), F.col("p_brand").alias("brand"), price.alias("currentPrice"),
+        F.lit("USD").alias("currency"), F.lit("InStock").alias("availability"),
+        F.concat(F.lit("S"), key).alias("sku"),
+    )
+    nested = F.to_json(F.struct(F.struct(plain.alias("product")).alias("props")))
+
+    def glued(*parts) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    def prop(name: str, value: Column) -> Column:
+        return glued(f'<span itemprop="{name}" content="', value, '"></span>')
+
+    def meta(name: str, value: Column) -> Column:
+        return glued(f'<meta property="{name}" content="', value, '">')
+
+    facts = (
+        F.when(key % 5 == 0, glued('<script type="application/ld+json">', F.to_json(linked), "</script>"))
+        .when(key % 5 == 1, glued('<script id="__NEXT_DATA__" type="application/json">', nested, "</script>"))
+        .when(key % 5 == 2, glued("<script>window.__PRODUCT_DATA__ = ", nested, "; go();</script>"))
+        .when(
+            key % 5 == 3,
+            F.concat(
+                prop("name", F.col("p_name")), prop("price", price), prop("priceCurrency", F.lit("USD")),
+                prop("brand", F.col("p_brand")), prop("availability", F.lit("InStock")),
+            ),
+        )
+        .otherwise(
+            F.concat(
+                meta("og:title", F.col("p_name")), meta("product:price:amount", price),
+                meta("product:price:currency", F.lit("USD")), meta("product:brand", F.col("p_brand")),
+                meta("product:availability", F.lit("InStock")),
+            )
+        )
+    )
+    body = glued(
+        '<nav>All parts</nav><div style="display:none">secret</div><!-- note --><h1>', F.col("p_name"),
+        "</h1><p>", F.col("p_brand"), " ", F.col("p_type"), '<p>Made to order.<ul><li>size ', F.col("p_size"),
+        "</ul><table><tr><td>Size<td>", F.col("p_size"), '</table><div class="sidebar">more</div>',
+    )
+    return wide_table(spark, sf_dir, "part").select(
+        key.alias("page_id"),
+        glued("https://shop", key % 7, ".example.com/product/", key).alias("url"),
+        glued("<html><head>", facts, "</head><body>", body, "</body></html>").alias("html"),
+        F.array(*[F.lit(f) for f in ("name", "price", "brand", "availability")]).alias("selected_fields"),
+    )
