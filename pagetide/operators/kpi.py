@@ -644,7 +644,6 @@ def evaluation_report(records: DataFrame, *keys: str) -> DataFrame:
         n_if(F.col("fetch_success")).alias("fetched"),
         n_if(F.col("content_ready")).alias("ready"),
         n_if(F.col("success")).alias("ok"),
-        n_if(F.col("success") & F.col("fetch_success")).alias("ok_fetched"),
         n_if(F.col("llm_used")).alias("model"),
         n_if(F.col("llm_used") & F.col("success")).alias("model_ok"),
         F.avg(F.when(F.col("success"), F.col("field_valid_rate"))).alias("valid"),
@@ -654,13 +653,19 @@ def evaluation_report(records: DataFrame, *keys: str) -> DataFrame:
         *keys, F.col("n").alias("samples"),
         ratio(F.col("fetched"), F.col("n")).alias("fetch_success_rate"),
         ratio(F.col("ready"), F.col("fetched")).alias("content_ready_rate"),
-        ratio(F.col("ok_fetched"), F.col("fetched")).alias("extraction_success_on_fetched_pages"),
+        ratio(F.col("ok"), F.col("fetched")).alias("extraction_success_on_fetched_pages"),
         ratio(F.col("model_ok"), F.col("model")).alias("llm_success_rate"),
         F.round(F.coalesce("valid", F.lit(0.0)), 4).alias("field_valid_rate_on_success"),
         F.round(F.coalesce("latency", F.lit(0.0)), 2).alias("avg_latency"),
     )
 
 
+def evaluation_failures(records: DataFrame) -> DataFrame:
+    """Unsuccessful records by reason."""
+    reason = F.coalesce(F.when(F.col("failure_reason") != "", F.col("failure_reason")), F.lit("unknown"))
+    return records.where(~F.col("success")).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
 def slowest_samples(records: DataFrame, n: int = 10) -> DataFrame:
     """K07."""
     return records.orderBy(F.desc("elapsed_ms"), "url").limit(n)

@@ -77,3 +77,30 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     """First n rows per key; Spark limits each group before the shuffle, so hot keys are cheap."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def position_in_key(
+    df: DataFrame, keys: Sequence[str], order: str, into: str, span: int = DEFAULT_SPAN
+) -> DataFrame:
+    """Add the 1-based position of a row within its key.
+
+    As in `previous_where`, rows are numbered inside spans of the order axis and shifted by the
+    row counts of the spans before, so that no task holds a whole key.
+    """
+    keys = list(keys)
+    cut = keys + ["_span"]
+    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("_span", F.floor(F.col(order) / F.lit(span))).withColumn(
+        "_local", F.row_number().over(Window.partitionBy(*cut).orderBy(order))
+    )
+    spans = (
+        rows.groupBy(*cut)
+        .agg(F.count("*").alias("_rows"))
+        .withColumn("_shift", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        .drop("_rows")
+    )
+    return (
+        rows.join(spans, cut)
+        .withColumn(into, F.col("_local") + F.col("_shift"))
+        .drop("_span", "_local", "_shift")
+    )

@@ -493,7 +493,7 @@ rec AS (SELECT 'https://site' || (user_id % 20) || '.example.com/p/' || event_id
 
 @query("evaluation_report", "WITH " + _EVAL + """ SELECT page_type, count(*) AS samples, round(count(*) FILTER (fetch_success) / count(*)::DOUBLE, 4) AS fetch_success_rate,
   round(count(*) FILTER (content_ready) / greatest(count(*) FILTER (fetch_success), 1)::DOUBLE, 4) AS content_ready_rate,
-  round(count(*) FILTER (success AND fetch_success) / greatest(count(*) FILTER (fetch_success), 1)::DOUBLE, 4) AS extraction_success_on_fetched_pages,
+  round(count(*) FILTER (success) / greatest(count(*) FILTER (fetch_success), 1)::DOUBLE, 4) AS extraction_success_on_fetched_pages,
   round(count(*) FILTER (llm_used AND success) / greatest(count(*) FILTER (llm_used), 1)::DOUBLE, 4) AS llm_success_rate,
   round(avg(valid) FILTER (success), 4) AS field_valid_rate_on_success, round(avg(elapsed_ms), 2) AS avg_latency FROM rec GROUP BY 1""")
 def evaluation_report(spark, sf):

@@ -102,7 +102,7 @@ monitors AS (SELECT key, 't' || (key % 5) AS tenant_id, 'mon' || key AS monitor_
 NOTIFICATIONS = EV + f""",
 notes AS (SELECT event_id AS notification_id, 't' || (user_id % 5) AS tenant_id, 'mon' || user_id AS monitor_id,
   'task-' || (event_id // 3) AS task_id, 'https://hook' || (user_id % 7) || '.example.com' AS target,
-  CASE WHEN k % 3 = 0 THEN 'monitor_digest' ELSE 'monitor_alert' END AS event_type,
+  CASE WHEN k % 3 = 0 THEN 'daily_digest' ELSE 'monitor_alert' END AS event_type,
   ['sent', 'failed', 'retry_pending', 'skipped'][k % 4 + 1] AS status, k % 3 + 1 AS attempt_no, 3 AS max_attempts,
   CASE WHEN k % 4 = 2 THEN ts + to_minutes(CAST(k AS BIGINT)) END AS next_retry_at, ts AS created_at,
   CASE WHEN k % 2 = 0 THEN 'auto' ELSE 'manual' END AS triggered_by,

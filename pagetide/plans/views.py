@@ -136,6 +136,7 @@ def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("tpl"), F.floor(ids / 5)).alias("template_id"),
         F.concat(F.lit("Template "), "c_mktsegment").alias("name"),
         F.lower("c_mktsegment").alias("page_type"),
+        F.concat(F.lit("https://site"), ids % 20, F.lit(".example.com/p/"), ids).alias("url"),
         (ids % 3).alias("use_count"),
         F.lit("2024-01-01 00:00:00").cast("timestamp").alias("updated_at"),
     )
@@ -254,7 +255,7 @@ def notification_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("task-"), F.floor(F.col("event_id") / 3)).alias("task_id"),
         F.lit("webhook").alias("channel_type"),
         F.concat(F.lit("https://hook"), user % 7, F.lit(".example.com")).alias("target"),
-        F.when(k % 3 == 0, "monitor_digest").otherwise("monitor_alert").alias("event_type"),
+        F.when(k % 3 == 0, "daily_digest").otherwise("monitor_alert").alias("event_type"),
         F.element_at(
             F.array(*[F.lit(s) for s in ("sent", "failed", "retry_pending", "skipped")]), k % 4 + 1
         ).alias("status"),
@@ -392,3 +393,51 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         glued("<html><head>", facts, "</head><body>", body, "</body></html>").alias("html"),
         F.array(*[F.lit(f) for f in ("name", "price", "brand", "availability")]).alias("selected_fields"),
     )
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A learned profile per part: 40 hosts, three path prefixes, four field plans."""
+    key = F.col("p_partkey")
+    plans_ = F.array(
+        F.array(F.lit("price"), F.lit("stock")), F.array(F.lit("name"), F.lit("price"), F.lit("brand")),
+        F.array(F.lit("title"), F.lit("content")), F.array(F.lit("stock"), F.lit("seller"), F.lit("rating"), F.lit("note")),
+    )
+    return table(spark, sf_dir, "part").select(
+        F.format_string("lp-%08d", key).alias("profile_id"),
+        F.concat(F.lit("site"), key % 40, F.lit(".example.com")).alias("domain"),
+        F.element_at(F.array(F.lit("/p"), F.concat(F.lit("/p/"), key % 150), F.lit("/")), (key % 3 + 1).cast("int")).alias("path_prefix"),
+        F.lit("product").alias("page_type"),
+        F.element_at(plans_, (F.floor(key / 7) % 4 + 1).cast("int")).alias("selected_fields"),
+        (key % 6).alias("llm_success_count"), (key % 11).alias("rule_success_count"), (key % 4).alias("rule_failure_count"),
+        (key % 9 / 8).alias("last_completeness"), (key % 10 != 0).alias("is_active"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(mins=(key % 1000).cast("int"))).alias("updated_at"),
+    )
+
+
+def profile_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    return table(spark, sf_dir, "events").withColumn("k", _k()).select(
+        F.col("event_id").alias("attempt_id"),
+        F.concat(F.lit("lp"), F.col("user_id") % 20).alias("profile_id"),
+        F.element_at(F.array(F.lit("rule"), F.lit("llm"), F.lit("fallback")), k % 3 + 1).alias("strategy"),
+        (F.col("event_type") != "error").alias("success"),
+        ((k % 9) / 8).alias("completeness"),
+        F.concat(F.lit("https://h/"), "user_id").alias("url"),
+        F.col("ts").alias("attempted_at"),
+    )
+
+
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A human annotation per labelled document, on the run with the same number."""
+    key = F.col("doc_id")
+    status = F.when(F.col("quality") == 1, "OK").when(F.col("toxic") == 1, "缺失").otherwise("wrong")
+    owners = table(spark, sf_dir, "events").select(F.col("event_id").alias("_run"), (F.col("user_id") % 5).alias("_t"))
+    labels = table(spark, sf_dir, "labels").withColumn("_run", key * 3).join(owners, "_run")
+    return labels.select(
+        F.col("doc_id").alias("annotation_id"), F.concat(F.lit("t"), "_t").alias("tenant_id"), F.concat(F.lit("task-"), key * 3).alias("task_id"),
+        F.concat(F.lit("tpl"), key % 9).alias("template_id"),
+        F.create_map(F.lit("price"), status, F.lit("stock"), F.lit("Right")).alias("field_feedback"),
+        F.when(key % 2 == 0, F.create_map(F.lit("price"), key.cast("string"))).otherwise(F.create_map().cast("map<string,string>")).alias("corrected"),
+        (key % 3 == 0).alias("apply_auto_repair"),
+        (F.lit("2024-02-01 00:00:00").cast("timestamp") + F.make_interval(mins=(key % 1000).cast("int"))).alias("created_at"),
+    )
