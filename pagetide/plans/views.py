@@ -42,6 +42,10 @@ def _when_text(condition: Column, text: Column) -> Column:
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run per event."""
+    return runs_of(wide_table(spark, sf_dir, "events"))
+
+
+def runs_of(events: DataFrame) -> DataFrame:
     k, user = F.col("k"), F.col("user_id")
     success, failed = F.col("status") == "success", F.col("status") == "failed"
     calls = F.when(k % 4 == 1, k % 3 + 1).otherwise(0)
@@ -102,7 +106,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
             (k % 4).alias("proxy_pool_size"),
         ).alias("_execution_context"),
     )
-    events = wide_table(spark, sf_dir, "events").withColumn("k", _k()).withColumn(
+    events = events.withColumn("k", _k()).withColumn(
         "status",
         F.when(F.col("event_type") == "error", "failed")
         .when(F.col("event_type") == "view", "queued")
@@ -247,8 +251,12 @@ def monitors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def notification_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One notification per event."""
+    return notification_events_of(table(spark, sf_dir, "events"))
+
+
+def notification_events_of(events: DataFrame) -> DataFrame:
     k, user = F.col("k"), F.col("user_id")
-    return table(spark, sf_dir, "events").withColumn("k", _k()).select(
+    return events.withColumn("k", _k()).select(
         F.col("event_id").alias("notification_id"),
         F.concat(F.lit("t"), user % 5).alias("tenant_id"),
         F.concat(F.lit("mon"), user).alias("monitor_id"),
