@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,62 +51,79 @@ def diff_maps(before: Column, after: Column, labels: Column) -> Column:
     """ARRAY<STRUCT<field, label, change_type, before, after, ...>>, sorted by field."""
     keys = F.array_sort(F.array_union(F.map_keys(before), F.map_keys(after)))
 
-    def entry(key: Column) -> Column:
-        old, new = F.element_at(before, key), F.element_at(after, key)
-        label = F.coalesce(F.element_at(labels, key), key)
-        kind = (
+    def values(key: Column) -> Column:
+        return F.struct(
+            key.alias("field"), F.coalesce(F.element_at(labels, key), key).alias("label"),
             F.when(~F.map_contains_key(before, key), "added")
             .when(~F.map_contains_key(after, key), "removed")
             .otherwise("updated")
+            .alias("change_type"),
+            F.element_at(before, key).alias("before"), F.element_at(after, key).alias("after"),
         )
-        shown_old, shown_new = display_value(old), display_value(new)
+
+    def shown(v: Column) -> Column:
         return F.struct(
-            key.alias("field"),
-            label.alias("label"),
-            kind.alias("change_type"),
-            old.alias("before"),
-            new.alias("after"),
-            shown_old.alias("before_text"),
-            shown_new.alias("after_text"),
-            F.when(kind == "added", F.concat(label, F.lit(" 新增为 "), shown_new))
-            .when(kind == "removed", F.concat(label, F.lit(" 已移除，之前为 "), shown_old))
-            .otherwise(F.concat(label, F.lit(" 从 "), shown_old, F.lit(" 变为 "), shown_new))
-            .alias("summary"),
-            (~canonical_text(old).eqNullSafe(canonical_text(new))).alias("differs"),
+            *[v[c].alias(c) for c in ("field", "label", "change_type", "before", "after")],
+            display_value(v["before"]).alias("before_text"), display_value(v["after"]).alias("after_text"),
+        )
+
+    def told(v: Column) -> Column:
+        label, old, new = v["label"], v["before_text"], v["after_text"]
+        return v.withField(
+            "summary",
+            F.when(v["change_type"] == "added", F.concat(label, F.lit(" 新增为 "), new))
+            .when(v["change_type"] == "removed", F.concat(label, F.lit(" 已移除，之前为 "), old))
+            .otherwise(F.concat(label, F.lit(" 从 "), old, F.lit(" 变为 "), new)),
         )
 
-    return F.filter(F.transform(keys, entry), lambda e: e["differs"])
+    pairs = F.transform(keys, values)
+    differing = F.filter(
+        pairs, lambda v: ~canonical_text(v["before"]).eqNullSafe(canonical_text(v["after"]))
+    )
+    return F.transform(F.transform(differing, shown), told)
+
+
+RUN_KEYS = ("tenant_id", "url", "run_id", "task_id", "status", "completed_at")
+
 
+def _snapshots(runs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Only what a comparison needs: the run keys, its field map and its labels.
 
-def with_previous_success(runs: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
-    """Add `previous`, the latest successful run of the same tenant and URL with a smaller id."""
-    snapshot = F.struct(
-        "run_id", "task_id", "completed_at",
-        payload_fields().alias("fields"), F.col("doc.field_labels").alias("labels"),
+    The raw payload and the parsed document stay behind, so the shuffle carries small rows.
+    """
+    empty = F.create_map().cast("map<string,string>")
+    return typed_runs(runs).select(
+        *RUN_KEYS, payload_fields().alias("fields"), F.coalesce("doc.field_labels", empty).alias("labels"), *keep
     )
+
+
+def _snapshot() -> Column:
+    return F.struct("run_id", "task_id", "completed_at", "fields", "labels")
+
+
+def with_previous_success(runs: DataFrame, span: int = DEFAULT_SPAN, keep: Sequence[str] = ()) -> DataFrame:
+    """Every run with `previous`, the latest successful run of its tenant and URL with a
+    smaller id.  `keep` names further columns of the typed run to carry along."""
     return previous_where(
-        typed_runs(runs), ["tenant_id", "url"], "run_id",
-        F.col("status") == "success", snapshot, "previous", span,
+        _snapshots(runs, keep), ["tenant_id", "url"], "run_id",
+        F.col("status") == "success", _snapshot(), "previous", span,
     )
 
 
-def compare_with_previous(runs: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
-    """Successful runs with `changes` against the previous success (NULL when there is none)."""
-    empty = F.create_map().cast("map<string,string>")
-    merged = F.map_zip_with(
-        F.coalesce("previous.labels", empty), F.coalesce("doc.field_labels", empty),
-        lambda k, old, new: F.coalesce(new, old),
-    )
+def compare_with_previous(runs: DataFrame, span: int = DEFAULT_SPAN, keep: Sequence[str] = ()) -> DataFrame:
+    """Successful runs with `changes` against the previous success (NULL when there is none).
+
+    Only successes are compared and only successes can be the earlier side, so the others are
+    dropped before the shuffle.
+    """
+    merged = F.map_zip_with("previous.labels", "labels", lambda k, old, new: F.coalesce(new, old))
+    rows = _snapshots(runs.where(F.col("status") == "success"), keep)
     return (
-        with_previous_success(runs, span)
-        .where(F.col("status") == "success")
+        previous_where(rows, ["tenant_id", "url"], "run_id", F.lit(True), _snapshot(), "previous", span)
         .withColumn("has_previous", F.col("previous").isNotNull())
         .withColumn(
             "changes",
-            F.when(
-                F.col("has_previous"),
-                diff_maps(F.col("previous.fields"), payload_fields(), merged),
-            ),
+            F.when(F.col("has_previous"), diff_maps(F.col("previous.fields"), F.col("fields"), merged)),
         )
         .withColumn("changed_count", F.greatest(F.size("changes"), F.lit(0)))
     )
@@ -116,7 +135,7 @@ def explode_changes(compared: DataFrame) -> DataFrame:
         "tenant_id", "url", "run_id", "task_id",
         F.col("previous.run_id").alias("previous_run_id"),
         F.explode("changes").alias("c"),
-    ).select("*", "c.*").drop("c", "differs")
+    ).select("*", "c.*").drop("c")
 
 
 def _labels_of(kind: str) -> Column:

@@ -33,6 +33,8 @@ PAGE_TYPE_POINTS, SCHEMA_POINTS = 5, 3
 DRAFT_INTERVAL_MINUTES = 180
 # ---- end of fixed values
 
+DRAFT_COLUMNS = ("doc", "entries", "schema_name")
+
 
 def scene_scores() -> Column:
     """ARRAY<STRUCT<score, order, scene>> for a typed run with `changed`."""
@@ -83,7 +85,7 @@ def existing_by_url(urls: DataFrame, templates: DataFrame, monitors: DataFrame)
 def growth_drafts(compared: DataFrame, runs: DataFrame, templates: DataFrame, monitors: DataFrame) -> DataFrame:
     """C14: template and monitor draft of every full success, with its history signals.
 
-    `compared` is the output of `compare_with_previous`.
+    `compared` is the output of `compare_with_previous(runs, keep=DRAFT_COLUMNS)`.
     """
     fields = F.coalesce("doc.selected_fields", F.array().cast("array<string>"))
     eligible = compared.where(

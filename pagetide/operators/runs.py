@@ -55,7 +55,13 @@ BOOKKEEPING_KEYS = (
 
 
 def typed_runs(runs: DataFrame) -> DataFrame:
-    """Parse `data_json` once into `doc` (struct) and `entries` (the field map as stored)."""
+    """Parse `data_json` once into `doc` (struct) and `entries` (the field map as stored).
+
+    A table that is already typed passes through, so the result can be stored and given to any
+    operator that takes runs.
+    """
+    if "doc" in runs.columns:
+        return runs
     doc = F.from_json("data_json", RUN_DOCUMENT)
     flat = F.from_json("data_json", "MAP<STRING,STRING>")
     return runs.withColumn("doc", doc).withColumn(

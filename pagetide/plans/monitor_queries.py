@@ -80,7 +80,7 @@ _ALERTS_SQL = S.with_(S.RUNS, S.MONITORS).rstrip() + _ALERTS
 
 
 def _alerts(spark, sf):
-    runs = V.runs(spark, sf)
+    runs = V.typed(spark, sf)
     compared = changes.compare_with_previous(runs).select(
         "run_id", F.coalesce("changes", F.array()).alias("changed_fields")
     )
@@ -325,8 +325,8 @@ SELECT r.tenant_id, r.profile_id, count(*) AS task_hits, count(*) FILTER (strate
   (SELECT count(*) FROM monitors m WHERE m.tenant_id = r.tenant_id AND m.last_learned_profile_id = r.profile_id) AS monitor_links
 FROM runs r LEFT JOIN ch USING (run_id) WHERE r.profile_id <> '' AND r.status <> 'queued' AND r.parent_task_id = '' GROUP BY 1, 2""")
 def profile_activity(spark, sf):
-    runs = V.runs(spark, sf)
-    return PR.profile_activity(R.typed_runs(runs), changes.compare_with_previous(runs), V.monitors(spark, sf))
+    runs = V.typed(spark, sf)
+    return PR.profile_activity(runs, changes.compare_with_previous(runs), V.monitors(spark, sf))
 
 
 @query("learned_profiles", S.with_(S.RUNS, """g AS (SELECT *, CASE WHEN profile_id <> '' THEN 'rule' ELSE strategy END AS st, 'site' || (user_id % 20) || '.example.com' AS host, '/p/' || user_id AS prefix,
@@ -334,7 +334,7 @@ def profile_activity(spark, sf):
 SELECT host AS domain, prefix AS path_prefix, count(*) FILTER (strategy = 'llm') AS llm_success_count, count(*) FILTER (strategy = 'rule') AS rule_success_count, arg_max(filled, run_id) / 4.0::DOUBLE AS last_completeness
 FROM g WHERE strategy <> 'fallback' AND filled >= 2 AND filled / 4.0 >= 0.6 GROUP BY 1, 2""")
 def learned_profiles(spark, sf):
-    results = R.typed_runs(V.runs(spark, sf)).where(F.col("status") == "success").select(
+    results = V.typed(spark, sf).where(F.col("status") == "success").select(
         F.col("run_id").alias("result_id"), "url", F.col("doc.page_type").alias("page_type"), F.col("doc.selected_fields").alias("selected_fields"),
         F.col("entries").alias("data"), F.col("doc.extraction_strategy").alias("strategy"), F.col("created_at").alias("finished_at"),
     )
@@ -349,7 +349,7 @@ _ANNOTATIONS = """an AS (SELECT l.doc_id AS annotation_id, r.tenant_id, r.task_i
 @query("feedback_rows", S.with_(S.RUNS, _ANNOTATIONS) + """SELECT annotation_id, tenant_id, domain AS site_domain, 'price' AS field_name, fs AS feedback_status, price AS original_value, CASE WHEN key % 2 = 0 THEN CAST(key AS VARCHAR) END AS corrected_value FROM an
 UNION ALL SELECT annotation_id, tenant_id, domain, 'stock', 'correct', stock, NULL FROM an""")
 def feedback_rows(spark, sf):
-    return PR.explode_feedback(V.annotations(spark, sf), R.typed_runs(V.runs(spark, sf))).select(
+    return PR.explode_feedback(V.annotations(spark, sf), V.typed(spark, sf)).select(
         "annotation_id", "tenant_id", "site_domain", "field_name", "feedback_status", "original_value", "corrected_value"
     )
 
@@ -357,7 +357,7 @@ def feedback_rows(spark, sf):
 @query("repair_suggestions", S.with_(S.RUNS, _ANNOTATIONS) + """SELECT annotation_id, CASE WHEN key % 2 = 0 THEN 'price' WHEN status = 'queued' THEN '' ELSE 'price,stock,rating,note' END AS suggested_fields,
   CASE WHEN key % 2 = 0 THEN '价格' WHEN status = 'queued' THEN '' ELSE '价格,stock,rating,note' END AS suggested_labels, CASE WHEN key % 3 = 0 THEN 'applied' ELSE 'suggested' END AS status FROM an""")
 def repair_suggestions(spark, sf):
-    return PR.repair_suggestions(V.annotations(spark, sf), R.typed_runs(V.runs(spark, sf))).select(
+    return PR.repair_suggestions(V.annotations(spark, sf), V.typed(spark, sf)).select(
         "annotation_id", F.array_join("suggested_fields", ",").alias("suggested_fields"), F.array_join("suggested_labels", ",").alias("suggested_labels"), "status"
     )
 
@@ -371,7 +371,7 @@ def repaired_profiles(spark, sf):
         "profile_id", F.array(F.lit("x")).alias("selected_fields"), F.lit("/").alias("path_prefix"), F.lit(5).alias("rule_failure_count"),
         F.lit(0.25).alias("last_completeness"), F.lit(False).alias("is_active"),
     )
-    suggestions = PR.repair_suggestions(V.annotations(spark, sf), R.typed_runs(V.runs(spark, sf)))
+    suggestions = PR.repair_suggestions(V.annotations(spark, sf), V.typed(spark, sf))
     return PR.apply_repairs(profiles, suggestions).select(
         "profile_id", "manual_annotation_count", "auto_repair_count", "rule_failure_count", "last_completeness", "is_active"
     )
@@ -386,24 +386,24 @@ tc AS (SELECT 't' || (c_custkey % 5) AS tenant_id, 'https://site' || (c_custkey
 SELECT p.run_id, 'product' AS scene, h.total_runs, p.prev_id IS NOT NULL AS has_previous, coalesce(cc.n, 0) AS changed_count, coalesce(tc.n, 0) AS existing_template_count, coalesce(tc.n, 0) AS existing_monitor_count
 FROM prev p JOIN h ON h.tenant_id = p.tenant_id AND h.url = p.url LEFT JOIN cc ON cc.run_id = p.run_id LEFT JOIN tc ON tc.tenant_id = p.tenant_id AND tc.url = p.url WHERE p.status = 'success' AND p.vstatus <> 'partial_success'""")
 def growth_drafts(spark, sf):
-    runs = V.runs(spark, sf)
+    runs = V.typed(spark, sf)
     return growth.growth_drafts(
-        changes.compare_with_previous(runs), runs, V.templates(spark, sf), V.monitors(spark, sf)
+        changes.compare_with_previous(runs, keep=growth.DRAFT_COLUMNS), runs, V.templates(spark, sf), V.monitors(spark, sf)
     ).select("run_id", "scene", "total_runs", "has_previous", "changed_count", "existing_template_count", "existing_monitor_count")
 
 
 @query("scene_scores", S.with_(S.RUNS) + """SELECT run_id, 'product' AS scene, CASE WHEN status = 'queued' THEN 3 ELSE 5 + 3 + 2 + 1 + 1 + CASE WHEN status = 'success' THEN 1 + (stock IS NOT NULL)::INT ELSE 0 END END AS scene_score FROM runs""")
 def scene_scores(spark, sf):
-    return growth.best_scene(R.typed_runs(V.runs(spark, sf)).withColumn("changed", F.lit(False))).select("run_id", "scene", "scene_score")
+    return growth.best_scene(V.typed(spark, sf).withColumn("changed", F.lit(False))).select("run_id", "scene", "scene_score")
 
 
 @query("run_details", S.with_(S.RUNS).rstrip() + _PAIRS + f""",
 cc AS (SELECT run_id, count(*) AS n FROM diffs GROUP BY 1), h AS (SELECT tenant_id, url, count(*) AS total_runs, count(*) FILTER (status = 'success') AS success_runs FROM runs GROUP BY 1, 2)
 SELECT p.run_id, p.domain, {S.BUCKET} AS bucket, h.total_runs, h.success_runs, CASE WHEN p.status = 'success' THEN coalesce(cc.n, 0) END AS changed_count FROM prev p JOIN h ON h.tenant_id = p.tenant_id AND h.url = p.url LEFT JOIN cc ON cc.run_id = p.run_id""")
 def run_details(spark, sf):
-    runs = V.runs(spark, sf)
+    runs = V.typed(spark, sf)
     summaries = changes.change_summary(changes.compare_with_previous(runs))
-    return growth.run_details(R.typed_runs(runs), summaries).select("run_id", "domain", "bucket", "total_runs", "success_runs", "changed_count")
+    return growth.run_details(runs, summaries).select("run_id", "domain", "bucket", "total_runs", "success_runs", "changed_count")
 
 
 @query("recent_history", S.with_(S.RUNS) + "SELECT tenant_id, url, run_id, status, rank FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, url ORDER BY run_id DESC) AS rank FROM runs) WHERE rank <= 10")

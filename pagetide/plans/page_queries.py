@@ -82,8 +82,14 @@ def page_gate(spark, sf):
 # ---------------------------------------------------------------- product pages with known facts
 
 
+def _hinted(spark, sf):
+    parsed = P.with_clean_text(P.parse_pages(V.product_pages(spark, sf))).withColumn("title", P.page_title())
+    return H.with_hints(parsed).drop("html", "tree")
+
+
 def _product_pages(spark, sf):
-    return H.with_hints(P.with_clean_text(P.parse_pages(V.product_pages(spark, sf))))
+    """Product pages with clean text and hints, as a stored table."""
+    return V.stored(spark, sf, "hinted_products", lambda: _hinted(spark, sf))
 
 
 @query("product_clean_text", """SELECT p_partkey AS page_id, '# ' || p_name || chr(10) || chr(10) || p_brand || ' ' || p_type || chr(10) || chr(10) || 'Made to order.' || chr(10) || chr(10) ||
@@ -95,7 +101,7 @@ def product_clean_text(spark, sf):
 @query("product_hints", """SELECT p_partkey AS page_id, p_name AS name, 'USD ' || CAST(p_retailprice AS VARCHAR) AS price, p_brand AS brand, 'InStock' AS availability FROM part""")
 def product_hints(spark, sf):
     h = F.col("hints")
-    return _product_pages(spark, sf).select(
+    return _hinted(spark, sf).select(
         "page_id", F.coalesce(h["name"], h["title"]).alias("name"), h["price"].alias("price"),
         h["brand"].alias("brand"), h["availability"].alias("availability"),
     )
@@ -111,15 +117,22 @@ _PRODUCT_PRICE = "'USD ' || regexp_replace(CAST(p_retailprice AS VARCHAR), '\\.?
 _PRICED = "CASE WHEN CAST(p_retailprice AS VARCHAR) LIKE '%.%' THEN " + _PRODUCT_PRICE + " ELSE 'USD ' || CAST(p_retailprice AS VARCHAR) END"
 
 
-def _extracted(spark, sf):
-    rows = _product_pages(spark, sf).withColumn("text", F.col("clean_text")).drop("html", "tree")
+def _extract(spark, sf):
+    rows = _product_pages(spark, sf).withColumn("text", F.col("clean_text"))
     return X.cascade(X.with_lines(rows))
 
 
+def _extracted(spark, sf):
+    """Extraction results of the product pages, as a stored table."""
+    return V.stored(
+        spark, sf, "product_results", lambda: _extract(spark, sf).select("page_id", "url", "result")
+    )
+
+
 @query("product_extraction", f"""SELECT p_partkey AS page_id, 'specialized_rule' AS strategy, 'product' AS page_type, p_name AS name, {_PRICED} AS price, p_brand AS brand, 'in_stock' AS availability FROM part""")
 def product_extraction(spark, sf):
     d = F.col("result.data")
-    return _extracted(spark, sf).select(
+    return _extract(spark, sf).select(
         "page_id", "result.strategy", "result.page_type",
         *[F.element_at(d, f).alias(f) for f in ("name", "price", "brand", "availability")],
     )
@@ -140,7 +153,7 @@ def product_consistency(spark, sf):
     rows = _product_pages(spark, sf).select(
         "page_id", "selected_fields", "hints", F.col("url").alias("original_url"),
         F.when(F.col("page_id") % 2 == 0, "https://shop1.example.com/login").otherwise(F.col("url")).alias("final_url"),
-        F.lit("").alias("repair_reason"), P.page_title().alias("title"),
+        F.lit("").alias("repair_reason"), "title",
     )
     return VA.page_type_consistency(rows).select("page_id", "expected_type", "type_mismatch", "type_mismatch_reason")
 
@@ -287,7 +300,7 @@ def model_results(spark, sf):
 SELECT run_id, filled / 4.0::DOUBLE AS completeness, CASE WHEN filled = 4 THEN 'full_success' ELSE 'partial_success' END AS status, missing,
   round(filled / 4.0::DOUBLE - CASE WHEN filled < 2 THEN 0.05::DOUBLE ELSE 0 END, 4) AS quality FROM v""")
 def run_validation(spark, sf):
-    rows = R.typed_runs(V.runs(spark, sf)).where(F.col("status") == "success").select(
+    rows = V.typed(spark, sf).where(F.col("status") == "success").select(
         "run_id", F.col("entries").alias("data"), F.col("doc.selected_fields").alias("selected_fields"), F.lit("listing").alias("page_type")
     )
     v = F.col("validation")
@@ -300,7 +313,7 @@ def run_validation(spark, sf):
 @query("stored_validation", S.with_(S.RUNS) + """SELECT run_id, CASE WHEN vstatus = '' THEN NULL ELSE vstatus END AS status, CASE WHEN vstatus <> '' THEN coalesce(completeness, 0.0) END AS completeness FROM runs""")
 def stored_validation(spark, sf):
     v = R.validation_summary()
-    return R.typed_runs(V.runs(spark, sf)).select("run_id", v["status"].alias("status"), v["completeness"].alias("completeness"))
+    return V.typed(spark, sf).select("run_id", v["status"].alias("status"), v["completeness"].alias("completeness"))
 
 
 @query("mojibake_documents", """SELECT doc_id, marks >= 2 OR (bad > 0 AND bad / length(text)::DOUBLE >= 0.02) OR (contains(text, 'Ã') AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 2) AS mojibake

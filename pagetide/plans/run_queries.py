@@ -29,7 +29,7 @@ diffs AS (SELECT *, CASE WHEN old IS NULL THEN 'added' WHEN cur IS NULL THEN 're
 @query("previous_success", S.with_(S.RUNS).rstrip() + _PREV + """
 SELECT run_id, tenant_id, url, status, prev_id AS previous_run_id FROM prev""")
 def previous_success(spark, sf):
-    return changes.with_previous_success(V.runs(spark, sf)).select(
+    return changes.with_previous_success(V.typed(spark, sf)).select(
         "run_id", "tenant_id", "url", "status", F.col("previous.run_id").alias("previous_run_id")
     )
 
@@ -39,7 +39,7 @@ SELECT tenant_id, url, run_id, prev_id AS previous_run_id, field, change_type,
   CASE WHEN field = 'price' THEN '价格' ELSE field END AS label,
   coalesce(nullif(old, ''), '空') AS before_text, coalesce(nullif(cur, ''), '空') AS after_text FROM diffs""")
 def field_changes(spark, sf):
-    return changes.explode_changes(changes.compare_with_previous(V.runs(spark, sf))).select(
+    return changes.explode_changes(changes.compare_with_previous(V.typed(spark, sf))).select(
         "tenant_id", "url", "run_id", "previous_run_id", "field", "change_type", "label",
         "before_text", "after_text",
     )
@@ -54,7 +54,7 @@ SELECT p.tenant_id, p.url, p.run_id, 'task-' || p.prev_id AS previous_task_id, p
   CASE WHEN coalesce(changed_count, 0) = 0 THEN NULL WHEN changed_count >= 4 THEN 'high' WHEN changed_count >= 2 THEN 'medium' ELSE 'low' END AS severity
 FROM prev p LEFT JOIN counted USING (run_id) WHERE p.status = 'success'""")
 def change_feed(spark, sf):
-    return changes.change_summary(changes.compare_with_previous(V.runs(spark, sf))).select(
+    return changes.change_summary(changes.compare_with_previous(V.typed(spark, sf))).select(
         "tenant_id", "url", "run_id", "previous_task_id", "domain", "changed_count", "added",
         "removed", "updated", "severity",
     )
@@ -75,7 +75,7 @@ SELECT p.run_id,
    ELSE '先人工复核变化字段，确认这是业务真实变化而不是页面噪声。' END AS first_action
 FROM prev p LEFT JOIN lists l USING (run_id) WHERE p.status = 'success'""")
 def change_impact_text(spark, sf):
-    return changes.change_summary(changes.compare_with_previous(V.runs(spark, sf))).select(
+    return changes.change_summary(changes.compare_with_previous(V.typed(spark, sf))).select(
         "run_id", "impact_summary",
         F.coalesce(F.get("suggested_actions", 0), F.lit("")).alias("first_action"),
     )
@@ -89,7 +89,7 @@ SELECT l.tenant_id, l.monitor_id, r.task_id, r.url, r.status,
   CASE WHEN r.status <> 'success' THEN r.error WHEN coalesce(n, 0) > 0 THEN '检测到 ' || n || ' 个字段变化' ELSE '本次检查未发现字段变化' END AS alert_message
 FROM latest l JOIN runs r USING (run_id) LEFT JOIN counted USING (run_id)""")
 def monitor_results(spark, sf):
-    return changes.monitor_results(V.runs(spark, sf)).select(
+    return changes.monitor_results(V.typed(spark, sf)).select(
         "tenant_id", "monitor_id", "task_id", "url", "status", "alert_level", "alert_message"
     )
 
@@ -126,7 +126,7 @@ def status_by_day(spark, sf):
     row_number() OVER (PARTITION BY tenant_id ORDER BY count(*) DESC, failure_category) AS rank
   FROM metrics WHERE status = 'failed' GROUP BY 1, 2) WHERE rank <= 8""")
 def failure_histogram(spark, sf):
-    return kpi.failure_histogram(R.run_metrics(R.typed_runs(V.runs(spark, sf))))
+    return kpi.failure_histogram(R.run_metrics(V.typed(spark, sf)))
 
 
 @query("coarse_failures", S.with_(S.RUNS) + f"""SELECT tenant_id, {S.COARSE_CLASS} AS failure_class, count(*) AS runs
@@ -173,7 +173,7 @@ SELECT tenant_id, day, tasks, full_success, partial_success, fetch_failed, valid
   round(rescued / greatest(tried, 1)::DOUBLE, 4) AS rescue_success_rate,
   round(model_success / greatest(success, 1)::DOUBLE, 4) AS model_success_rate FROM g""")
 def daily_overview(spark, sf):
-    return kpi.daily_overview(R.typed_runs(V.runs(spark, sf))).withColumn("day", day_text("day"))
+    return kpi.daily_overview(V.typed(spark, sf)).withColumn("day", day_text("day"))
 
 
 _USAGE = """usage_daily AS (SELECT tenant_id, day AS usage_date, count(*) AS tasks_created, count(*) AS urls_submitted,
@@ -182,7 +182,7 @@ _USAGE = """usage_daily AS (SELECT tenant_id, day AS usage_date, count(*) AS tas
 
 
 def _usage(spark, sf):
-    return kpi.daily_usage(R.run_metrics(R.typed_runs(V.runs(spark, sf))))
+    return kpi.daily_usage(R.run_metrics(V.typed(spark, sf)))
 
 
 @query("daily_usage", S.with_(S.RUNS, _USAGE) + """SELECT tenant_id, usage_date, tasks_created, urls_submitted, CAST(monitors_created AS BIGINT) AS monitors_created,
@@ -301,7 +301,7 @@ def failure_watch(spark, sf):
   round(recent_rate, 4) AS recent_rate, round(previous_rate, 4) AS previous_rate,
   recent_total >= 3 AND previous_total >= 3 AND previous_rate - recent_rate >= 0.2 AS dropped FROM trend2""")
 def template_trend(spark, sf):
-    metrics = R.run_metrics(R.typed_runs(V.runs(spark, sf)))
+    metrics = R.run_metrics(V.typed(spark, sf))
     return (
         kpi.template_trend(metrics, V.as_of())
         .withColumn("recent_rate", F.round("recent_rate", 4))
@@ -317,7 +317,7 @@ UNION ALL SELECT tenant_id, 'template_success_rate_drop', 'warning', template_id
   WHERE recent_total >= 3 AND previous_total >= 3 AND previous_rate - recent_rate >= 0.2""")
 def tenant_alerts(spark, sf):
     runs = V.runs(spark, sf)
-    metrics = R.run_metrics(R.typed_runs(runs))
+    metrics = R.run_metrics(V.typed(spark, sf))
     later = F.lit("2024-02-20 00:00:00").cast("timestamp")
     return kpi.tenant_alerts(
         _monthly(spark, sf), kpi.tenant_run_stats(runs), kpi.template_trend(metrics, V.as_of()), later
@@ -329,14 +329,14 @@ def tenant_alerts(spark, sf):
     row_number() OVER (PARTITION BY r.tenant_id ORDER BY count(*) DESC, r.template_id) AS rank
   FROM runs r LEFT JOIN templates t USING (tenant_id, template_id) WHERE status = 'success' AND r.template_id <> '' GROUP BY r.tenant_id, r.template_id) WHERE rank <= 10""")
 def top_templates(spark, sf):
-    return kpi.top_templates(R.run_metrics(R.typed_runs(V.runs(spark, sf))), V.templates(spark, sf))
+    return kpi.top_templates(R.run_metrics(V.typed(spark, sf)), V.templates(spark, sf))
 
 
 @query("top_templates_overall", S.with_(S.RUNS, S.TEMPLATES) + """SELECT r.template_id, coalesce(name, r.template_id) AS template_name, count(*) AS success_count
 FROM runs r LEFT JOIN templates t USING (tenant_id, template_id) WHERE status = 'success' AND r.template_id <> ''
 GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 10""")
 def top_templates_overall(spark, sf):
-    return kpi.top_templates_overall(R.run_metrics(R.typed_runs(V.runs(spark, sf))), V.templates(spark, sf))
+    return kpi.top_templates_overall(R.run_metrics(V.typed(spark, sf)), V.templates(spark, sf))
 
 
 _SCORES = """m AS (SELECT tenant_id, template_id, count(*) AS total_count, count(*) FILTER (status = 'success') AS success_count,
@@ -357,7 +357,7 @@ _SCORES_SQL = S.with_(S.METRICS, S.TEMPLATES, S.FEEDBACK, _SCORES)
 
 def _scores(spark, sf):
     return kpi.template_scores(
-        V.templates(spark, sf), R.run_metrics(R.typed_runs(V.runs(spark, sf))), V.feedback(spark, sf)
+        V.templates(spark, sf), R.run_metrics(V.typed(spark, sf)), V.feedback(spark, sf)
     )
 
 
@@ -381,7 +381,7 @@ def ranked_templates(spark, sf):
 FROM (SELECT tenant_id, template_id, failure_category, count(*) AS n, max(run_id) AS last_run, max(updated_at) AS last_at FROM metrics
   WHERE status = 'failed' AND template_id <> '' GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def template_failures(spark, sf):
-    metrics = R.run_metrics(R.typed_runs(V.runs(spark, sf)))
+    metrics = R.run_metrics(V.typed(spark, sf))
     pairs = F.transform(
         F.map_entries("failure_trend"), lambda e: F.concat(e["key"], F.lit("="), e["value"])
     )
@@ -396,7 +396,7 @@ def template_failures(spark, sf):
   count(*) FILTER (k % 9 = 0) AS mobile_fallback_count, count(*) FILTER (k > 0 AND k % 2 = 1) AS html_compare_count
 FROM runs WHERE template_id <> '' GROUP BY 1, 2""")
 def template_diagnostics(spark, sf):
-    return kpi.template_diagnostics(R.typed_runs(V.runs(spark, sf)))
+    return kpi.template_diagnostics(V.typed(spark, sf))
 
 
 @query("quality_dashboard", S.with_(S.RUNS, S.REVIEWS, S.TEMPLATES, """a AS (SELECT tenant_id, count(*) AS runs, count(*) FILTER (status = 'success') AS ok, avg(quality_score) FILTER (quality_score > 0) AS q FROM runs GROUP BY 1),
@@ -419,13 +419,13 @@ def latest_reviews(spark, sf):
   round(avg(cost), 6) AS avg_cost_per_task_usd, round(sum(playwright_ms), 2) AS total_playwright_elapsed_ms, CAST(sum(retries) AS BIGINT) AS total_retry_count,
   round(sum(retries / 1024.0::DOUBLE), 6) AS total_retry_cost_usd FROM runs GROUP BY 1""")
 def cost_dashboard(spark, sf):
-    return kpi.cost_dashboard(R.typed_runs(V.runs(spark, sf)))
+    return kpi.cost_dashboard(V.typed(spark, sf))
 
 
 @query("batch_costs", S.with_(S.RUNS) + """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY total_cost_usd DESC, batch_group_id) AS rank FROM (
   SELECT tenant_id, batch_group_id, count(*) AS task_count, round(sum(cost), 6) AS total_cost_usd, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM runs GROUP BY 1, 2)) WHERE rank <= 20""")
 def batch_costs(spark, sf):
-    return kpi.batch_costs(R.typed_runs(V.runs(spark, sf)))
+    return kpi.batch_costs(V.typed(spark, sf))
 
 
 @query("domain_leaderboard", S.with_(S.RUNS) + """SELECT domain, count(*) AS total, count(*) FILTER (status = 'success') AS success, arg_max(task_id, run_id) AS latest_task_id,
@@ -450,7 +450,7 @@ SELECT tenant_id, rule_based_tasks, fallback_tasks, learned_profile_hits, total_
   round(api_usage_calls / greatest(api_usage_calls + estimated_usage_calls, 1)::DOUBLE, 4) AS api_usage_ratio, round(cost, 6) AS estimated_cost_usd,
   round(CASE WHEN costed > 0 THEN cost / costed * rule_based_tasks ELSE 0 END, 6) AS estimated_saved_cost_usd FROM s""")
 def strategy_usage(spark, sf):
-    return kpi.strategy_usage(R.typed_runs(V.runs(spark, sf)))
+    return kpi.strategy_usage(V.typed(spark, sf))
 
 
 @query("scenario_histogram", "SELECT c_mktsegment AS label, count(*) AS monitors FROM customer GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
@@ -557,7 +557,7 @@ def alert_levels(spark, sf):
   CAST(filled_field_count AS BIGINT) AS filled_field_count, CAST(field_count - filled_field_count AS BIGINT) AS empty_field_count, CAST(total_tokens AS BIGINT) AS total_tokens,
   round(cost, 9) AS estimated_cost_usd, playwright_ms AS playwright_elapsed_ms, CAST(retries AS BIGINT) AS retry_count, elapsed_ms FROM metrics""")
 def run_metrics(spark, sf):
-    m = R.run_metrics(R.typed_runs(V.runs(spark, sf)))
+    m = R.run_metrics(V.typed(spark, sf))
     return m.select(
         "run_id", "tenant_id", "status", "template_id", "monitor_id", "failure_category", "quality_score",
         "field_count", "filled_field_count", "empty_field_count", "total_tokens",
@@ -568,7 +568,7 @@ def run_metrics(spark, sf):
 @query("run_buckets", S.with_(S.RUNS) + f"""SELECT run_id, {S.BUCKET} AS bucket, {S.SCORE} AS score, status <> 'queued' AND k % 6 = 0 AS rescue_attempted,
   status = 'success' AND k % 6 = 0 AND k % 12 <> 0 AS rescue_succeeded FROM runs""")
 def run_buckets(spark, sf):
-    return R.typed_runs(V.runs(spark, sf)).select(
+    return V.typed(spark, sf).select(
         "run_id", R.bucket().alias("bucket"), R.field_valid_score().alias("score"),
         R.rescue_attempted().alias("rescue_attempted"), R.rescue_succeeded().alias("rescue_succeeded"),
     )
@@ -581,7 +581,7 @@ d AS (SELECT run_id, status, error, CASE WHEN error LIKE '%captcha%' THEN 'captc
   WHEN status = 'success' AND (stock IS NULL OR rating IS NULL OR note = '') THEN 'missing_fields' ELSE '' END AS category FROM runs)
 SELECT run_id, category, CASE category WHEN '' THEN 'info' WHEN '403' THEN 'danger' WHEN 'model_error' THEN 'danger' ELSE 'warning' END AS severity, category <> '' AS actionable FROM d""")
 def run_diagnosis(spark, sf):
-    return R.typed_runs(V.runs(spark, sf)).withColumn("d", R.diagnosis()).select(
+    return V.typed(spark, sf).withColumn("d", R.diagnosis()).select(
         "run_id", "d.category", "d.severity", "d.actionable"
     )
 
@@ -597,14 +597,14 @@ def run_failure_columns(spark, sf):
 @query("observability", S.with_(S.RUNS) + """SELECT run_id, CAST(calls AS BIGINT) AS total_calls, CAST(total_tokens AS BIGINT) AS total_tokens, CASE WHEN status = 'queued' THEN 'unknown' WHEN k % 3 = 0 THEN 'playwright' ELSE 'static' END AS fetcher_type,
   elapsed_ms AS total_elapsed_ms, CASE WHEN error LIKE '%:%' THEN split_part(error, ':', 1) ELSE error END AS error_type FROM runs""")
 def observability(spark, sf):
-    return R.with_observability(R.typed_runs(V.runs(spark, sf))).select(
+    return R.with_observability(V.typed(spark, sf)).select(
         "run_id", "usage.total_calls", "usage.total_tokens", "runtime.fetcher_type", "runtime.total_elapsed_ms", "runtime.error_type"
     )
 
 
 @query("projected_fields", S.with_(S.RUNS) + """SELECT run_id, concat_ws(';', 'price=' || price, 'stock=' || stock, 'rating=' || rating, 'note=' || nullif(note, '')) AS fields FROM runs WHERE status = 'success'""")
 def projected_fields(spark, sf):
-    typed = R.typed_runs(V.runs(spark, sf)).where(F.col("status") == "success")
+    typed = V.typed(spark, sf).where(F.col("status") == "success")
     pairs = R.project_fields(R.payload_fields(), F.col("doc.selected_fields"))
     text = F.array_join(F.transform(pairs, lambda p: F.concat(p["field"], F.lit("="), p["value"])), ";")
     return typed.select("run_id", text.alias("fields"))
@@ -627,7 +627,7 @@ def runs_for_url(spark, sf):
 
 @query("runs_for_profile", S.with_(S.RUNS) + "SELECT run_id, tenant_id, status FROM runs WHERE profile_id = 'lp3' AND status <> 'queued' AND parent_task_id = ''")
 def runs_for_profile(spark, sf):
-    return R.runs_for_profile(R.typed_runs(V.runs(spark, sf)), "lp3").select("run_id", "tenant_id", "status")
+    return R.runs_for_profile(V.typed(spark, sf), "lp3").select("run_id", "tenant_id", "status")
 
 
 @query("latest_runs", S.with_(S.RUNS) + "SELECT run_id, status FROM runs WHERE parent_task_id = '' ORDER BY run_id DESC LIMIT 50")
@@ -652,7 +652,7 @@ def latest_run_per_url(spark, sf):
 
 @query("latest_metrics", S.with_(S.METRICS) + "SELECT run_id, tenant_id, status, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at FROM metrics ORDER BY metrics.updated_at DESC, run_id DESC LIMIT 100")
 def latest_metrics(spark, sf):
-    m = R.run_metrics(R.typed_runs(V.runs(spark, sf))).select("run_id", "tenant_id", "status", "updated_at")
+    m = R.run_metrics(V.typed(spark, sf)).select("run_id", "tenant_id", "status", "updated_at")
     return kpi.overall_rank(m, [F.desc("updated_at"), F.desc("run_id")], 100).withColumn(
         "updated_at", stamp("updated_at")
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,15 +57,13 @@ def merge_columns(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True)
 
 
-def write_csv_collection(spark: SparkSession, df: DataFrame, folder: str) -> str:
+def write_csv_collection(df: DataFrame, folder: str) -> str:
     """Add records to a CSV collection whose header may grow.
 
     Every call writes its own part folder with its own header, so nothing old is rewritten; the
     reader unions the parts by column name.
     """
-    batch = F.date_format(F.current_timestamp(), "yyyyMMddHHmmssSSS")
-    number = spark.range(1).select(batch.alias("b")).first()["b"]
-    target = f"{folder.rstrip('/')}/part={number}"
+    target = f"{folder.rstrip('/')}/part={datetime.now(UTC):%Y%m%d%H%M%S%f}-{uuid.uuid4().hex[:8]}"
     flat = flatten_record(df)
     flat.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in flat.columns]).write.option(
         "quoteAll", True

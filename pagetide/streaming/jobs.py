@@ -68,7 +68,6 @@ def change_stream(runs: DataFrame) -> DataFrame:
             F.explode(diff_maps(as_map("previous_json"), as_map("current_json"), empty)).alias("c"),
         )
         .select("tenant_id", "url", "run_id", "task_id", "previous_run_id", "c.*")
-        .drop("differs")
     )
 
 
