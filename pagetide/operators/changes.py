@@ -83,30 +83,31 @@ def diff_maps(before: Column, after: Column, labels: Column) -> Column:
     return F.transform(F.transform(differing, shown), told)
 
 
-RUN_KEYS = ("tenant_id", "url", "run_id", "task_id", "status", "completed_at")
-
-
 def _snapshots(runs: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Only what a comparison needs: the run keys, its field map and its labels.
+    """Only what a comparison needs: the run keys and `state`, its field map and labels.
 
     The raw payload and the parsed document stay behind, so the shuffle carries small rows.
     """
     empty = F.create_map().cast("map<string,string>")
-    return typed_runs(runs).select(
-        *RUN_KEYS, payload_fields().alias("fields"), F.coalesce("doc.field_labels", empty).alias("labels"), *keep
+    state = F.struct(
+        "run_id", "task_id", "completed_at", payload_fields().alias("fields"),
+        F.coalesce("doc.field_labels", empty).alias("labels"),
     )
+    return typed_runs(runs).select("tenant_id", "url", "run_id", "status", state.alias("state"), *keep)
 
 
-def _snapshot() -> Column:
-    return F.struct("run_id", "task_id", "completed_at", "fields", "labels")
+def _open_state(df: DataFrame) -> DataFrame:
+    return df.select("*", "state.task_id", "state.completed_at", "state.fields", "state.labels").drop("state")
 
 
 def with_previous_success(runs: DataFrame, span: int = DEFAULT_SPAN, keep: Sequence[str] = ()) -> DataFrame:
     """Every run with `previous`, the latest successful run of its tenant and URL with a
     smaller id.  `keep` names further columns of the typed run to carry along."""
-    return previous_where(
-        _snapshots(runs, keep), ["tenant_id", "url"], "run_id",
-        F.col("status") == "success", _snapshot(), "previous", span,
+    return _open_state(
+        previous_where(
+            _snapshots(runs, keep), ["tenant_id", "url"], "run_id",
+            F.col("status") == "success", "state", "previous", span,
+        )
     )
 
 
@@ -119,7 +120,7 @@ def compare_with_previous(runs: DataFrame, span: int = DEFAULT_SPAN, keep: Seque
     merged = F.map_zip_with("previous.labels", "labels", lambda k, old, new: F.coalesce(new, old))
     rows = _snapshots(runs.where(F.col("status") == "success"), keep)
     return (
-        previous_where(rows, ["tenant_id", "url"], "run_id", F.lit(True), _snapshot(), "previous", span)
+        _open_state(previous_where(rows, ["tenant_id", "url"], "run_id", None, "state", "previous", span))
         .withColumn("has_previous", F.col("previous").isNotNull())
         .withColumn(
             "changes",

@@ -65,9 +65,7 @@ def retry_chain(events: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
     """Position of each event among those of the same run and target, and the event before it."""
     keys = ["tenant_id", "task_id", "target"]
     numbered = position_in_key(events, keys, "notification_id", "chain_no", span)
-    return previous_where(
-        numbered, keys, "notification_id", F.lit(True), F.col("notification_id"), "retry_of", span
-    )
+    return previous_where(numbered, keys, "notification_id", None, "notification_id", "retry_of", span)
 
 
 def _status_counts() -> list[Column]:

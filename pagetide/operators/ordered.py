@@ -11,43 +11,46 @@ from pyspark.sql import functions as F
 DEFAULT_SPAN = 1_000_000
 
 
+def _span_of(order: str, span: int) -> Column:
+    return F.expr(f"`{order}` div {int(span)}")
+
+
 def previous_where(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
-    condition: Column,
-    value: Column,
+    condition: Column | None,
+    value: str,
     into: str,
     span: int = DEFAULT_SPAN,
 ) -> DataFrame:
-    """Add `into`: `value` of the nearest earlier row of the same key meeting `condition`.
+    """Add `into`: column `value` of the nearest earlier row of the same key meeting `condition`.
 
-    A single window over the key would sort a hot key in one task.  Here the order
-    axis is cut into spans: a window looks back inside (key, span) only, and each
-    span inherits the last match of the spans before it through a summary holding one
-    row per (key, span).  The rows are shuffled once, by (key, span); the summary is
-    aggregated on that same partitioning and is the only thing shuffled again.
+    A single window over the key would sort a hot key in one task.  Here the integer order axis
+    is cut into spans: a window looks back inside (key, span) only, and each span inherits the last
+    match of the spans before it through a summary holding one row per (key, span).  The rows are
+    shuffled once, by (key, span); the summary is combined map-side and is the only thing shuffled
+    by key.  Without a condition the value column is read in place, so rows carry no second copy.
     """
     keys = list(keys)
     cut = keys + ["_span"]
     inside = Window.partitionBy(*cut).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    hit = F.col(value) if condition is None else F.when(condition, F.col(value))
+    rank = F.col(order) if condition is None else F.when(condition, F.col(order))
 
-    rows = (
-        df.withColumn("_span", F.floor(F.col(order) / F.lit(span)))
-        .withColumn("_hit", F.when(condition, value))
-        .withColumn("_near", F.last("_hit", ignorenulls=True).over(inside))
-    )
+    rows = df.withColumn("_span", _span_of(order, span))
+    near = rows.withColumn("_near", F.last(hit, ignorenulls=True).over(inside))
     spans = (
         rows.groupBy(*cut)
-        .agg(F.max_by("_hit", F.when(condition, F.col(order))).alias("_final"))
+        .agg(F.max_by(hit, rank).alias("_final"))
         .withColumn("_inherited", F.last("_final", ignorenulls=True).over(before))
         .drop("_final")
     )
     return (
-        rows.join(spans, cut, "left")
+        near.join(spans, cut, "left")
         .withColumn(into, F.coalesce("_near", "_inherited"))
-        .drop("_span", "_hit", "_near", "_inherited")
+        .drop("_span", "_near", "_inherited")
     )
 
 
@@ -90,7 +93,7 @@ def position_in_key(
     keys = list(keys)
     cut = keys + ["_span"]
     before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("_span", F.floor(F.col(order) / F.lit(span))).withColumn(
+    rows = df.withColumn("_span", _span_of(order, span)).withColumn(
         "_local", F.row_number().over(Window.partitionBy(*cut).orderBy(order))
     )
     spans = (

@@ -37,10 +37,10 @@ def hostname(url: Column) -> Column:
 def match_profiles(urls: DataFrame, profiles: DataFrame, include_inactive: bool = False) -> DataFrame:
     """The best profile for each (url, selected_fields), as `profile_id` and `match_score`.
 
-    Both sides are reduced before they meet: URLs to distinct (host, prefix, field set) requests,
-    profiles to the first one of each (host, prefix, field set) and of each (host, field set).
-    The prefix only adds to the score of an equal prefix, so these two small candidate lists hold
-    every possible winner, and a hot host contributes its field plans, not its pages.
+    A profile scores by its field overlap and by an equal path prefix.  The two are settled apart:
+    the best profile of the same prefix per (host, prefix, wanted fields), and the best of the host
+    whatever its prefix per (host, wanted fields).  Both sides of both joins are reduced to distinct
+    keys first, so a hot host meets its field plans with its distinct wishes, not with its pages.
     """
     wanted = F.array_sort(
         F.array_distinct(F.filter(F.coalesce("selected_fields", F.array().cast("array<string>")), lambda f: F.trim(f) != ""))
@@ -50,35 +50,46 @@ def match_profiles(urls: DataFrame, profiles: DataFrame, include_inactive: bool
         .withColumn("_prefix", path_prefix(F.col("url")))
         .withColumn("_wanted", wanted)
     )
-    key = ["_host", "_prefix", "_wanted"]
-    requests = keyed.select(*key).where(F.col("_host") != "").distinct()
     live = profiles if include_inactive else profiles.where("is_active")
     plans = live.select(
-        F.col("domain").alias("_host"), F.col("path_prefix").alias("_plan_prefix"),
+        F.col("domain").alias("_host"), F.col("path_prefix").alias("_prefix"),
         F.array_sort("selected_fields").alias("_plan"), "profile_id",
     )
-    first = F.min("profile_id").alias("profile_id")
-    same = plans.groupBy("_host", "_plan_prefix", "_plan").agg(first)
-    anywhere = plans.groupBy("_host", "_plan").agg(first)
     overlap = F.when(F.size("_wanted") == 0, F.lit(1.0)).otherwise(
         F.size(F.array_intersect("_wanted", "_plan")) / F.size("_wanted")
     )
-    near = requests.join(same.withColumnRenamed("_plan_prefix", "_prefix"), ["_host", "_prefix"]).withColumn("_bonus", F.lit(SAME_PREFIX))
-    far = requests.join(anywhere, "_host").withColumn("_bonus", F.lit(OTHER_PREFIX))
-    scored = (
-        near.unionByName(far)
-        .withColumn("_overlap", overlap)
-        .where(F.col("_overlap") >= MIN_OVERLAP)
-        .withColumn("_score", F.col("_overlap") * OVERLAP_WEIGHT + F.col("_bonus"))
+
+    def best(place: list[str], bonus: float, into: str) -> DataFrame:
+        wishes = keyed.where(F.col("_host") != "").select(*place, "_wanted").distinct()
+        offers = plans.groupBy(*place, "_plan").agg(F.min("profile_id").alias("profile_id"))
+        scored = (
+            wishes.join(offers, place)
+            .withColumn("_overlap", overlap)
+            .where(F.col("_overlap") >= MIN_OVERLAP)
+            .withColumn("score", F.col("_overlap") * OVERLAP_WEIGHT + bonus)
+        )
+        firsts = scored.groupBy(*place, "_wanted", "score").agg(F.min("profile_id").alias("profile_id"))
+        return firsts.groupBy(*place, "_wanted").agg(
+            F.max_by(F.struct("score", "profile_id"), "score").alias(into)
+        )
+
+    near = best(["_host", "_prefix"], SAME_PREFIX, "_near")
+    far = best(["_host"], OTHER_PREFIX, "_far")
+    pick = (
+        F.when(F.col("_near").isNull(), F.col("_far"))
+        .when(F.col("_far").isNull() | (F.col("_near.score") > F.col("_far.score")), F.col("_near"))
+        .when(F.col("_near.score") < F.col("_far.score"), F.col("_far"))
+        .when(F.col("_near.profile_id") <= F.col("_far.profile_id"), F.col("_near"))
+        .otherwise(F.col("_far"))
     )
-    best = (
-        scored.groupBy(*key, "_score")
-        .agg(first)
-        .groupBy(*key)
-        .agg(F.max_by(F.struct("profile_id", "_score"), "_score").alias("_best"))
-        .select(*key, F.col("_best.profile_id").alias("profile_id"), F.col("_best._score").alias("match_score"))
+    return (
+        keyed.join(near, ["_host", "_prefix", "_wanted"], "left")
+        .join(far, ["_host", "_wanted"], "left")
+        .withColumn("_best", pick)
+        .withColumn("profile_id", F.col("_best.profile_id"))
+        .withColumn("match_score", F.col("_best.score"))
+        .drop("_host", "_prefix", "_wanted", "_near", "_far", "_best")
     )
-    return keyed.join(best, key, "left").drop(*key)
 
 
 def risk_level() -> Column:

@@ -141,5 +141,15 @@ def markdown_reports(details: DataFrame) -> DataFrame:
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """Reports as text, in one folder per run."""
-    reports.select("task_id", "report").write.mode("append").partitionBy("task_id").text(path)
+    """The report table (task_id, report), appended."""
+    reports.select("task_id", "report").write.mode("append").parquet(path)
+
+
+def export_reports(reports: DataFrame, task_ids: list[str], path: str) -> None:
+    """The reports of a few named runs as Markdown text, one folder per run.
+
+    One folder per run suits a hand-picked export; whole histories go through `write_reports`.
+    """
+    reports.where(F.col("task_id").isin(task_ids)).select("task_id", "report").write.mode("append").partitionBy(
+        "task_id"
+    ).text(path, lineSep="")

@@ -15,7 +15,14 @@ def test_previous_where_equals_one_window(spark):
     rows = _rows(spark)
     w = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     want = rows.withColumn("prev", F.last(F.when(F.col("ok"), F.col("id")), ignorenulls=True).over(w))
-    got = previous_where(rows, ["key"], "id", F.col("ok"), F.col("id"), "prev", span=37)
+    got = previous_where(rows, ["key"], "id", F.col("ok"), "id", "prev", span=37)
+    assert sorted(map(tuple, got.select("id", "prev").collect())) == sorted(map(tuple, want.select("id", "prev").collect()))
+
+
+def test_previous_without_condition_equals_lag(spark):
+    rows = _rows(spark)
+    want = rows.withColumn("prev", F.lag("id").over(Window.partitionBy("key").orderBy("id")))
+    got = previous_where(rows, ["key"], "id", None, "id", "prev", span=37)
     assert sorted(map(tuple, got.select("id", "prev").collect())) == sorted(map(tuple, want.select("id", "prev").collect()))
 
 
@@ -33,6 +40,6 @@ def test_hot_key_is_cut_before_the_shuffle(spark):
 
 
 def test_window_rows_are_partitioned_by_span(spark):
-    plan = previous_where(_rows(spark), ["key"], "id", F.col("ok"), F.col("id"), "prev")
+    plan = previous_where(_rows(spark), ["key"], "id", F.col("ok"), "id", "prev")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(key" in text and "_span" in text
