@@ -275,19 +275,20 @@ def diagnosis() -> Column:
 
 
 def validation_summary() -> Column:
-    """STRUCT summary of a stored validation block, NULL when the run has none."""
+    """STRUCT summary of the stored validation block, with defaults for a run that has none."""
     v = F.col("doc._validation")
-    return F.when(
-        v.isNotNull(),
-        F.struct(
-            F.coalesce(v["status"], F.lit("")).alias("status"),
-            F.coalesce(v["is_valid"], F.lit(False)).alias("is_valid"),
-            F.coalesce(v["completeness_score"], F.lit(0.0)).alias("completeness"),
-            F.coalesce(v["quality_score"], F.lit(0.0)).alias("quality"),
-            F.greatest(F.size(v["errors"]), F.lit(0)).alias("error_count"),
-            F.greatest(F.size(v["warnings"]), F.lit(0)).alias("warning_count"),
-            F.greatest(F.size(v["missing_fields"]), F.lit(0)).alias("missing_count"),
-        ),
+    none = F.array().cast("array<string>")
+    selected = F.filter(F.coalesce("doc.selected_fields", none), lambda n: F.trim(n) != "")
+    shown = lambda items: F.filter(F.coalesce(items, none), lambda t: F.trim(t) != "")
+    missing = F.filter(selected, lambda n: is_blank(F.element_at("entries", n)))
+    return F.struct(
+        F.trim(F.coalesce(v["status"], F.lit(""))).alias("status"),
+        F.coalesce(v["is_valid"], F.lit(True)).alias("is_valid"),
+        F.coalesce(v["completeness_score"], F.lit(0.0)).alias("completeness"),
+        F.coalesce(v["quality_score"], F.lit(0.0)).alias("quality"),
+        shown(v["warnings"]).alias("warnings"),
+        shown(v["errors"]).alias("errors"),
+        missing.alias("missing_fields"),
     )
 
 

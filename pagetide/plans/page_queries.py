@@ -310,10 +310,24 @@ def run_validation(spark, sf):
     )
 
 
-@query("stored_validation", S.with_(S.RUNS) + """SELECT run_id, CASE WHEN vstatus = '' THEN NULL ELSE vstatus END AS status, CASE WHEN vstatus <> '' THEN coalesce(completeness, 0.0) END AS completeness FROM runs""")
+@query("stored_validation", S.with_(S.RUNS) + """SELECT run_id, vstatus AS status, true AS is_valid, coalesce(completeness, 0.0) AS completeness,
+  CASE status WHEN 'queued' THEN 0 WHEN 'failed' THEN 4 ELSE (price IS NULL)::INT + (stock IS NULL)::INT + (rating IS NULL)::INT + (note = '')::INT END AS missing FROM runs""")
 def stored_validation(spark, sf):
     v = R.validation_summary()
-    return V.typed(spark, sf).select("run_id", v["status"].alias("status"), v["completeness"].alias("completeness"))
+    return V.typed(spark, sf).select(
+        "run_id", v["status"].alias("status"), v["is_valid"].alias("is_valid"), v["completeness"].alias("completeness"),
+        F.size(v["missing_fields"]).alias("missing"),
+    )
+
+
+@query("page_links", f"""SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || '/c/' || page_id AS canonical, 'https://og.example.com/' || page_id AS og_url FROM pages""")
+def page_links(spark, sf):
+    """F44 on pages that got a canonical link and an og:url."""
+    tags = F.concat(
+        F.lit('<link rel="Canonical" href="/c/'), "page_id", F.lit('"><meta name="og:url" content="https://og.example.com/'), "page_id", F.lit('"></head>')
+    )
+    rows = V.pages(spark, sf).withColumn("html", F.replace("html", F.lit("</head>"), tags))
+    return P.parse_pages(rows).select("page_id", P.canonical_url(F.col("url")).alias("canonical"), P.og_url(F.col("url")).alias("og_url"))
 
 
 @query("mojibake_documents", """SELECT doc_id, marks >= 2 OR (bad > 0 AND bad / length(text)::DOUBLE >= 0.02) OR (contains(text, 'Ã') AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 2) AS mojibake
