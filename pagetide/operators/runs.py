@@ -11,7 +11,6 @@ from pagetide.functions.blank import (
     first_text,
     is_blank,
     is_blank_array,
-    is_blank_map,
     truthy,
 )
 from pagetide.functions.classify import (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagetide.functions import classify, labels as LB
-from pagetide.operators import changes, growth, kpi, monitors as M, notify as N, profiles as PR, runs as R, usage as UG
+from pagetide.operators import changes, growth, kpi, monitors as M, notify as N, profiles as PR, usage as UG
 from pagetide.operators import extract as X
 from pagetide.plans import sql_views as S
 from pagetide.plans import views as V
