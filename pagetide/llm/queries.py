@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm import mixing, simhash
-from pagetide.llm.common import documents
+from pagetide.llm import bpe, mixing, simhash, token_counts, token_files
+from pagetide.llm.common import documents, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,3 +31,23 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     rows = simhash.linked(documents(spark, sf_dir))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of the bytes that they decode to."""
+    return bpe.digests(bpe.encode(documents(spark, sf_dir)))
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether the tokens pass the limit."""
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
+@query
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of every document's ids, from the files written."""
+    path = scratch(spark, "token-files")
+    token_files.write(documents(spark, sf_dir), path)
+    return token_files.listing(spark, path)
