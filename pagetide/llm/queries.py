@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm import bpe, mixing, simhash, token_counts, token_files
+from pagetide.llm import bpe, language, mixing, simhash, token_counts, token_files, toxicity
 from pagetide.llm.common import documents, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,9 +45,21 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language.identified(documents(spark, sf_dir))
+
+
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, number and checksum of every document's ids, from the files written."""
     path = scratch(spark, "token-files")
     token_files.write(documents(spark, sf_dir), path)
     return token_files.listing(spark, path)
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chance that a document is toxic, for every document."""
+    return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
