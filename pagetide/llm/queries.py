@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm import bpe, language, mixing, simhash, token_counts, token_files, toxicity
+from pagetide.llm import bpe, language, lm_score, media, mixing, simhash, sketches, token_counts, token_files, toxicity
 from pagetide.llm.common import documents, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how near it is to that and to the next document."""
+    return sketches.compared_with_next(documents(spark, sf_dir))
+
+
+@query
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stored image of every document's text holds."""
+    return media.media_rows(documents(spark, sf_dir))
+
+
 @query
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of the bytes that they decode to."""
@@ -63,3 +75,9 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chance that a document is toxic, for every document."""
     return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-log-likelihood of every document."""
+    return lm_score.scored(documents(spark, sf_dir))
