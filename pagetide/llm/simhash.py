@@ -203,8 +203,9 @@ def subtree_pairs(codes: DataFrame, subtree: int = SUBTREE_CODES) -> DataFrame:
         marked = rows.join(large, ["turned", "low"], "left").join(large2, ["turned", "high"], "left")
         is_large = F.coalesce("large_low", F.lit(False)) | F.coalesce("large_high", F.lit(False))
         done.append(marked.filter(~is_large).select(columns))
+        marked = stored(marked.filter(is_large), "crowded")
         budget = HALF_BITS if depth + step <= 32 else MOST_BITS
-        deeper = marked.filter(is_large).withColumn("own", F.when(F.col("side") == 0, F.col("low")).otherwise(F.col("high")))
+        deeper = marked.withColumn("own", F.when(F.col("side") == 0, F.col("low")).otherwise(F.col("high")))
         deeper = deeper.withColumn("other", F.when(F.col("side") == 0, F.col("high")).otherwise(F.col("low")))
         deeper = deeper.withColumn("mask", F.explode(_masks(step, MOST_BITS)))
         next_bits = _bits(read, depth, step)
