@@ -47,7 +47,6 @@ NAME_KEYS = (
     "name", "title", "text", "label", "displayName", "locationsText", "addressLocality",
     "addressRegion", "@id", "url",
 )
-HINT_LENGTH = 240
 # ---- end of fixed values
 
 # Attributes that later expressions read; the others are not shipped to the JVM.
@@ -78,6 +77,7 @@ class _Tree(HTMLParser):
         self.texts: list[dict] = []
         self.open: list[int] = []
         self.data: list[str] = []
+        self.cells = 0
 
     def flush(self) -> None:
         text = "".join(self.data)
@@ -96,6 +96,7 @@ class _Tree(HTMLParser):
         for no in self.open[depth:]:
             self.elements[no]["end"] = len(self.elements)
             self.elements[no]["t1"] = len(self.texts)
+            self.elements[no]["c1"] = self.cells
         del self.open[depth:]
 
     def handle_starttag(self, tag, attrs):
@@ -113,10 +114,11 @@ class _Tree(HTMLParser):
             {
                 "no": no, "end": no + 1, "tag": tag,
                 "attrs": {k: v for k, v in values.items() if k in KEPT_ATTRIBUTES},
-                "t0": len(self.texts), "t1": len(self.texts),
+                "t0": len(self.texts), "t1": len(self.texts), "c0": self.cells, "c1": self.cells,
                 "dropped_by": no if self.is_noise(tag, values) else above,
             }
         )
+        self.cells += tag in ("td", "th")
         if tag not in _VOID:
             self.open.append(no)
 
@@ -153,7 +155,7 @@ class _Tree(HTMLParser):
 
 TREE_TYPE = """
     elements ARRAY<STRUCT<no: INT, end: INT, tag: STRING, attrs: MAP<STRING,STRING>, t0: INT,
-        t1: INT, dropped_by: INT>>,
+        t1: INT, c0: INT, c1: INT, dropped_by: INT>>,
     texts ARRAY<STRUCT<text: STRING, dropped_by: INT, raw: BOOLEAN>>
 """
 
@@ -162,7 +164,8 @@ def page_tree(html: Column, drop_tags: tuple[str, ...] = DROP_TAGS) -> Column:
     """STRUCT<elements, texts>.
 
     `dropped_by` is the number of the nearest enclosing element that is a dropped tag, hidden
-    or a noise block, -1 when there is none.  `t0`..`t1` is the range of an element's texts.
+    or a noise block, -1 when there is none.  `t0`..`t1` is the range of an
+    element's texts, `c0`..`c1` that of the table cells in it.
     """
     dropped = frozenset(drop_tags)
 
@@ -194,7 +197,7 @@ def hint_text(value) -> str:
         value = next((v for v in value if not _is_empty(v)), "")
     if isinstance(value, dict):
         value = next((value[k] for k in NAME_KEYS if value.get(k)), "")
-    return _SPACES.sub(" ", str(value).strip())[:HINT_LENGTH] if value is not None else ""
+    return _SPACES.sub(" ", str(value).strip()) if value is not None else ""
 
 
 def _decode(text: str, start: int = 0):
@@ -227,7 +230,8 @@ def _types(item: dict) -> list[str]:
 
 
 def _flatten(document) -> list[dict]:
-    """Every JSON object in document order, with its parent, the key leading to it and its texts."""
+    """Every JSON object in document order, with its parent, the key leading to it and its texts; the
+    objects below it are those from the next one up to `end`."""
     nodes: list[dict] = []
     pending = [(document, -1, "", True)]
     while pending:
@@ -247,16 +251,20 @@ def _flatten(document) -> list[dict]:
                     children.append((child, no, name, linked and key in LINKED_DATA_KEYS))
             nodes.append(
                 {
-                    "no": no, "parent": parent, "via": via, "linked": linked, "types": _types(value),
+                    "no": no, "end": no + 1, "parent": parent, "via": via, "linked": linked, "types": _types(value),
                     "fields": fields, "keys": " ".join(str(k).lower() for k in value),
                 }
             )
             pending.extend(reversed(children))
+    for node in reversed(nodes):
+        if node["parent"] >= 0:
+            above = nodes[node["parent"]]
+            above["end"] = max(above["end"], node["end"])
     return nodes
 
 
 PAYLOADS_TYPE = """
-    ARRAY<STRUCT<src: INT, seq: INT, nodes: ARRAY<STRUCT<no: INT, parent: INT, via: STRING,
+    ARRAY<STRUCT<src: INT, seq: INT, nodes: ARRAY<STRUCT<no: INT, end: INT, parent: INT, via: STRING,
         linked: BOOLEAN, types: ARRAY<STRING>, fields: MAP<STRING,STRING>, keys: STRING>>>>
 """
 

@@ -116,7 +116,7 @@ def url_variants(url: Column) -> Column:
     toggled = F.when(own_path.endswith("/"), F.regexp_replace(own_path, "/+$", "")).otherwise(
         F.concat(own_path, F.lit("/"))
     )
-    other_host = F.when(authority.startswith("www."), F.substring(authority, 5, 4096)).otherwise(
+    other_host = F.when(authority.startswith("www."), F.regexp_replace(authority, r"^www\.", "")).otherwise(
         F.concat(F.lit("www."), authority)
     )
     deep = own_path != "/"

@@ -25,6 +25,7 @@ REVIEW_ACTIONS = (
     "如需长期追踪，建议为该页面配置通知通道，把变化直接推送给业务方。",
 )
 REMOVED_ACTION = "有字段消失，建议检查目标站点是否改版或字段是否被折叠。"
+# ---- end of fixed values
 
 
 def canonical_text(value: Column) -> Column:
@@ -145,10 +146,10 @@ def _labels_of(kind: str) -> Column:
     )
 
 
-def _listed(prefix: str, labels: Column, most: int, suffix: str = "") -> Column:
+def _listed(prefix: str, labels: Column, suffix: str = "") -> Column:
     return F.when(
         F.size(labels) > 0,
-        F.concat(F.lit(prefix), F.array_join(F.slice(labels, 1, most), "、"), F.lit(suffix)),
+        F.concat(F.lit(prefix), F.array_join(labels, "、"), F.lit(suffix)),
     )
 
 
@@ -162,19 +163,16 @@ def change_summary(compared: DataFrame) -> DataFrame:
     updated, added, removed = (_labels_of(k) for k in ("updated", "added", "removed"))
     impact = F.concat_ws(
         "；",
-        _listed("主要变动集中在 ", updated, 3),
-        _listed("新增字段 ", added, 2),
-        _listed("消失字段 ", removed, 2),
+        _listed("主要变动集中在 ", updated),
+        _listed("新增字段 ", added),
+        _listed("消失字段 ", removed),
     )
-    actions = F.slice(
-        F.array_compact(
-            F.array(
-                _listed("优先核对 ", updated, 3, " 这些核心字段是否影响当前判断。"),
-                *[F.lit(a) for a in REVIEW_ACTIONS],
-                F.when(F.size(removed) > 0, F.lit(REMOVED_ACTION)),
-            )
-        ),
-        1, 3,
+    actions = F.array_compact(
+        F.array(
+            _listed("优先核对 ", updated, " 这些核心字段是否影响当前判断。"),
+            *[F.lit(a) for a in REVIEW_ACTIONS],
+            F.when(F.size(removed) > 0, F.lit(REMOVED_ACTION)),
+        )
     )
     changed = F.col("changed_count") > 0
     return compared.select(
@@ -189,7 +187,7 @@ def change_summary(compared: DataFrame) -> DataFrame:
         .when(F.col("has_previous"), F.array(*[F.lit(a) for a in STABLE_ACTIONS]))
         .otherwise(F.array().cast("array<string>"))
         .alias("suggested_actions"),
-        F.transform(F.slice(F.coalesce("changes", F.array()), 1, 5), lambda c: c["summary"]).alias("summary_lines"),
+        F.transform(F.coalesce("changes", F.array()), lambda c: c["summary"]).alias("summary_lines"),
         F.when(changed, severity(F.col("changed_count"))).alias("severity"),
     )
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagetide.functions.page_tree import HINT_LENGTH, json_payloads
+from pagetide.functions.page_tree import json_payloads
 from pagetide.operators.pages import attr, page_title_sql, texts_sql
 
 Rules = dict[str, list[str]]
@@ -43,7 +43,6 @@ SCRIPT_MARKERS = (
     "externalPath", "locationsText", "requisitionId", "refNumber", "opening", "jobPosting", "jobReqId",
 )
 CANDIDATE_FIELDS = ("price", "publish_date", "availability", "billing_period", "salary_range")
-CANDIDATE_LIMIT = 5
 HAS_CURRENCY = r"(?i)[$€£¥]|USD|EUR|GBP|CNY|RMB"
 PRODUCT_TYPES = ("product", "softwareapplication", "service", "offer")
 ORGANIZATION_TYPES = ("organization", "governmentorganization", "corporation")
@@ -151,8 +150,13 @@ def _first_value(items: str) -> str:
     return f"get(filter({items}, v -> v <> ''), 0)"
 
 
+def _below(node: str) -> str:
+    """All nodes below one: a slice, as nodes are in document order."""
+    return f"slice(p.nodes, {node}.no + 2, {node}.end - {node}.no - 1)"
+
+
 def _children(node: str, *via: str) -> str:
-    return f"filter(p.nodes, c -> c.parent = {node}.no AND c.via IN ({_quoted(via)}))"
+    return f"filter({_below(node)}, c -> c.parent = {node}.no AND c.via IN ({_quoted(via)}))"
 
 
 def _over_children(node: str, via: str, names: Sequence[str]) -> str:
@@ -180,9 +184,7 @@ def _offer_part(part: str) -> str:
     their price specifications."""
     listed = _children("n", "offers")
     own = f"CASE WHEN {_typed('n', OFFER_TYPES)} AND NOT {_has_key('n', ('offers', 'offers#'))} THEN array(n) ELSE {listed} END"
-    specs = (
-        f"filter(p.nodes, c -> c.via = 'pricespecification' AND exists({own}, o -> o.no = c.parent))"
-    )
+    specs = f"flatten(transform({own}, o -> {_children('o', 'pricespecification')}))"
     rule = OFFER_PARTS[part]
     return (
         f"coalesce({_first_value(f'transform({own}, o -> {rule})')}, "
@@ -200,7 +202,7 @@ def _salary() -> str:
     text = (
         f"trim(concat_ws(' ', coalesce(a.fields['currency'], {base}.fields['currency'], ''), {figure}, a.fields['unittext']))"
     )
-    amounts = f"filter(p.nodes, a -> a.parent = {base}.no AND a.via = 'value' AND {figure} IS NOT NULL)"
+    amounts = f"get(transform(array({base}), b -> filter({_children('b', 'value')}, a -> {figure} IS NOT NULL)), 0)"
     return f"coalesce({_first_value(f'transform({amounts}, a -> {text})')}, n.fields['basesalary'])"
 
 
@@ -232,8 +234,8 @@ def _card_rules() -> Rules:
     is_list = "(" + " OR ".join(f"int(n.fields['{k}#']) > 1" for k in JOB_LIST_KEYS) + ")"
     card = f"get({_children('n', *JOB_LIST_KEYS)}, 0)"
     noted = (
-        f"filter(p.nodes, m -> m.parent = {card}.no AND m.via IN ('metadata', 'fields', 'tags') "
-        f"AND array_join(map_values(m.fields), ' ') RLIKE {_quoted([SALARY_MARKS])})"
+        f"get(transform(array({card}), k -> filter({_children('k', 'metadata', 'fields', 'tags')}, m -> "
+        f"array_join(map_values(m.fields), ' ') RLIKE {_quoted([SALARY_MARKS])})), 0)"
     )
     from_notes = _first_value(f"transform({noted}, m -> {_get('m', 'value', 'text', 'label', 'name', 'content')})")
     rules: Rules = {}
@@ -387,7 +389,7 @@ def meta_hints() -> str:
 def with_hints(parsed: DataFrame) -> DataFrame:
     """Add `all_hints` ARRAY<STRUCT<src, seq, field, value>> in order of precedence, the map `hints`
     of winners and the map `hint_candidates` of distinct values."""
-    tidy = r"substring(trim(regexp_replace(e.value, '(?U)\\s+', ' ')), 1, " + str(HINT_LENGTH) + ")"
+    tidy = r"trim(regexp_replace(e.value, '(?U)\\s+', ' '))"
     everything = (
         f"transform(concat(CASE WHEN size(_payloads) > 0 THEN {_payload_entries()} "
         "ELSE CAST(array() AS ARRAY<STRUCT<src: INT, seq: INT, field: STRING, value: STRING>>) END, "
@@ -409,7 +411,7 @@ def with_hints(parsed: DataFrame) -> DataFrame:
             "hint_candidates",
             F.expr(
                 f"map_from_entries(filter(transform(filter({names}, w -> w IN ({_quoted(CANDIDATE_FIELDS)})), "
-                f"w -> struct(w AS key, slice({values}, 1, {CANDIDATE_LIMIT}) AS value)), c -> size(c.value) > 1))"
+                f"w -> struct(w AS key, {values} AS value)), c -> size(c.value) > 1))"
             ),
         )
     )

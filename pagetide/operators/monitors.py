@@ -296,7 +296,7 @@ def with_business_text(alerts: DataFrame) -> DataFrame:
     """Add `business_summary` and `recommended_actions`; reads the columns of `with_severity`."""
     scenario = F.coalesce(F.when(F.trim("profile.scenario_label") != "", F.trim("profile.scenario_label")), F.lit(DEFAULT_SCENARIO))
     focus = F.coalesce(F.when(F.trim("profile.alert_focus") != "", F.trim("profile.alert_focus")), F.lit("关键字段"))
-    matches = F.array_join(F.slice("focus_matches", 1, 3), "、")
+    matches = F.array_join("focus_matches", "、")
     focused, changed = F.size("focus_matches") > 0, F.size("changed_fields")
     level = F.col("alert_level")
     summary = (
@@ -311,7 +311,7 @@ def with_business_text(alerts: DataFrame) -> DataFrame:
         if "business_goal" in alerts.schema["profile"].dataType.fieldNames()
         else F.lit("")
     )
-    kept = lambda *xs: F.slice(F.array_compact(F.array(*xs)), 1, 3)
+    kept = lambda *xs: F.array_compact(F.array(*xs))
     actions = (
         F.when(level == "error", F.array(*[F.lit(a) for a in ERROR_ACTIONS]))
         .when(

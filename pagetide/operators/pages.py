@@ -19,7 +19,7 @@ BULLET = "  • "
 CELL_SEPARATOR = " | "
 TRUNCATION_MARK = "\n\n[... 内容已截断 ...]"
 SENTENCE_ENDS = ("。", ".", "！", "!", "？", "?")
-JOB_BLOCK_LENGTH, JOB_BLOCK_LIMIT, JOB_BLOCK_MINIMUM = 12, 24, 3
+JOB_BLOCK_LENGTH, JOB_BLOCK_MINIMUM = 12, 3
 # ---- end of fixed values
 
 
@@ -72,11 +72,11 @@ def _line_sql() -> str:
     """The text line of a heading, paragraph, list item or table row; NULL for others."""
     text = texts_sql("e", "", "_from")
     cells = (
-        "transform(filter(_cells, c -> c.no > e.no AND c.no < e.end), "
+        "transform(filter(slice(_cells, e.c0 + 1, e.c1 - e.c0), c -> c.dropped_by < _from), "
         f"c -> {texts_sql('c', '', '_from')})"
     )
-    return f"""CASE WHEN e.tag = 'tr'
-          THEN CASE WHEN array_join({cells}, '') <> '' THEN array_join({cells}, '{CELL_SEPARATOR}') END
+    row = f"get(transform(array({cells}), x -> CASE WHEN array_join(x, '') <> '' THEN array_join(x, '{CELL_SEPARATOR}') END), 0)"
+    return f"""CASE WHEN e.tag = 'tr' THEN {row}
         ELSE get(transform(filter(array({text}), x -> x <> ''), x -> CASE
           WHEN e.tag = 'p' THEN concat(x, '\\n') WHEN e.tag = 'li' THEN concat('{BULLET}', x)
           ELSE concat('\\n', repeat('#', int(substring(e.tag, 2, 1))), ' ', x, '\\n') END), 0) END"""
@@ -141,7 +141,7 @@ def _job_blocks() -> Column:
         tidy,
         lambda gs: F.transform(
             F.sequence(F.lit(1), F.lit(len(groups))),
-            lambda i: F.slice(F.array_distinct(F.flatten(F.slice(gs, F.lit(1), i))), 1, JOB_BLOCK_LIMIT),
+            lambda i: F.array_distinct(F.flatten(F.slice(gs, F.lit(1), i))),
         ),
     )
     enough = F.get(F.filter(growing, lambda blocks: F.size(blocks) >= JOB_BLOCK_MINIMUM), 0)
@@ -167,7 +167,7 @@ def with_clean_text(
     )
     body = plain
     if keep_structure:
-        rows = rows.withColumn("_cells", F.expr("filter(_kept, e -> e.tag IN ('td', 'th'))")).withColumn(
+        rows = rows.withColumn("_cells", F.expr("filter(tree.elements, e -> e.tag IN ('td', 'th'))")).withColumn(
             "_lines",
             F.expr(
                 "array_compact(transform(filter(_kept, e -> e.tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'p', 'li', 'tr')), "

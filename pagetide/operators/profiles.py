@@ -236,7 +236,7 @@ def learn_profiles(results: DataFrame, profiles: DataFrame) -> DataFrame:
     good = results.where(worth_keeping(F.col("data"), F.col("selected_fields"), F.col("strategy")))
     matched = match_profiles(good, profiles, include_inactive=True)
     plan = F.array_join(F.array_sort(F.array_distinct("selected_fields")), ",")
-    own_key = F.concat(F.lit("lp-"), F.substring(F.sha2(F.concat_ws("|", hostname(F.col("url")), path_prefix(F.col("url")), plan), 256), 1, 12))
+    own_key = F.concat(F.lit("lp-"), F.sha2(F.concat_ws("|", hostname(F.col("url")), path_prefix(F.col("url")), plan), 256))
     last = F.struct("finished_at", "result_id")
     name = F.lower(F.trim("strategy"))
     fresh = (

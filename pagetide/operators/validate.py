@@ -20,7 +20,6 @@ PRICE_FORMAT = r"^[￥$€£]?\s*[\d,]+(?:\.\d+)?(?:\s*[-~至]\s*[￥$€£]?\s*
 MOJIBAKE_MARKERS = "鍚鍟鍏鐞锟麓涓绻Ãâ"
 LOW_DYNAMIC, LOW_FIXED, FAILED_FIXED = 0.5, 0.5, 0.3
 ERROR_PENALTY, WARNING_PENALTY = 0.2, 0.05
-EVIDENCE_LIMIT, EVIDENCE_LENGTH = 5, 240
 # ---- end of fixed values
 
 
@@ -44,7 +43,7 @@ def format_warnings(field: Column, value: Column) -> Column:
             F.when(looks_like_mojibake(value), F.concat(F.lit("decode_mojibake_suspected: field '"), field, F.lit("'"))),
             F.when(
                 name.contains("url") & ~value.rlike(URL_FORMAT),
-                F.concat(F.lit("字段 '"), field, F.lit("' 不是标准 URL: "), F.substring(value, 1, 60)),
+                F.concat(F.lit("字段 '"), field, F.lit("' 不是标准 URL: "), value),
             ),
             F.when(
                 name.contains("date") & ~value.rlike(DATE_FORMAT),
@@ -178,8 +177,8 @@ def range_checks(df: DataFrame, rating: str = "rating", reviews: str = "review_c
 
 
 def field_evidence(hint_rows: DataFrame) -> DataFrame:
-    """at most five distinct values of each page and field, in order of precedence."""
-    value = F.substring(F.trim("value"), 1, EVIDENCE_LENGTH)
+    """the distinct values of each page and field, in order of precedence."""
+    value = F.trim("value")
     distinct = (
         hint_rows.where(F.trim("value") != "")
         .groupBy("page_id", "field", value.alias("value"))
@@ -188,7 +187,7 @@ def field_evidence(hint_rows: DataFrame) -> DataFrame:
     # One page's values of one field: a handful of hint sources, so the list is bounded by the page.
     ordered = F.array_sort(F.collect_list(F.struct("at", "value")))
     return distinct.groupBy("page_id", "field").agg(
-        F.transform(F.slice(ordered, 1, EVIDENCE_LIMIT), lambda e: e["value"]).alias("evidence")
+        F.transform(ordered, lambda e: e["value"]).alias("evidence")
     )
 
 

@@ -61,8 +61,8 @@ def page_element_counts(spark, sf):
     )
 
 
-@query("page_hints", f"""SELECT page_id, substr(trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')), 1, 240) AS title, 1 AS hint_count,
-  'Structured extraction hints:' || chr(10) || 'title: ' || substr(trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')), 1, 240) AS block FROM pages""")
+@query("page_hints", f"""SELECT page_id, trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')) AS title, 1 AS hint_count,
+  'Structured extraction hints:' || chr(10) || 'title: ' || trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')) AS block FROM pages""")
 def page_hints(spark, sf):
     return H.with_hints(P.parse_pages(V.pages(spark, sf))).select(
         "page_id", F.element_at("hints", "title").alias("title"), F.size("hints").alias("hint_count"), H.hint_block().alias("block")
@@ -179,7 +179,7 @@ def completed_extraction(spark, sf):
     )
 
 
-@query("page_insights", """SELECT p_partkey AS page_id, p_name AS headline, 3 AS evidence_spans, 'medium' AS confidence FROM part""")
+@query("page_insights", """SELECT p_partkey AS page_id, p_name AS headline, 4 AS evidence_spans, 'medium' AS confidence FROM part""")
 def page_insights(spark, sf):
     return X.insight_rows(_extracted(spark, sf)).select(
         "page_id", "headline", F.size("evidence").alias("evidence_spans"), "confidence"
@@ -199,7 +199,7 @@ _HEADING_NOISE = "structured extraction hints|skip to|main content|cookie|privac
 _STRIP = "trim(regexp_replace(s, '^[#>*\\-•\\s]+', ''))"
 _LABEL = "regexp_matches(s, '^[^:：]{1,20}\\s*[:：]\\s*\\S+')"
 _DOCS = f"""WITH d AS (SELECT doc_id AS page_id, text, {_LINES} AS lines FROM documents),
-t AS (SELECT *, coalesce(list_transform(list_filter(lines[1:8], lambda s: NOT {_LABEL} AND NOT regexp_matches(lower(s), '{_HEADING_NOISE}')
+t AS (SELECT *, coalesce(list_transform(list_filter(lines, lambda s: NOT {_LABEL} AND NOT regexp_matches(lower(s), '{_HEADING_NOISE}')
     AND length({_STRIP}) BETWEEN 4 AND 80 AND NOT regexp_matches(lower(s), '{_NOISE}')), lambda s: {_STRIP})[1],
   list_transform(list_filter(lines[1:1], lambda s: {_STRIP} <> '' AND NOT regexp_matches(lower(s), '{_NOISE}')), lambda s: {_STRIP})[1], '') AS title FROM d)"""
 
@@ -210,10 +210,10 @@ def document_lines(spark, sf):
 
 
 @query("document_rules", _DOCS + f""",
-x AS (SELECT *, substr(list_filter(lines, lambda s: s <> title AND NOT {_LABEL} AND length(s) >= 18)[1], 1, 240) AS description,
-  nullif(substr(array_to_string(list_filter(lines, lambda s: s <> title AND length(s) >= 16 AND NOT {_LABEL})[1:6], chr(10)), 1, 1200), '') AS content FROM t)
+x AS (SELECT *, list_filter(lines, lambda s: s <> title AND NOT {_LABEL} AND length(s) >= 18)[1] AS description,
+  nullif(array_to_string(list_filter(lines, lambda s: s <> title AND length(s) >= 16 AND NOT {_LABEL}), chr(10)), '') AS content FROM t)
 SELECT page_id, nullif(title, '') AS title, description, content,
-  nullif(substr(trim(regexp_replace(coalesce(description, content, text), '\\s+', ' ', 'g')), 1, 120), '') AS summary FROM x""")
+  nullif(trim(regexp_replace(coalesce(description, content, text), '\\s+', ' ', 'g')), '') AS summary FROM x""")
 def document_rules(spark, sf):
     rows = X.with_lines(V.documents(spark, sf)).withColumn(
         "fields", F.array(*[F.lit(f) for f in ("title", "description", "content", "summary")])

@@ -67,11 +67,11 @@ lists AS (SELECT run_id, list(label ORDER BY field) FILTER (change_type = 'updat
   FROM labelled GROUP BY run_id)
 SELECT p.run_id,
   CASE WHEN p.prev_id IS NULL THEN '' WHEN l.run_id IS NULL THEN '当前与上一条成功记录相比没有字段变化。' ELSE
-   concat_ws('；', CASE WHEN len(u) > 0 THEN '主要变动集中在 ' || array_to_string(u[1:3], '、') END,
-    CASE WHEN len(a) > 0 THEN '新增字段 ' || array_to_string(a[1:2], '、') END,
-    CASE WHEN len(r) > 0 THEN '消失字段 ' || array_to_string(r[1:2], '、') END) END AS impact_summary,
+   concat_ws('；', CASE WHEN len(u) > 0 THEN '主要变动集中在 ' || array_to_string(u, '、') END,
+    CASE WHEN len(a) > 0 THEN '新增字段 ' || array_to_string(a, '、') END,
+    CASE WHEN len(r) > 0 THEN '消失字段 ' || array_to_string(r, '、') END) END AS impact_summary,
   CASE WHEN p.prev_id IS NULL THEN '' WHEN l.run_id IS NULL THEN '当前页面表现稳定，可继续保留在监控名单中。'
-   WHEN len(u) > 0 THEN '优先核对 ' || array_to_string(u[1:3], '、') || ' 这些核心字段是否影响当前判断。'
+   WHEN len(u) > 0 THEN '优先核对 ' || array_to_string(u, '、') || ' 这些核心字段是否影响当前判断。'
    ELSE '先人工复核变化字段，确认这是业务真实变化而不是页面噪声。' END AS first_action
 FROM prev p LEFT JOIN lists l USING (run_id) WHERE p.status = 'success'""")
 def change_impact_text(spark, sf):

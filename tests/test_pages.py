@@ -137,3 +137,31 @@ def test_links(spark):
     df = frame(spark, '<link rel="canonical" href="/x"><meta property="og:url" content="y">')
     row = df.select(P.canonical_url(F.col("url")).alias("c"), P.og_url(F.col("url")).alias("o")).first()
     assert (row.c, row.o) == ("https://a.com/x", "https://a.com/b/y")
+
+
+def test_whole_hints_blocks_and_lines_are_kept(spark):
+    body = "long article text " * 300
+    cards = "".join(f'<div class="job-card">Job number {k} in a large city</div>' for k in range(100))
+    pages = [
+        (1, f'<script type="application/ld+json">{{"@type": "Article", "articleBody": "{body}"}}</script><p>x</p>'),
+        (2, f"<div>{cards}</div>"),
+    ]
+    rows = P.parse_pages(spark.createDataFrame([(i, "http://a.example/", h) for i, h in pages], "page_id int, url string, html string"))
+    found = {r["page_id"]: r for r in H.with_hints(P.with_clean_text(rows)).select("page_id", "clean_text", "hints").collect()}
+    assert found[1]["hints"]["content"] == body.strip()
+    assert found[2]["clean_text"].count("Job number") == 100
+
+
+def test_rows_of_a_long_table_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        table = "<table>" + "".join("<tr>" + "".join(f"<td>cell {k} {c}</td>" for c in range(5)) + "</tr>" for k in range(n)) + "</table>"
+        rows = P.with_clean_text(P.parse_pages(spark.createDataFrame([(1, "http://a.example/", table)], "page_id int, url string, html string")))
+        start = time.perf_counter()
+        text = rows.select("clean_text").first()[0]
+        assert text.count(" | ") == 4 * n
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(16_000) < 5 * seconds(8_000) + 2
