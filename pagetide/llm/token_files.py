@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,29 +34,61 @@ def _tokenizer(model: str) -> Tokenizer:
     return Tokenizer.from_str(model)
 
 
-def _plain(chunk: str) -> list[str]:
-    """A chunk as parts that the tokenizer encodes alike on their own: a word and one full stop or comma after it."""
-    body = chunk[:-1] if chunk[-1:] in (".", ",") else chunk
-    if not (body.isalpha() and body.lower().isalpha()):
-        return [chunk]
-    return [body.lower() if body.isascii() else body, *chunk[len(body) :]]
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes for the code points from 256 on."""
+    hidden = [b for b in range(256) if not (0x21 <= b < 0x7F or 0xA1 <= b < 0xAD or b >= 0xAE)]
+    return {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+# Words of letters below this code point have one form only: composed, and lower-cased letter by letter.
+_LATIN = "\u0250"
+
+
+def _plain(chunk: str) -> tuple[str, ...]:
+    """A chunk as parts that the tokenizer encodes alike on their own: a word and the ASCII punctuation after it."""
+    body = chunk.rstrip(string.punctuation)
+    if not body.isalpha():
+        return (chunk,)
+    low = body.lower()
+    if not low.isalpha():
+        return (chunk,)
+    if body.isascii() or max(low) < _LATIN:
+        body = low
+    return (body,) if len(body) == len(chunk) else (body, chunk[len(body) :])
+
+
+def _encoded(words: list[str], tokenizer: Tokenizer) -> list[list[int]]:
+    """Ids of each word. Lower-case Latin words pass the normalizer and the splitter as they are, so they go to the
+    model itself, in the byte-level alphabet; all others go through the whole tokenizer."""
+    ids: list[list[int]] = [[]] * len(words)
+    merge = tokenizer.model.tokenize
+    others = []
+    for k, word in enumerate(words):
+        if word.isalpha() and word.islower() and max(word) < _LATIN:
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+            ids[k] = [t.id for t in merge(letters)]
+        else:
+            others.append(k)
+    for at in range(0, len(others), SENT_WORDS):
+        part = others[at : at + SENT_WORDS]
+        for k, e in zip(part, tokenizer.encode_batch_fast([words[k] for k in part], add_special_tokens=False), strict=True):
+            ids[k] = e.ids
+    return ids
 
 
 def _ids_of(chunks: list[bytes], tokenizer: Tokenizer) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the chunks, one after the other, and how many each has. A text's white space ends every token, so the ids
     of a text are those of its chunks between white space."""
+    parts = [_plain(c.decode()) for c in chunks]
     index = WordIndex()
-    parts = [index(_plain(c.decode())) for c in chunks]
-    words = index.words()
-    ids: list[np.ndarray] = []
-    for k in range(0, len(words), SENT_WORDS):
-        ids += [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(words[k : k + SENT_WORDS], add_special_tokens=False)]
+    order = index([w for own in parts for w in own])
+    ids = _encoded(index.words(), tokenizer)
     sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.concatenate([np.zeros(0, np.uint32), *ids])
-    order = np.concatenate([np.zeros(0, np.uint32), *parts])
+    flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
     found, per_part = gather(flat, np.cumsum(sizes) - sizes, sizes, order)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-    upto = np.concatenate(([0], np.cumsum(per_part)))[np.concatenate(([0], ends))]
+    upto = np.concatenate(([0], np.cumsum(per_part)))[np.concatenate(([0], ends)).astype(np.int64)]
     return found, np.diff(upto)
 
 
@@ -77,9 +111,11 @@ def _encode(model: Broadcast, bounds: np.ndarray, end_id: int) -> Callable[[Iter
                 while last < len(texts) and words < BATCH_IDS // 2:
                     words += len(sequences[last]) + 1
                     last += 1
-                lists = [gather(ids, starts, sizes, np.concatenate((sequences[k], end)))[0] for k in range(doc, last)]
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
-                values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(lists).view(np.int32)))
+                chunks = np.concatenate([x for k in range(doc, last) for x in (sequences[k], end)])
+                found, size = gather(ids, starts, sizes, chunks)
+                ends = np.cumsum([len(sequences[k]) + 1 for k in range(doc, last)])
+                offsets = np.concatenate(([0], np.cumsum(size)[ends - 1]))
+                values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(part[doc:last], pa.int32()), doc_ids[doc:last], hashes[doc:last], values], ["part", "doc_id", "text_hash", "ids"]
                 )
