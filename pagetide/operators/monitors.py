@@ -231,7 +231,7 @@ def with_severity(alerts: DataFrame) -> DataFrame:
     removed = F.size(F.filter("changed_fields", lambda c: c["change_type"] == "removed"))
     focused = F.size("focus_matches")
     return (
-        alerts.withColumn("_terms", focus_terms())
+        alerts.withColumn("_terms", focus_terms(F.col("field_labels") if "field_labels" in alerts.columns else None))
         .withColumn("focus_matches", focus_matches(F.col("_terms")))
         .withColumn(
             "severity",
@@ -312,8 +312,13 @@ def with_business_text(alerts: DataFrame) -> DataFrame:
         else F.lit("")
     )
     kept = lambda *xs: F.array_compact(F.array(*xs))
+    # A site with a learned profile or a memory needs no advice to build one.
+    known_site = F.lit(False)
+    for name in ("learned_profile_id", "last_learned_profile_id", "site_memory"):
+        if name in alerts.columns:
+            known_site = known_site | (F.coalesce(F.col(name).cast("string"), F.lit("")) != "")
     actions = (
-        F.when(level == "error", F.array(*[F.lit(a) for a in ERROR_ACTIONS]))
+        F.when(level == "error", kept(*[F.lit(a) for a in ERROR_ACTIONS[:2]], F.when(~known_site, F.lit(ERROR_ACTIONS[2]))))
         .when(
             level == "changed",
             kept(

@@ -18,6 +18,7 @@ HIGH_RISK_COMPLETENESS, MEDIUM_RISK_COMPLETENESS = 0.35, 0.6
 KEEP_FILLED, KEEP_COMPLETENESS, REPAIRED_COMPLETENESS = 2, 0.6, 0.8
 RISK_ACTIONS = {
     "paused": "暂不参与规则复用；确认页面结构稳定后再恢复",
+    "reason": "先复核停用原因，再决定是否重新启用",
     "disable": "建议先停用这条学习档案，避免低质量规则继续命中",
     "relearn": "对最近命中的页面重新执行一次 LLM 学习，刷新字段方案",
     "narrow": "优先缩小字段范围，只保留稳定且业务关键的字段",
@@ -106,9 +107,10 @@ def risk_level() -> Column:
     )
 
 
-def risk_actions() -> Column:
-    """Recommended actions of a profile row that has `risk_level`."""
+def risk_actions(disabled_reason: Column | None = None) -> Column:
+    """Recommended actions of a profile row that has `risk_level`; a paused one with a reason is told to look at it."""
     say = lambda condition, name: F.when(condition, RISK_ACTIONS[name])
+    reason = F.lit(None).cast("string") if disabled_reason is None else say(F.trim(disabled_reason) != "", "reason")
     level = F.col("risk_level")
     watch = F.array_compact(
         F.array(
@@ -121,7 +123,7 @@ def risk_actions() -> Column:
         F.array(F.lit(RISK_ACTIONS["disable"]), F.lit(RISK_ACTIONS["relearn"]), say(F.size("selected_fields") >= 4, "narrow"))
     )
     return (
-        F.when(level == "paused", F.array(F.lit(RISK_ACTIONS["paused"])))
+        F.when(level == "paused", F.array_compact(F.array(F.lit(RISK_ACTIONS["paused"]), reason)))
         .when(level == "high", high)
         .when(F.size(watch) > 0, watch)
         .otherwise(F.array(F.lit(RISK_ACTIONS["steady"])))

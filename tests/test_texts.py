@@ -118,3 +118,17 @@ def test_shell_markers_use_the_whole_page(spark):
 def test_lenient_object(spark):
     assert value(spark, T.lenient_object, 'noise {"a": {"b": 1}} tail') == {"a": '{"b":1}'}
     assert value(spark, T.lenient_object, "no json") is None
+
+
+@pytest.mark.parametrize(
+    "text,expected",
+    [
+        ("The lamp is currently unavailable", "unavailable"), ("Out of stock. Available from May", "out of stock"),
+        ("Available now", "available"), ("Sold out, was available", "sold out"), ("no word of it", None),
+    ],
+)
+def test_stock_words_count_whole_and_missing_stock_first(spark, text, expected):
+    from pagetide.operators import extract as X
+
+    row = spark.createDataFrame([(text,)], "text string").select(F.expr(X._first_marker(X.AVAILABILITY_MARKERS, "lower(text)")).alias("m")).first()
+    assert row["m"] == expected
