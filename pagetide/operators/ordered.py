@@ -7,12 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of one key are cut into runs of this many consecutive order values.
+# Rows of the whole table that a span of the order axis holds, about.
 DEFAULT_SPAN = 1_000_000
 
 
-def _span_of(order: str, span: int) -> Column:
-    return F.expr(f"`{order}` div {int(span)}")
+def with_span(df: DataFrame, order: str, span: int) -> DataFrame:
+    """Add `_span`: the number of the row's range of the order column, each holding about `span` rows.
+
+    Ranges end at quantiles of the order column, so sparse, hashed and time-based ids are cut as evenly as dense
+    ones. The quantiles come from one aggregate over that column; a row finds its range by bisection, one column a
+    step. A table of at most `span` rows is one range. Equal order values are never parted.
+    """
+    parts = -(-df.count() // int(span))
+    if parts <= 1:
+        return df.withColumn("_span", F.lit(0))
+    shares = [k / parts for k in range(1, parts)]
+    bounds = sorted(set(df.agg(F.percentile_approx(order, shares, 100 * parts).alias("b")).first()["b"] or []))
+    if not bounds:
+        return df.withColumn("_span", F.lit(0))
+    step = 1 << (len(bounds).bit_length() - 1)
+    table = F.array(*[F.lit(b) for b in bounds + [bounds[-1]] * (2 * step - len(bounds))])
+    df = df.withColumn("_span", F.lit(0))
+    while step:
+        at = F.col("_span") + step
+        passed = (at <= len(bounds)) & (F.element_at(table, at) < F.col(order))
+        df = df.withColumn("_span", F.when(passed, at).otherwise(F.col("_span")))
+        step //= 2
+    return df
 
 
 def previous_where(
@@ -26,7 +47,7 @@ def previous_where(
 ) -> DataFrame:
     """Add `into`: column `value` of the nearest earlier row of the same key meeting `condition`.
 
-    A single window over the key would sort a hot key in one task.  Here the integer order axis
+    A single window over the key would sort a hot key in one task.  Here the order axis
     is cut into spans: a window looks back inside (key, span) only, and each span inherits the last
     match of the spans before it through a summary holding one row per (key, span).  The rows are
     shuffled once, by (key, span); the summary is combined map-side and is the only thing shuffled
@@ -39,7 +60,7 @@ def previous_where(
     hit = F.col(value) if condition is None else F.when(condition, F.col(value))
     rank = F.col(order) if condition is None else F.when(condition, F.col(order))
 
-    rows = df.withColumn("_span", _span_of(order, span))
+    rows = with_span(df, order, span)
     near = rows.withColumn("_near", F.last(hit, ignorenulls=True).over(inside))
     spans = (
         rows.groupBy(*cut)
@@ -93,7 +114,7 @@ def position_in_key(
     keys = list(keys)
     cut = keys + ["_span"]
     before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("_span", _span_of(order, span)).withColumn(
+    rows = with_span(df, order, span).withColumn(
         "_local", F.row_number().over(Window.partitionBy(*cut).orderBy(order))
     )
     spans = (

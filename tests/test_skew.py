@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pagetide.operators.ordered import position_in_key, previous_where, top_per_key
+from pagetide.operators.ordered import position_in_key, previous_where, top_per_key, with_span
 
 
 def _rows(spark):
@@ -40,6 +40,16 @@ def test_hot_key_is_cut_before_the_shuffle(spark):
 
 
 def test_window_rows_are_partitioned_by_span(spark):
-    plan = previous_where(_rows(spark), ["key"], "id", F.col("ok"), "id", "prev")
+    plan = previous_where(_rows(spark), ["key"], "id", F.col("ok"), "id", "prev", span=100)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(key" in text and "_span" in text
+
+
+def test_sparse_ids_are_cut_into_even_spans(spark):
+    rows = spark.range(3000).select(F.xxhash64("id").alias("id"), F.when(F.col("id") % 10 > 0, "hot").otherwise("cold").alias("key"))
+    sizes = [r["count"] for r in with_span(rows, "id", 300).groupBy("_span").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 400
+    w = Window.partitionBy("key").orderBy("id")
+    want = rows.withColumn("prev", F.lag("id").over(w)).withColumn("n", F.row_number().over(w))
+    got = position_in_key(previous_where(rows, ["key"], "id", None, "id", "prev", span=300), ["key"], "id", "n", span=300)
+    assert sorted(map(str, got.select("id", "prev", "n").collect())) == sorted(map(str, want.select("id", "prev", "n").collect()))
