@@ -217,9 +217,9 @@ def digest_targets(spark, sf):
 
 
 @query("unsent_targets", S.with_(S.NOTIFICATIONS, S.MONITORS, _MEMBERS, _TARGETS) + """SELECT tenant_id, target FROM tg WHERE NOT EXISTS (SELECT 1 FROM notes n WHERE n.tenant_id = tg.tenant_id AND n.target = tg.target
-  AND event_type = 'daily_digest' AND created_at >= TIMESTAMP '2024-01-30 23:00:00')""")
+  AND event_type = 'daily_digest' AND created_at >= TIMESTAMP '2024-01-30 00:00:00')""")
 def unsent_targets(spark, sf):
-    events = V.notification_events(spark, sf).where(F.col("created_at") >= F.lit("2024-01-30 23:00:00").cast("timestamp"))
+    events = V.notification_events(spark, sf)
     as_of = F.lit("2024-01-30 23:30:00").cast("timestamp")
     return N.unsent_targets(N.digest_targets(N.digest_members(V.monitors(spark, sf))), events, as_of).select("tenant_id", "target")
 
