@@ -1,4 +1,4 @@
-"""Media columns: payloads stored once each, by digest, as greyscale images in tar shards.
+"""Media columns: payloads stored by digest, once in each task, as greyscale images in tar shards.
 
 Rows hold digest, shard, offset and length. Metadata columns come from the first bytes of a member, read by range;
 the samples are read only where they are asked for.
@@ -84,58 +84,50 @@ def feature(samples: bytes, width: int) -> str:
     return f"grey8 {width}x{len(grey)} mean={grey.mean():.4f} std={grey.std():.4f} hash={bits}"
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digest and image of each payload that this task has not seen before."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        digests, images = [], []
-        for text in batch.column("text"):
-            data = payload(text.as_py())
-            digest = hashlib.sha256(data).digest()
-            if digest not in seen:
-                seen.add(digest)
-                digests.append(digest.hex())
-                images.append(to_image(data))
-        if digests:
-            yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array(images, pa.binary())], ["digest", "image"])
-
-
 def _write_shards(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = pa.fs.FileSystem.from_uri(folder)
         task = TaskContext.get()
+        seen: set[bytes] = set()
         rows: list[tuple[str, str, int, int]] = []
-        last, number, out, name = None, 0, None, ""
-        # Attempts write names of their own, so that one that fails leaves nothing that a row points to.
+        number, out, name = 0, None, ""
         for batch in batches:
-            for digest, image in zip(batch.column("digest").to_pylist(), batch.column("image"), strict=True):
-                if digest == last:
+            for text in batch.column("text"):
+                data = payload(text.as_py())
+                key = hashlib.sha256(data).digest()
+                if key in seen:
                     continue
-                last, data = digest, image.as_py()
+                seen.add(key)
+                digest, image = key.hex(), to_image(data)
                 if out is None:
+                    # Attempts write names of their own, so that one that fails leaves nothing that a row points to.
                     name = f"shard-{task.partitionId():06d}-{number:04d}-{task.taskAttemptId()}.tar"
                     number += 1
                     out = files.open_output_stream(f"{root}/{name}")
                 info = tarfile.TarInfo(f"{digest}.png")
-                info.size = len(data)
+                info.size = len(image)
                 head = info.tobuf(tarfile.USTAR_FORMAT)
-                rows.append((digest, name, out.tell() + len(head), len(data)))
-                out.write(head + data + bytes(-len(data) % tarfile.BLOCKSIZE))
+                rows.append((digest, name, out.tell() + len(head), len(image)))
+                out.write(head + image + bytes(-len(image) % tarfile.BLOCKSIZE))
                 if out.tell() >= SHARD_BYTES:
-                    out.write(bytes(2 * tarfile.BLOCKSIZE))
-                    out.close()
+                    _close(out)
                     out = None
                     yield _placed(rows)
                     rows = []
         if out is not None:
-            out.write(bytes(2 * tarfile.BLOCKSIZE))
-            out.close()
+            _close(out)
         if rows:
             yield _placed(rows)
 
     return run
 
 
+def _close(out: pa.NativeFile) -> None:
+    """End a tar file with its two empty blocks."""
+    out.write(bytes(2 * tarfile.BLOCKSIZE))
+    out.close()
+
+
 def _placed(rows: list[tuple[str, str, int, int]]) -> pa.RecordBatch:
     digest, shard, offset, length = (list(c) for c in zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(digest), pa.array(shard), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], ["digest", "shard", "offset", "length"])
@@ -148,16 +140,15 @@ def as_uri(folder: str) -> str:
 def store(docs: DataFrame, folder: str) -> DataFrame:
     """Write the payloads of docs (text) to tar shards below folder; (digest, shard, offset, length) of each distinct one.
 
-    A task drops the copies it has seen before the shuffle, so that many copies of a text send one image from each task.
-    The catalogue is stored; shards that no row of it names come from attempts that failed.
+    Tasks write what they read, each payload once, and no payload is shuffled. Where several tasks hold copies, the
+    catalogue names the place in the first shard. It is stored; shards that it does not name come from attempts that failed.
     """
     folder = as_uri(folder)
     files, root = pa.fs.FileSystem.from_uri(folder)
     files.create_dir(root, recursive=True)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    images = docs.select("text").mapInArrow(_encode, "digest string, image binary")
-    dealt = images.repartition(n, "digest").sortWithinPartitions("digest")
-    return stored(dealt.mapInArrow(_write_shards(folder), "digest string, shard string, offset long, length long"), "catalogue")
+    placed = stored(docs.select("text").mapInArrow(_write_shards(folder), _PLACE), "placed")
+    first = placed.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
+    return stored(first.select("digest", "at.*"), "catalogue")
 
 
 def _ranges(folder: str, batch: pa.RecordBatch, most: int | None) -> Iterator[bytes]:
@@ -185,13 +176,19 @@ def _headers(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
+def _by_shard(rows: DataFrame) -> DataFrame:
+    """Rows dealt out and sorted by their place, so that a task reads few shards from front to end."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "shard").sortWithinPartitions("shard", "offset")
+
+
 _PLACE = "digest string, shard string, offset long, length long"
 _METADATA = f"{_PLACE}, width int, height int, bit_depth int, colour_type int"
 
 
 def with_metadata(catalogue: DataFrame, folder: str) -> DataFrame:
     """The catalogue with width, height, bit_depth and colour_type, from a few bytes of each member."""
-    return catalogue.select("digest", "shard", "offset", "length").mapInArrow(_headers(as_uri(folder)), _METADATA)
+    return _by_shard(catalogue.select("digest", "shard", "offset", "length")).mapInArrow(_headers(as_uri(folder)), _METADATA)
 
 
 def _contents(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -216,7 +213,7 @@ def _contents(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 def contents(described: DataFrame, folder: str) -> DataFrame:
     """What the stored bytes of each member of a catalogue with metadata hold, read back from the shards."""
     schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return described.mapInArrow(_contents(as_uri(folder)), schema)
+    return _by_shard(described).mapInArrow(_contents(as_uri(folder)), schema)
 
 
 def padded(docs: DataFrame) -> DataFrame:

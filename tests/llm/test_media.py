@@ -1,4 +1,5 @@
 import hashlib
+import tarfile
 import zlib
 
 import pytest
@@ -33,13 +34,16 @@ def test_rows_hold_what_was_stored(given):
         assert r["feature"] == media.feature(data, 192)
 
 
-def test_each_payload_is_stored_once_in_readable_tar_files(spark, given, tmp_path):
-    import tarfile
-
+def test_tar_files_are_readable_and_hold_no_payload_twice(spark, given, tmp_path):
     docs, texts = given
-    catalogue = media.store(docs.union(docs), str(tmp_path / "shards")).collect()
-    names = [m.name for f in (tmp_path / "shards").glob("*.tar") for m in tarfile.open(f)]
-    assert len(names) == len(set(names)) == len(catalogue) == len(set(texts.values()))
+    rows = docs.union(docs).repartition(3)
+    catalogue = media.store(rows, str(tmp_path / "shards")).collect()
+    found = {f.name: {m.name: m for m in tarfile.open(f)} for f in (tmp_path / "shards").glob("*.tar")}
+    assert all(len(members) == len(tarfile.open(tmp_path / "shards" / name).getnames()) for name, members in found.items())
+    assert len(catalogue) == len({r["digest"] for r in catalogue}) == len(set(texts.values()))
+    for r in catalogue:
+        member = found[r["shard"]][f"{r['digest']}.png"]
+        assert (member.offset_data, member.size) == (r["offset"], r["length"])
 
 
 def test_header_reads_fill_metadata(spark, given):
