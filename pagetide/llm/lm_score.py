@@ -18,6 +18,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagetide.llm.common import stored
 from pagetide.llm.words import WordIndex, blocks, column
 
 CLASSES = 64
@@ -74,11 +75,19 @@ class Vocabulary:
 
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
-    """From the counts of all words; the driver gets the VOCABULARY - RARE most frequent, ties by their bytes."""
-    counts = docs.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - RARE).collect()
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return Vocabulary([bytes(r["word"]) for r in top], [r["n"] for r in top], total - sum(r["n"] for r in top))
+    """From the counts of all words; the driver gets the VOCABULARY - RARE most frequent, ties by their bytes.
+
+    Only words at least as frequent as the class of counts (an eighth of a doubling wide) in which the last of them
+    falls are sorted.
+    """
+    wanted = VOCABULARY - RARE
+    counts = stored(docs.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    size = F.floor(F.log2("n") * 8).cast("int")
+    classes = sorted((tuple(r) for r in counts.groupBy(size.alias("size")).agg(F.count("*"), F.sum("n")).collect()), reverse=True)
+    upto = np.cumsum([n for _, n, _ in classes])
+    lowest = classes[min(int(np.searchsorted(upto, wanted)), len(classes) - 1)][0] if classes else 0
+    top = counts.filter(size >= lowest).orderBy(F.desc("n"), "word").limit(wanted).collect()
+    return Vocabulary([bytes(r["word"]) for r in top], [r["n"] for r in top], sum(n for *_, n in classes) - sum(r["n"] for r in top))
 
 
 class Network:

@@ -104,3 +104,14 @@ def test_lm_prefers_running_text_to_shuffled_words(spark):
 def test_pipeline_runs_as_registered(spark):
     rows = entry.queries()["pipeline"](spark, SF_DIR)
     assert rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and rows.count() > 0
+
+
+def test_vocabulary_holds_the_most_frequent_words(spark, given):
+    from collections import Counter
+
+    docs, texts = given
+    n = Counter(lm_score._word(c) for t in texts.values() for c in t.encode().split())
+    found = lm_score.vocabulary(docs)
+    want = sorted(n.items(), key=lambda x: (-x[1], x[0]))[: lm_score.VOCABULARY - lm_score.RARE]
+    assert found.number == {w: k for k, (w, _) in enumerate(want)}
+    assert found.counts.sum() == pytest.approx(lm_score.VOCABULARY + sum(n.values()))
