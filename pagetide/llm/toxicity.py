@@ -21,6 +21,7 @@ FOLDS, HELD_OUT = 5, 0
 SAMPLE_DOCUMENTS = 12_000
 SAMPLE_FEATURES = 4_000
 HASH_BITS = 20
+SCORED_CHARS = 1 << 22
 # Letters of the beginnings of longer words that are features of their own.
 BEGINNINGS = (4, 8)
 # What occurs in a single document cannot pass L1 in so many epochs, so that no document is learned by heart.
@@ -121,8 +122,11 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int
 def _scores(texts: list[str], weights: np.ndarray) -> np.ndarray:
     """Chance of the label; each feature counts once in a text."""
     sums = np.full(len(texts), float(weights[-1]))
-    for k, found in enumerate(Hasher()(texts)):
-        sums[k] += weights[np.unique(found[weights[found] != 0])].sum(dtype=np.float64)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    # Features of so many characters of text are held at once.
+    for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends // SCORED_CHARS)) + 1):
+        for k, found in zip(part, Hasher()([texts[k] for k in part]), strict=True):
+            sums[k] += weights[np.unique(found[weights[found] != 0])].sum(dtype=np.float64)
     return 1.0 / (1.0 + np.exp(-np.clip(sums, -30.0, 30.0)))
 
 
