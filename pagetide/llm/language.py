@@ -8,7 +8,6 @@ at a time: segments of all texts of a batch step through the automata of all lan
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -145,11 +144,6 @@ class Parser:
         return [self.languages[k] for k in first], score, lengths / np.maximum(1, count[rows, first])
 
 
-@lru_cache(maxsize=1)
-def _parser(sample: Sample) -> Parser:
-    return Parser(sample)
-
-
 def learn(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> Sample:
     """A sample of each lang value of docs (doc_id, text, lang): bounded, so the driver may hold it.
 
@@ -175,11 +169,10 @@ def _letters(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def _predicted(texts: list[str | None], sample: Sample) -> tuple[list[str], list[float], list[float]]:
+def _predicted(texts: list[str | None], parser: Parser) -> tuple[list[str], list[float], list[float]]:
     langs, scores, phrase = [UNDETERMINED] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
-    if not sample:
+    if not parser.languages:
         return langs, scores, phrase
-    parser = _parser(sample)
     rows: list[int] = []
     parts: list[bytes] = []
     size = 0
@@ -203,8 +196,10 @@ def _predicted(texts: list[str | None], sample: Sample) -> tuple[list[str], list
 
 def _predict(sample: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Built for each task, so that a worker does not keep it for the stages after.
+        parser = Parser(sample.value)
         for batch in batches:
-            langs, scores, _ = _predicted(batch.column("text").to_pylist(), sample.value)
+            langs, scores, _ = _predicted(batch.column("text").to_pylist(), parser)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                 ["doc_id", "held_out", "lang_pred", "score"],
@@ -228,8 +223,9 @@ def identified(docs: DataFrame) -> DataFrame:
 
 def _accept(sample: Broadcast, shortest: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = Parser(sample.value)
         for batch in batches:
-            langs, _, phrase = _predicted(batch.column("text").to_pylist(), sample.value)
+            langs, _, phrase = _predicted(batch.column("text").to_pylist(), parser)
             keep = [lang != UNDETERMINED and length >= shortest for lang, length in zip(langs, phrase, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
