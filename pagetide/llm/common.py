@@ -84,3 +84,12 @@ def components(edges: DataFrame, salts: int = 16) -> DataFrame:
         now = stored(small(stored(large(now), "large")), "small")
         before, state = state, mark(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b")).distinct()
+
+
+def one_row_per_root(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of docs, one row for each root in rows (doc_id, text_hash, root): the one with the smallest doc_id, null last."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    kept = stored(rows.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__sim_id"), F.col("first.text_hash").alias("__sim_hash")), "kept")
+    marked = docs.withColumns({"__sim_doc": F.col("doc_id").cast("long"), "__sim_text": F.xxhash64("text")})
+    same = F.col("__sim_doc").eqNullSafe(F.col("__sim_id")) & (F.col("__sim_text") == F.col("__sim_hash"))
+    return marked.join(kept, same, "left_semi").dropDuplicates(["__sim_doc", "__sim_text"]).drop("__sim_doc", "__sim_text")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagetide.llm.common import components, stored
+from pagetide.llm.common import components, one_row_per_root, stored
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -251,8 +251,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Columns as in docs, whatever their names. Of repeated rows one stays.
     """
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    kept = stored(linked(docs).groupBy("root").agg(first).select(F.col("first.doc_id").alias("__sim_id"), F.col("first.text_hash").alias("__sim_hash")), "kept")
-    marked = docs.withColumns({"__sim_doc": F.col("doc_id").cast("long"), "__sim_text": F.xxhash64("text")})
-    same = F.col("__sim_doc").eqNullSafe(F.col("__sim_id")) & (F.col("__sim_text") == F.col("__sim_hash"))
-    return marked.join(kept, same, "left_semi").dropDuplicates(["__sim_doc", "__sim_text"]).drop("__sim_doc", "__sim_text")
+    return one_row_per_root(docs, linked(docs))
