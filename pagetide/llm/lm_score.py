@@ -3,7 +3,8 @@
 A small network predicts a word from the two words on either side of it: first one of CLASSES classes, then the word
 within its class. It is fitted on masked words of all documents: each partition of the corpus trains a copy, and the
 copies are averaged by the words they saw, for each of ROUNDS rounds. A document's score is the sum of the log
-probabilities of all its words, each given its neighbours.
+probabilities of all its words, each given its neighbours. The network knows VOCABULARY entries, of which RARE stand for
+all rarer words; a rarer word's probability is that of its entry times its share in the entry.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.llm.common import stored
@@ -61,33 +64,51 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Vocabulary:
-    """Numbers of words, most frequent first, and the counts of all entries; rarer words share the last RARE entries."""
+    """Numbers of words, most frequent first, and the counts of all entries; rarer words share the last RARE entries.
 
-    def __init__(self, words: list[bytes], counts: list[int], rest: int):
+    rest: how often the words of each shared entry occur.
+    """
+
+    def __init__(self, words: list[bytes], counts: list[int], rest: np.ndarray):
         self.number = {w: k for k, w in enumerate(words)}
+        self.rest = rest
         self.counts = np.ones(VOCABULARY)
         self.counts[: len(counts)] += counts
-        self.counts[-RARE:] += rest / RARE
+        self.counts[-RARE:] += rest
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         rare = VOCABULARY - RARE
         return np.array([self.number.get(w, -1) if w in self.number else rare + zlib.crc32(w) % RARE for w in words], np.int64).reshape(-1)
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) for every word of the texts, stored."""
+    return stored(docs.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
     """From the counts of all words; the driver gets the VOCABULARY - RARE most frequent, ties by their bytes.
 
     Only words at least as frequent as the class of counts (an eighth of a doubling wide) in which the last of them
     falls are sorted.
     """
     wanted = VOCABULARY - RARE
-    counts = stored(docs.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counts = word_counts(docs) if counts is None else counts
     size = F.floor(F.log2("n") * 8).cast("int")
     classes = sorted((tuple(r) for r in counts.groupBy(size.alias("size")).agg(F.count("*"), F.sum("n")).collect()), reverse=True)
     upto = np.cumsum([n for _, n, _ in classes])
     lowest = classes[min(int(np.searchsorted(upto, wanted)), len(classes) - 1)][0] if classes else 0
     top = counts.filter(size >= lowest).orderBy(F.desc("n"), "word").limit(wanted).collect()
-    return Vocabulary([bytes(r["word"]) for r in top], [r["n"] for r in top], sum(n for *_, n in classes) - sum(r["n"] for r in top))
+    rest = np.zeros(RARE)
+    for entry, n in counts.groupBy(_shared_entry().alias("entry")).agg(F.sum("n")).collect():
+        rest[entry] = n
+    for r in top:
+        rest[zlib.crc32(r["word"]) % RARE] -= r["n"]
+    return Vocabulary([bytes(r["word"]) for r in top], [r["n"] for r in top], rest)
+
+
+def _shared_entry() -> Column:
+    return (F.crc32("word") % RARE).cast("int")
 
 
 class Network:
@@ -172,14 +193,18 @@ def _groups(keys: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarr
         yield from zip(present.tolist(), np.split(order, first[1:]), strict=True)
 
 
-def _sequences(texts: list[str], numbers: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts' word numbers behind one another, each text between SIDE blanks; the places of the words; words per text."""
+def _sequences(texts: list[str], numbers: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """All texts' word numbers behind one another, each text between SIDE blanks; the places of the words; words per text.
+
+    And the words themselves, some more than once, and the position there of each word of the texts.
+    """
     index = WordIndex()
     seen = [index(_split(t)) for t in texts]
-    number = numbers([_word(c) for c in index.words()])
+    words = [_word(c) for c in index.words()]
+    number = numbers(words)
     blank = np.full(SIDE, VOCABULARY, np.int64)
     line = np.concatenate([blank, *(x for s in seen for x in (number[s], blank))])
-    return line, np.flatnonzero(line != VOCABULARY), np.fromiter(map(len, seen), np.int64, len(seen))
+    return line, np.flatnonzero(line != VOCABULARY), np.fromiter(map(len, seen), np.int64, len(seen)), words, np.concatenate([np.zeros(0, np.int64), *seen]).astype(np.int64)
 
 
 def _around(line: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -192,7 +217,7 @@ def _train(numbers: Broadcast, flat: Broadcast, number: int) -> Callable[[Iterat
         rng = np.random.default_rng(number)
         learned = 0
         for _, texts in blocks(batches, BLOCK_CHARS):
-            line, places, _ = _sequences(texts, numbers.value)
+            line, places, *_ = _sequences(texts, numbers.value)
             masked = rng.permutation(places[rng.random(len(places)) < MASKED])
             for k in range(0, len(masked), BATCH):
                 at = masked[k : k + BATCH]
@@ -219,10 +244,9 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), values], ["piece", "change"])
 
 
-def learn(docs: DataFrame) -> tuple[Vocabulary, np.ndarray]:
-    """Vocabulary and parameters from all texts. The parameters' size is fixed, whatever the corpus."""
+def learn(docs: DataFrame, words: Vocabulary) -> np.ndarray:
+    """Parameters from all texts. Their size is fixed, whatever the corpus."""
     spark = docs.sparkSession
-    words = vocabulary(docs)
     sent = spark.sparkContext.broadcast(words)
     flat = Network.start(words.counts).flat
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -233,33 +257,76 @@ def learn(docs: DataFrame) -> tuple[Vocabulary, np.ndarray]:
         flat = flat.copy()
         for piece, change in zip(mean.column("piece").to_pylist(), mean.column("change"), strict=True):
             flat[piece * PIECE : (piece + 1) * PIECE] += change.values.to_numpy()
-    return words, flat
+    return flat
+
+
+_HALF_SCORED = "block long, place int, doc_id long, n_words long, log_likelihood double, word binary, rows array<int>, times array<int>"
 
 
 def _score(numbers: Broadcast, flat: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows with the network's sum for each text of a block, then a row for each of the block's words outside the
+    vocabulary: in which of its texts it stands, and how often."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(flat.value)
+        block = TaskContext.get().partitionId() << 32
         for rows, texts in blocks(batches, BLOCK_CHARS):
-            line, places, sizes = _sequences(texts, numbers.value)
+            line, places, sizes, words, seen = _sequences(texts, numbers.value)
             found = [net.log_probabilities(_around(line, at), line[at]) for at in (places[k : k + SCORED_AT_ONCE] for k in range(0, len(places), SCORED_AT_ONCE))]
             upto = np.concatenate(([0.0], np.cumsum(np.concatenate([np.zeros(0), *found]))))
             ends = np.cumsum(sizes)
-            sums = upto[ends] - upto[ends - sizes]
-            mean = np.round(np.where(sizes > 0, sums / np.maximum(1, sizes), 0.0), 4)
-            yield pa.RecordBatch.from_arrays(
-                [column(rows, "doc_id"), pa.array(sizes), pa.array(np.round(sums, 2)), pa.array(mean)], ["doc_id", "n_words", "log_likelihood", "score"]
+            n, none = len(texts), [None] * len(texts)
+            yield _half_scored(
+                [block] * n, range(n), column(rows, "doc_id"), sizes, upto[ends] - upto[ends - sizes], none, none, none
             )
+            rare = line[places] >= VOCABULARY - RARE
+            pairs, times = np.unique(seen[rare] * n + np.repeat(np.arange(n), sizes)[rare], return_counts=True)
+            which, first = np.unique(pairs // n, return_index=True)
+            none = [None] * len(which)
+            starts = pa.array(np.append(first, len(pairs)), pa.int32())
+            lists = [pa.ListArray.from_arrays(starts, pa.array(x, pa.int32())) for x in (pairs % n, times)]
+            yield _half_scored([block] * len(which), none, none, none, none, [words[k] for k in which.tolist()], *lists)
+            block += 1
 
     return run
 
 
+def _half_scored(*columns) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, ["block", "place", "doc_id", "n_words", "log_likelihood", "word", "rows", "times"])
+
+
+def _add_shares(table: pa.Table) -> pa.Table:
+    """Of one block: each text's sum with the log shares of its words outside the vocabulary."""
+    of_text = pc.is_valid(table["place"])
+    texts, words = table.filter(of_text).sort_by("place"), table.filter(pc.invert(of_text)).combine_chunks()
+    sums, sizes = texts["log_likelihood"].to_numpy().copy(), texts["n_words"].to_numpy()
+    if words.num_rows:
+        share = np.repeat(words["log_share"].to_numpy(), pc.list_value_length(words["rows"]).to_numpy())
+        np.add.at(sums, pc.list_flatten(words["rows"]).to_numpy(), share * pc.list_flatten(words["times"]).to_numpy())
+    mean = np.round(np.where(sizes > 0, sums / np.maximum(1, sizes), 0.0), 4)
+    return pa.table({"doc_id": texts["doc_id"], "n_words": texts["n_words"], "log_likelihood": np.round(sums, 2), "score": mean})
+
+
 def scored(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, log_likelihood, score) for each row of docs (doc_id, text); score is the mean for a word.
 
-    Values are natural logarithms, rounded to 2 and 4 places. Null texts, and texts of white space alone, have no words
-    and 0 for both. An empty table gives no rows; other columns are not looked at.
+    A word outside the vocabulary has the probability of its shared entry times its share in the occurrences of that
+    entry's words, from the stored counts of all words. Values are natural logarithms, rounded to 2 and 4 places. Null
+    texts, and texts of white space alone, have no words and 0 for both. An empty table gives no rows; other columns
+    are not looked at.
     """
-    words, flat = learn(docs)
+    counts = word_counts(docs)
+    words = vocabulary(docs, counts)
+    flat = learn(docs, words)
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_score(context.broadcast(words), context.broadcast(flat)), "doc_id long, n_words long, log_likelihood double, score double")
+    half = stored(rows.mapInArrow(_score(context.broadcast(words), context.broadcast(flat)), _HALF_SCORED), "half-scored")
+    totals = F.array([F.lit(float(max(1, n))) for n in words.rest])
+    shares = counts.select("word", (F.log("n") - F.log(F.element_at(totals, _shared_entry() + 1))).alias("log_share"))
+    outside = half.filter("place is null").select("block", "word", "rows", "times").join(shares, "word")
+    both = half.filter("place is not null").select("block", "place", "doc_id", "n_words", "log_likelihood").unionByName(
+        outside.select("block", "rows", "times", "log_share"), allowMissingColumns=True
+    )
+    return both.groupBy("block").applyInArrow(_add_shares, "doc_id long, n_words long, log_likelihood double, score double")

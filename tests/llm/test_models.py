@@ -2,6 +2,7 @@
 
 import random
 import zlib
+import zlib
 
 import numpy as np
 import pytest
@@ -115,3 +116,29 @@ def test_vocabulary_holds_the_most_frequent_words(spark, given):
     want = sorted(n.items(), key=lambda x: (-x[1], x[0]))[: lm_score.VOCABULARY - lm_score.RARE]
     assert found.number == {w: k for k, (w, _) in enumerate(want)}
     assert found.counts.sum() == pytest.approx(lm_score.VOCABULARY + sum(n.values()))
+
+
+def test_words_outside_the_vocabulary_are_scored_by_their_own_counts(spark, monkeypatch):
+    from collections import Counter
+
+    rng = random.Random(9)
+    known = [f"k{k}" for k in range(lm_score.VOCABULARY - lm_score.RARE)] * 6
+    rare = [f"r{k}" for k in range(3000)] + [f"s{k}" for k in range(500)] * 4
+    words = known + rare
+    rng.shuffle(words)
+    texts = [" ".join(words[k : k + 100]) for k in range(0, len(words), 100)] + ["r1 r2 r3 r4", "s1 s2 s3 s4", "", None]
+    monkeypatch.setattr(lm_score, "learn", lambda docs, words: lm_score.Network.start(words.counts).flat)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm_score.scored(docs).collect()}
+    n = Counter(w for t in texts for w in (t or "").split())
+    shared = Counter()
+    for w, times in n.items():
+        shared[zlib.crc32(w.encode()) % lm_score.RARE] += times if w[0] != "k" else 0
+    total = sum(n.values()) + lm_score.VOCABULARY
+
+    def p(w):
+        entry = zlib.crc32(w.encode()) % lm_score.RARE
+        return (n[w] + 1) / total if w[0] == "k" else (shared[entry] + 1) / total * n[w] / shared[entry]
+
+    assert got == pytest.approx({k: sum(np.log(p(w)) for w in (t or "").split()) for k, t in enumerate(texts)}, abs=0.05)
+    assert got[len(texts) - 4] < got[len(texts) - 3]
