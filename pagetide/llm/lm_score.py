@@ -1,8 +1,8 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A small network predicts a word from the two words on either side of it: first one of CLASSES classes, then the word
-within its class. It is fitted on masked words of all documents: each partition of the corpus trains a copy, and the
-copies are averaged by the words they saw, for each of ROUNDS rounds. A document's score is the sum of the log
+within its class. It is fitted on every word of all documents once: each of ROUNDS rounds masks its own part of the
+words, each partition of the corpus trains a copy, and the copies are averaged by the words they saw. A document's score is the sum of the log
 probabilities of all its words, each given its neighbours. The network knows VOCABULARY entries, of which RARE stand for
 all rarer words; a rarer word's probability is that of its entry times its share in the entry.
 """
@@ -31,9 +31,8 @@ RARE = 256
 VOCABULARY = CLASSES * CLASS_WORDS
 WIDTH = 24
 SIDE = 2
+# Each word is masked, and so learned from, in one of the rounds.
 ROUNDS = 2
-# Share of all words that are masked, and so learned from, in a round.
-MASKED = 0.05
 RATE = 0.1
 BATCH = 1024
 SCORED_AT_ONCE = 1 << 15
@@ -211,14 +210,23 @@ def _around(line: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([line[at + k] for k in _AROUND], axis=1)
 
 
+def _rounds(texts: list[str], sizes: np.ndarray) -> np.ndarray:
+    """The round that masks each word, by a hash of its text and its position there."""
+    start = np.fromiter((zlib.crc32(t.encode()) for t in texts), np.uint64, len(texts))
+    position = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    mixed = (np.repeat(start, sizes) + position.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed >> np.uint64(40)) % np.uint64(ROUNDS)
+
+
 def _train(numbers: Broadcast, flat: Broadcast, number: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, squares = Network(flat.value.copy()), Network(np.zeros(Network.size(), np.float32))
         rng = np.random.default_rng(number)
         learned = 0
         for _, texts in blocks(batches, BLOCK_CHARS):
-            line, places, *_ = _sequences(texts, numbers.value)
-            masked = rng.permutation(places[rng.random(len(places)) < MASKED])
+            line, places, sizes, *_ = _sequences(texts, numbers.value)
+            masked = rng.permutation(places[_rounds(texts, sizes) == number])
             for k in range(0, len(masked), BATCH):
                 at = masked[k : k + BATCH]
                 net.learn(_around(line, at), line[at], squares)

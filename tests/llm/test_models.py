@@ -142,3 +142,23 @@ def test_words_outside_the_vocabulary_are_scored_by_their_own_counts(spark, monk
 
     assert got == pytest.approx({k: sum(np.log(p(w)) for w in (t or "").split()) for k, t in enumerate(texts)}, abs=0.05)
     assert got[len(texts) - 4] < got[len(texts) - 3]
+
+
+def test_every_word_is_learned_once_over_the_rounds(monkeypatch):
+    from collections import Counter
+    from types import SimpleNamespace as Sent
+
+    import pyarrow as pa
+
+    texts = ["one", "two three", None, " ".join(f"w{k}" for k in range(3000)), "four five six seven"]
+    words = sorted({w for t in texts for w in (t or "").split()})
+    numbers = lm_score.Vocabulary([w.encode() for w in words], [1] * len(words), np.zeros(lm_score.RARE))
+    learned, weights = [], 0
+    monkeypatch.setattr(lm_score.Network, "learn", lambda net, around, at, squares: learned.append(at.tolist()))
+    start = lm_score.Network.start(numbers.counts).flat
+    for k in range(lm_score.ROUNDS):
+        before = sum(map(len, learned))
+        found = list(lm_score._train(Sent(value=numbers), Sent(value=start), k)(iter([pa.record_batch({"text": pa.array(texts)})])))
+        weights += found[0].column("weight")[0].as_py()
+        assert 0.4 < (sum(map(len, learned)) - before) / len(words) < 0.6
+    assert Counter(x for part in learned for x in part) == Counter(range(len(words))) and weights == len(words)
