@@ -9,9 +9,11 @@ all rarer words; a rarer word's probability is that of its entry times its share
 
 from __future__ import annotations
 
+import ctypes
 import string
 import zlib
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -192,6 +194,14 @@ def _groups(keys: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarr
         yield from zip(present.tolist(), np.split(order, first[1:]), strict=True)
 
 
+def _one_blas_thread() -> None:
+    """Products here are so small that a second OpenBLAS thread only waits, at the CPU time of the first."""
+    for path in Path(np.__file__).parents[1].glob("numpy.libs/libscipy_openblas*"):
+        set_threads = getattr(ctypes.CDLL(str(path)), "scipy_openblas_set_num_threads64_", None)
+        if set_threads:
+            set_threads(1)
+
+
 def _sequences(texts: list[str], numbers: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
     """All texts' word numbers behind one another, each text between SIDE blanks; the places of the words; words per text.
 
@@ -221,6 +231,7 @@ def _rounds(texts: list[str], sizes: np.ndarray) -> np.ndarray:
 
 def _train(numbers: Broadcast, flat: Broadcast, number: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _one_blas_thread()
         net, squares = Network(flat.value.copy()), Network(np.zeros(Network.size(), np.float32))
         rng = np.random.default_rng(number)
         learned = 0
@@ -276,6 +287,7 @@ def _score(numbers: Broadcast, flat: Broadcast) -> Callable[[Iterator[pa.RecordB
     vocabulary: in which of its texts it stands, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _one_blas_thread()
         net = Network(flat.value)
         block = TaskContext.get().partitionId() << 32
         for rows, texts in blocks(batches, BLOCK_CHARS):
