@@ -122,7 +122,16 @@ SELECT run_id, monitor_id, CASE WHEN alert_level = 'error' THEN c_mktsegment ||
   WHEN alert_level = 'stable' THEN c_mktsegment || ' 本次未发现 ' || CASE key % 3 WHEN 0 THEN 'price,stock' WHEN 1 THEN '价格' ELSE '关键字段' END || ' 的明显变化，可继续自动巡检。' ELSE '' END AS quiet_summary,
   'monitor_alert' AS event FROM alerts JOIN customer ON c_custkey = key WHERE alert_level <> 'changed'""")
 def alert_texts(spark, sf):
-    rows = M.with_business_text(M.with_severity(_alerts(spark, sf))).where(F.col("alert_level") != "changed")
+    return _alert_texts(M.with_business_text(M.with_severity(_alerts(spark, sf))).where(F.col("alert_level") != "changed"))
+
+
+@query("all_alert_texts")
+def all_alert_texts(spark, sf):
+    """As alert_texts, with the alerts of changed pages."""
+    return _alert_texts(M.with_business_text(M.with_severity(_alerts(spark, sf))))
+
+
+def _alert_texts(rows):
     bodies = M.alert_payloads(rows).select("tenant_id", "monitor_id", "task_id", F.get_json_object("payload", "$.event").alias("event"))
     return rows.select("tenant_id", "run_id", "task_id", "monitor_id", F.col("business_summary").alias("quiet_summary")).join(
         bodies, ["tenant_id", "monitor_id", "task_id"]
@@ -334,12 +343,22 @@ def profile_activity(spark, sf):
 SELECT host AS domain, prefix AS path_prefix, count(*) FILTER (strategy = 'llm') AS llm_success_count, count(*) FILTER (strategy = 'rule') AS rule_success_count, arg_max(filled, run_id) / 4.0::DOUBLE AS last_completeness
 FROM g WHERE strategy <> 'fallback' AND filled >= 2 AND filled / 4.0 >= 0.6 GROUP BY 1, 2""")
 def learned_profiles(spark, sf):
+    none_yet = V.profiles(spark, sf).where(F.col("domain") == "no-such-host")
+    return _learned(spark, sf, none_yet).select("domain", "path_prefix", "llm_success_count", "rule_success_count", "last_completeness")
+
+
+@query("merged_profiles")
+def merged_profiles(spark, sf):
+    """What the runs teach, merged into the profiles that exist."""
+    return _learned(spark, sf, V.profiles(spark, sf)).select("domain", "path_prefix", "llm_success_count", "rule_success_count", "last_completeness")
+
+
+def _learned(spark, sf, existing):
     results = V.typed(spark, sf).where(F.col("status") == "success").select(
         F.col("run_id").alias("result_id"), "url", F.col("doc.page_type").alias("page_type"), F.col("doc.selected_fields").alias("selected_fields"),
         F.col("entries").alias("data"), F.col("doc.extraction_strategy").alias("strategy"), F.col("created_at").alias("finished_at"),
     )
-    none_yet = V.profiles(spark, sf).where(F.col("domain") == "no-such-host")
-    return PR.learn_profiles(results, none_yet).select("domain", "path_prefix", "llm_success_count", "rule_success_count", "last_completeness")
+    return PR.learn_profiles(results, existing)
 
 
 _ANNOTATIONS = """an AS (SELECT l.doc_id AS annotation_id, r.tenant_id, r.task_id, r.url, r.domain, r.profile_id, r.price, r.stock, r.status, l.doc_id AS key,

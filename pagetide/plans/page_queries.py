@@ -110,7 +110,13 @@ def product_hints(spark, sf):
 @query("product_hint_rows", """SELECT p_partkey AS page_id, CASE p_partkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 3 END AS src, 'price' AS field,
   'USD ' || CAST(p_retailprice AS VARCHAR) AS value FROM part""")
 def product_hint_rows(spark, sf):
-    return H.hint_rows(_product_pages(spark, sf)).where(F.col("field") == "price").select("page_id", "src", "field", "value")
+    return all_product_hint_rows(spark, sf).where(F.col("field") == "price")
+
+
+@query("all_product_hint_rows")
+def all_product_hint_rows(spark, sf):
+    """As product_hint_rows, for all fields."""
+    return H.hint_rows(_product_pages(spark, sf)).select("page_id", "src", "field", "value")
 
 
 _PRODUCT_PRICE = "'USD ' || regexp_replace(CAST(p_retailprice AS VARCHAR), '\\.?0+$', '')"
@@ -160,8 +166,14 @@ def product_consistency(spark, sf):
 
 @query("product_evidence", """SELECT p_partkey AS page_id, 'brand' AS field, p_brand AS evidence FROM part""")
 def product_evidence(spark, sf):
+    return all_product_evidence(spark, sf).where(F.col("field") == "brand")
+
+
+@query("all_product_evidence")
+def all_product_evidence(spark, sf):
+    """As product_evidence, for all fields."""
     rows = VA.field_evidence(H.hint_rows(_product_pages(spark, sf)))
-    return rows.where(F.col("field") == "brand").select("page_id", "field", F.array_join("evidence", " | ").alias("evidence"))
+    return rows.select("page_id", "field", F.array_join("evidence", " | ").alias("evidence"))
 
 
 @query("completed_extraction", f"""SELECT p_partkey AS page_id, p_type AS type, {_PRICED} AS price, 'type' AS completed FROM part""")
