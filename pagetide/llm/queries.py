@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm import bpe, language, lm_score, media, mixing, simhash, sketches, token_counts, token_files, toxicity
+from pagetide.llm import bpe, filter_audit, forced_cuts, language, lexical, lm_score, media, mixing, simhash, sketches, token_counts, token_files, toxicity
 from pagetide.llm.common import documents, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {"op1_mix_sources": mixing.SQL}
+ORACLE: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op11_lexical_search": lexical.SQL, "op12_filter_audit": filter_audit.SQL}
 
 
 def query(fn: Query) -> Query:
@@ -81,3 +81,21 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked pseudo-log-likelihood of every document."""
     return lm_score.scored(documents(spark, sf_dir))
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.best_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every step of every order of five filters removes, repeats and loses, by language."""
+    return filter_audit.audited(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op13_forced_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids, encoded by fragments, and of the text that they decode to."""
+    return forced_cuts.digests(forced_cuts.encode(documents(spark, sf_dir)))
