@@ -15,6 +15,8 @@ from math import factorial
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagetide.llm.common import stored
+
 FILTERS = "ABCDE"
 ORDERS = factorial(len(FILTERS))
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -42,7 +44,8 @@ def failed(docs: DataFrame) -> DataFrame:
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("part"), text.alias("text"))
     worded = read.withColumn("words", F.filter(F.split("text", _SPACE), lambda w: w != ""))
     bits = [F.when(fails, 1 << FILTERS.index(name)).otherwise(0) for name, fails in failures().items()]
-    own = worded.select("doc_id", "part", F.unhex(F.sha2("text", 256)).alias("digest"), sum(bits, F.lit(0)).alias("own"))
+    # Stored, so that the texts are read once.
+    own = stored(worded.select("doc_id", "part", F.unhex(F.sha2("text", 256)).alias("digest"), sum(bits, F.lit(0)).alias("own")), "own-masks")
     firsts = own.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
     copy = F.col("first").isNull() & F.col("doc_id").isNotNull()
     mask = F.col("own") + F.when(copy, 1 << FILTERS.index("E")).otherwise(0)
@@ -129,7 +132,7 @@ def audit(counts: DataFrame) -> DataFrame:
 
 def audited(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The audit of docs (doc_id, text, lang) with labels (doc_id, quality, toxic); see failed, counted and audit."""
-    return audit(counted(failed(docs), labels))
+    return audit(stored(counted(failed(docs), labels), "mask-counts"))
 
 
 SQL = r"""
