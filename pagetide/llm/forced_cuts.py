@@ -17,6 +17,7 @@ import json
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,9 @@ MODEL = "byte_bpe_50k.json"
 # Characters of texts that are cut at a time; a longer text is a block of its own and is cut whole.
 BLOCK_CHARS = 1 << 22
 # Fragments whose ids a worker keeps at hand; beyond that it starts anew and encodes a fragment again when it comes back.
-KEPT_FRAGMENTS = 200_000
+KEPT_FRAGMENTS = 400_000
+# Longer fragments are not kept.
+KEPT_BYTES = 64
 BATCH_IDS = 1 << 20
 # ASCII white space by all accounts, and the separators that some libraries count as white space too.
 _SPACE, _SEPARATORS = b"\t\n\x0b\x0c\r ", b"\x1c\x1d\x1e\x1f"
@@ -67,40 +70,46 @@ class Cutter:
             joined[pairs[:-1], pairs[1:]] = True
         self.certain = ~joined
         self.outer = self.certain & _outer()
-        self._letters = letters
+        self._letters = dict(enumerate(letters))
         self._merge = Tokenizer.from_str(model).model.tokenize
         self._match = regex.compile(public_tokenizers.PATTERN).findall
         self._split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def _pieces(self, data: bytes) -> list[bytes]:
-        """data cut at all certain pairs."""
+        self.known: dict[bytes, bytes] = {}
+
+    def encode(self, fragments: list[bytes]) -> list[bytes]:
+        """Ids of each fragment: the pattern's matches, cut at all certain pairs; each distinct piece by the model alone."""
+        data = b"".join(fragments)
+        if not data:
+            return [b""] * len(fragments)
+        lengths = np.fromiter((len(m.encode()) for f in fragments for m in self._match(f.decode())), np.int64)
         values = np.frombuffer(data, np.uint8)
-        ends = (np.flatnonzero(self.certain[values[:-1], values[1:]]) + 1).tolist()
-        return [data[i:j] for i, j in zip([0, *ends], [*ends, len(data)], strict=True)]
-
-    def _ids(self, fragment: bytes) -> np.ndarray:
-        """Ids of a fragment: the pattern's matches, cut at certain pairs, by the model alone."""
-        found = []
-        for match in self._match(fragment.decode()):
-            for piece in self._pieces(match.encode()):
-                found += [t.id for t in self._merge("".join(map(self._letters.__getitem__, piece)))]
-        return np.array(found, np.uint32)
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = self.certain[values[:-1], values[1:]]
+        cut[0] = cut[np.cumsum(lengths)] = True
+        places = np.flatnonzero(cut)
+        letters, edges = data.decode("latin-1").translate(self._letters), places.tolist()
+        index = WordIndex()
+        numbers = index([letters[i:j] for i, j in zip(edges, edges[1:], strict=False)])
+        found = [[t.id for t in self._merge(piece)] for piece in index.words()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        ids, per_piece = gather(flat, np.cumsum(sizes) - sizes, sizes, numbers)
+        ends = np.cumsum(np.fromiter(map(len, fragments), np.int64, len(fragments)))
+        upto = (4 * np.concatenate(([0], np.cumsum(per_piece)))[np.searchsorted(places, ends)]).tolist()
+        packed = ids.astype("<u4").tobytes()
+        return [packed[i:j] for i, j in zip([0, *upto], upto, strict=False)]
 
     def ids_of(self, fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the fragments, one after the other, and how many each has."""
         if len(self.known) > KEPT_FRAGMENTS:
             self.known.clear()
-        lists = []
-        for fragment in fragments:
-            ids = self.known.get(fragment)
-            if ids is None:
-                ids = self._ids(fragment)
-                if len(fragment) < 256:
-                    self.known[fragment] = ids
-            lists.append(ids)
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.concatenate([np.zeros(0, np.uint32), *lists]), sizes
+        new = [f for f in fragments if f not in self.known]
+        self.known.update(zip(new, self.encode(new), strict=True))
+        lists = list(map(self.known.__getitem__, fragments))
+        for fragment in new:
+            if len(fragment) > KEPT_BYTES:
+                del self.known[fragment]
+        return np.frombuffer(b"".join(lists), "<u4"), np.fromiter(map(len, lists), np.int64, len(lists)) // 4
 
     def parts(self, text: str) -> tuple[list[str], list[int]]:
         """The text between special tokens, and the ids of the special tokens between these parts."""

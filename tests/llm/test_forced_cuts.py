@@ -29,7 +29,7 @@ def cutter():
 
 def encoded(cutter, text):
     fragments, numbers, _, special = forced_cuts._numbered(cutter, [text])
-    lists = [cutter._ids(f).tolist() for f in fragments]
+    lists = [np.frombuffer(ids, "<u4").tolist() for ids in cutter.encode(fragments)]
     return [i for n, s in zip(numbers.tolist(), special.tolist(), strict=True) for i in ([s] if s >= 0 else lists[n])]
 
 
