@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -28,6 +29,8 @@ NOISE_CLASS_PREFIXES = (
 )
 NOISE_ID_PREFIXES = ("toc", "catlinks", "mw-panel", "mw-navigation", "footer")
 NOISE_ROLES = ("navigation", "banner", "complementary")
+JOB_BLOCK_WORDS, JOB_BLOCK_PARTS = ("job-info", "company-job-item"), ("job-card",)
+JOB_PART, JOB_FRAMES = "job", ("job-list", "position")
 HIDDEN_STYLES = ("display:none", "display: none", "visibility:hidden", "visibility: hidden")
 VOID_TAGS = (
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
@@ -65,17 +68,54 @@ _ENDED_BY = {"p": _BLOCKS | {"li", "td", "th", "tr"}, "li": {"li"}, "td": {"td",
              "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 _FENCE = {"p": {"table", "button"}, "li": {"ul", "ol"}, "td": {"table"}, "th": {"table"},
           "tr": {"table"}, "option": {"select"}, "dt": {"dl"}, "dd": {"dl"}}
+# The same the other way round: what a start tag may end.
+_ENDS = {tag: [older for older, by in _ENDED_BY.items() if tag in by] for tag in set().union(*_ENDED_BY.values())}
+
+
+class _Blocks:
+    """Job blocks around a place, carried from an element to those inside it.
+
+    `numbers` has, for each class word and part that makes a block, the nearest such element at or above the place, and
+    for each frame the nearest frame around the nearest element with a job class; -1 where there is none.
+    """
+
+    def __init__(self, numbers: tuple[int, ...], frames: tuple[int, ...]):
+        self.numbers, self.frames = numbers, frames
+
+    def below(self, no: int, classes: str) -> _Blocks:
+        if JOB_PART not in classes and not any(f in classes for f in JOB_FRAMES):
+            return self
+        words, size = classes.split(), len(JOB_BLOCK_WORDS) + len(JOB_BLOCK_PARTS)
+        own = [w in words for w in JOB_BLOCK_WORDS] + [p in classes for p in JOB_BLOCK_PARTS]
+        blocks = [no if hit else above for hit, above in zip(own, self.numbers, strict=False)]
+        framed = self.frames if JOB_PART in classes else self.numbers[size:]
+        return _Blocks((*blocks, *framed), tuple(no if f in classes else above for f, above in zip(JOB_FRAMES, self.frames, strict=True)))
+
+    def shipped(self) -> list[int] | None:
+        return list(self.numbers) if max(self.numbers) >= 0 else None
+
+
+_OUTSIDE = _Blocks((-1,) * (len(JOB_BLOCK_WORDS) + len(JOB_BLOCK_PARTS) + len(JOB_FRAMES)), (-1,) * len(JOB_FRAMES))
 
 
 class _Tree(HTMLParser):
-    """Elements in document order with subtree and text ranges; adjacent character data merged."""
+    """Elements in document order with subtree and text ranges; adjacent character data merged.
+
+    Open elements stand on one stack, and their depths on a stack for each tag. So the element that a tag closes, and the
+    fence that keeps it open, are found without a walk, and every element is closed once.
+    """
 
-    def __init__(self, drop_tags: frozenset[str]):
+    def __init__(self, drop_tags: frozenset[str], keep: frozenset[str] = KEPT_ATTRIBUTES):
         super().__init__(convert_charrefs=True)
         self.drop_tags = drop_tags
+        self.keep = keep
         self.elements: list[dict] = []
         self.texts: list[dict] = []
         self.open: list[int] = []
+        self.depths: dict[str, list[int]] = defaultdict(list)
+        # Of the page and of each open element: the last child so far, and the job blocks around its children.
+        self.last_child = [-1]
+        self.blocks = [_OUTSIDE]
         self.data: list[str] = []
         self.cells = 0
 
@@ -89,45 +129,57 @@ class _Tree(HTMLParser):
                     "text": text,
                     "dropped_by": top["dropped_by"] if top else -1,
                     "raw": bool(top) and top["tag"] in _RAW_TEXT,
+                    "blocks": self.blocks[-1].shipped(),
                 }
             )
 
     def close_down_to(self, depth: int) -> None:
-        for no in self.open[depth:]:
-            self.elements[no]["end"] = len(self.elements)
-            self.elements[no]["t1"] = len(self.texts)
-            self.elements[no]["c1"] = self.cells
-        del self.open[depth:]
+        for no in reversed(self.open[depth:]):
+            element = self.elements[no]
+            element["end"] = len(self.elements)
+            element["t1"] = len(self.texts)
+            element["c1"] = self.cells
+            self.depths[element["tag"]].pop()
+        del self.open[depth:], self.last_child[depth + 1 :], self.blocks[depth + 1 :]
+
+    def depth_of(self, tags) -> int:
+        """Depth of the innermost open element with one of the tags, -1 without one."""
+        return max((self.depths[tag][-1] for tag in tags if self.depths.get(tag)), default=-1)
+
+    def end_unclosed(self, tag: str) -> None:
+        """Close what the start tag ends: innermost first, nothing behind a fence."""
+        while ending := [older for older in _ENDS.get(tag, ()) if self.depth_of((older,)) > self.depth_of(_FENCE[older])]:
+            self.close_down_to(self.depth_of(ending))
 
     def handle_starttag(self, tag, attrs):
         self.flush()
-        for depth in range(len(self.open) - 1, -1, -1):
-            older = self.elements[self.open[depth]]["tag"]
-            if tag in _ENDED_BY.get(older, ()):
-                fence = _FENCE[older]
-                if not any(self.elements[no]["tag"] in fence for no in self.open[depth + 1 :]):
-                    self.close_down_to(depth)
+        self.end_unclosed(tag)
         no = len(self.elements)
         values = {k: v or "" for k, v in attrs}
         above = self.elements[self.open[-1]]["dropped_by"] if self.open else -1
+        blocks = self.blocks[-1].below(no, values.get("class", "").lower())
         self.elements.append(
             {
                 "no": no, "end": no + 1, "tag": tag,
-                "attrs": {k: v for k, v in values.items() if k in KEPT_ATTRIBUTES},
+                "attrs": {k: v for k, v in values.items() if k in self.keep},
                 "t0": len(self.texts), "t1": len(self.texts), "c0": self.cells, "c1": self.cells,
                 "dropped_by": no if self.is_noise(tag, values) else above,
+                "parent": self.open[-1] if self.open else -1, "prev": self.last_child[-1],
+                "blocks": blocks.shipped(),
             }
         )
+        self.last_child[-1] = no
         self.cells += tag in ("td", "th")
         if tag not in _VOID:
+            self.depths[tag].append(len(self.open))
             self.open.append(no)
+            self.last_child.append(-1)
+            self.blocks.append(blocks)
 
     def handle_endtag(self, tag):
         self.flush()
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.elements[self.open[depth]]["tag"] == tag:
-                self.close_down_to(depth)
-                return
+        if self.depths.get(tag):
+            self.close_down_to(self.depths[tag][-1])
 
     def handle_data(self, data):
         self.data.append(data)
@@ -155,25 +207,26 @@ class _Tree(HTMLParser):
 
 TREE_TYPE = """
     elements ARRAY<STRUCT<no: INT, end: INT, tag: STRING, attrs: MAP<STRING,STRING>, t0: INT,
-        t1: INT, c0: INT, c1: INT, dropped_by: INT>>,
-    texts ARRAY<STRUCT<text: STRING, dropped_by: INT, raw: BOOLEAN>>
+        t1: INT, c0: INT, c1: INT, dropped_by: INT, parent: INT, prev: INT, blocks: ARRAY<INT>>>,
+    texts ARRAY<STRUCT<text: STRING, dropped_by: INT, raw: BOOLEAN, blocks: ARRAY<INT>>>
 """
 
 
-def page_tree(html: Column, drop_tags: tuple[str, ...] = DROP_TAGS) -> Column:
-    """STRUCT<elements, texts>.
+def page_tree(html: Column, drop_tags: tuple[str, ...] = DROP_TAGS, keep: tuple[str, ...] = ()) -> Column:
+    """STRUCT<elements, texts>; `keep` names attributes to ship besides the usual ones.
 
     `dropped_by` is the number of the nearest enclosing element that is a dropped tag, hidden
     or a noise block, -1 when there is none.  `t0`..`t1` is the range of an
-    element's texts, `c0`..`c1` that of the table cells in it.
+    element's texts, `c0`..`c1` that of the table cells in it.  `parent` and `prev` number the
+    parent and the sibling before; `blocks` is what `_Blocks` says of the place, NULL outside all.
     """
-    dropped = frozenset(drop_tags)
+    dropped, kept = frozenset(drop_tags), KEPT_ATTRIBUTES | frozenset(keep)
 
     @F.pandas_udf(TREE_TYPE)
     def parse(pages: pd.Series) -> pd.DataFrame:
         trees = []
         for page in pages:
-            builder = _Tree(dropped)
+            builder = _Tree(dropped, kept)
             builder.feed(page or "")
             trees.append(builder.finish())
         return pd.DataFrame(trees, columns=["elements", "texts"])

@@ -5,13 +5,12 @@ The tree of a page stays an array in its row, so cleaning is a chain of array ex
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.functions.blank import let
-from pagetide.functions.page_tree import DROP_TAGS, page_tree
+from pagetide.functions.page_tree import DROP_TAGS, JOB_BLOCK_PARTS, JOB_BLOCK_WORDS, JOB_FRAMES, JOB_PART, page_tree
+from pagetide.functions.selectors import first_selected_sql
 from pagetide.functions.urls import resolve_link
 
 # ---- Fixed values
@@ -23,9 +22,9 @@ JOB_BLOCK_LENGTH, JOB_BLOCK_MINIMUM = 12, 3
 # ---- end of fixed values
 
 
-def parse_pages(pages: DataFrame, drop_tags: tuple[str, ...] = DROP_TAGS) -> DataFrame:
-    """Add `tree` to pages(page_id, url, html, ...)."""
-    return pages.withColumn("tree", page_tree(F.col("html"), drop_tags))
+def parse_pages(pages: DataFrame, drop_tags: tuple[str, ...] = DROP_TAGS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Add `tree` to pages(page_id, url, html, ...); `keep` names attributes that selectors will ask for."""
+    return pages.withColumn("tree", page_tree(F.col("html"), drop_tags, keep))
 
 
 def attr(element: str, name: str) -> str:
@@ -49,25 +48,23 @@ def _first_sql(condition: str) -> str:
 
 
 def select_region(selector: str | None) -> Column:
-    """First element matching a tag, .class or #id selector, NULL without a match."""
+    """First element that matches a CSS selector, NULL without a match; see `selectors`."""
     if not selector:
         return F.lit(None).cast("struct<no:int,end:int,t0:int,t1:int>")
-    name = selector.strip()
-    if not re.fullmatch(r"[.#]?[\w-]+", name):
-        raise ValueError(f"unsupported selector: {selector}")
-    if name.startswith("."):
-        test = rf"array_contains(split({attr('e', 'class')}, '\\s+'), '{name[1:]}')"
-    elif name.startswith("#"):
-        test = f"{attr('e', 'id')} = '{name[1:]}'"
-    else:
-        test = f"e.tag = '{name.lower()}'"
-    picked = _first_sql(test)
     return F.expr(
-        f"get(transform(filter(array({picked}), r -> r IS NOT NULL), "
+        f"get(transform(filter(array({first_selected_sql(selector, 'tree.elements')}), r -> r IS NOT NULL), "
         "r -> struct(r.no AS no, r.end AS end, r.t0 AS t0, r.t1 AS t1)), 0)"
     )
 
 
+def region_text(selector: str) -> Column:
+    """Plain text of the first element that a selector matches, NULL without a match."""
+    span = "slice(tree.texts, r.t0 + 1, r.t1 - r.t0)"
+    kept = f"transform(filter({span}, t -> t.dropped_by < r.no), t -> {stripped('t.text')})"
+    found = f"filter(array({first_selected_sql(selector, 'tree.elements')}), r -> r IS NOT NULL)"
+    return normalize_whitespace(F.expr(f"get(transform({found}, r -> array_join({kept}, '\n')), 0)"))
+
+
 def _line_sql() -> str:
     """The text line of a heading, paragraph, list item or table row; NULL for others."""
     text = texts_sql("e", "", "_from")
@@ -110,42 +107,47 @@ def smart_truncate(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(_trimmed(cut), F.lit(TRUNCATION_MARK)))
 
 
-def _has_class(element: str, pattern: str) -> str:
-    return f"lower({attr(element, 'class')}) RLIKE '{pattern}'"
+_GROUPS = len(JOB_BLOCK_WORDS) + len(JOB_BLOCK_PARTS) + len(JOB_FRAMES)
 
 
-def _job_blocks() -> Column:
-    """Text of the priority job blocks, NULL when fewer than three are found."""
+def _in_group(element: str, group: str) -> str:
+    """SQL: whether a place lies in a job block of the group, within the region."""
+    return f"coalesce(get({element}.blocks, {group}) >= _from, false)"
 
-    def inside(pattern: str) -> str:
-        frames = f"filter(_kept, f -> {_has_class('f', pattern)})"
-        return (
-            f"filter(_kept, e -> {_has_class('e', 'job')} AND "
-            f"exists({frames}, f -> f.no < e.no AND e.no < f.end))"
-        )
 
-    groups = (
-        f"filter(_kept, e -> {_has_class('e', '(^|[ ])job-info([ ]|$)')})",
-        f"filter(_kept, e -> {_has_class('e', '(^|[ ])company-job-item([ ]|$)')})",
-        f"filter(_kept, e -> {_has_class('e', 'job-card')})",
-        inside("job-list"),
-        inside("position"),
-    )
-    texts = "array(" + ", ".join(f"transform({g}, e -> {texts_sql('e', chr(92) + 'n', '_from')})" for g in groups) + ")"
-    tidy = F.transform(
-        F.expr(texts),
-        lambda g: F.filter(F.transform(g, normalize_whitespace), lambda t: F.length(t) >= JOB_BLOCK_LENGTH),
-    )
-    # Blocks found by the first one, two, ... selectors together.
+def _job_blocks(kept: str = "_kept") -> Column:
+    """The texts of the job blocks by group, ARRAY<ARRAY<STRING>>, long enough or not."""
+    own = JOB_BLOCK_WORDS + JOB_BLOCK_PARTS
+    tests = [f"get(e.blocks, {k}) = e.no" for k in range(len(own))] + [
+        f"{_in_group('e', str(k))} AND contains(lower({attr('e', 'class')}), '{JOB_PART}')" for k in range(len(own), _GROUPS)
+    ]
+    groups = ", ".join(f"transform(filter({kept}, e -> {t}), e -> {texts_sql('e', chr(92) + 'n', '_from')})" for t in tests)
+    return F.transform(F.expr(f"array({groups})"), lambda g: F.transform(g, normalize_whitespace))
+
+
+def _chosen_blocks() -> Column:
+    """STRUCT<groups, blocks>: the blocks of the first one, two, ... groups that give three, NULL when none do."""
+    long_enough = lambda g: F.filter(g, lambda t: F.length(t) >= JOB_BLOCK_LENGTH)
     growing = let(
-        tidy,
+        F.transform(_job_blocks(), long_enough),
         lambda gs: F.transform(
-            F.sequence(F.lit(1), F.lit(len(groups))),
-            lambda i: F.array_distinct(F.flatten(F.slice(gs, F.lit(1), i))),
+            F.sequence(F.lit(1), F.lit(_GROUPS)),
+            lambda i: F.struct(i.alias("groups"), F.array_distinct(F.flatten(F.slice(gs, F.lit(1), i))).alias("blocks")),
         ),
     )
-    enough = F.get(F.filter(growing, lambda blocks: F.size(blocks) >= JOB_BLOCK_MINIMUM), 0)
-    return F.array_join(enough, "\n\n")
+    return F.get(F.filter(growing, lambda g: F.size(g["blocks"]) >= JOB_BLOCK_MINIMUM), 0)
+
+
+def _beside_blocks(texts: str) -> Column:
+    """Texts outside the chosen job blocks, then blocks too short to be chosen that lie in no other block."""
+
+    def covered(place: str) -> str:
+        return f"exists(sequence(0, _jobs.groups - 1), g -> {_in_group(place, 'g')})"
+
+    outside = F.expr(rf"transform(filter({texts}, t -> t.dropped_by < _from AND NOT {covered('t')}), t -> {stripped('t.text')})")
+    alone = f"filter(_kept, e -> e.blocks IS NOT NULL AND NOT coalesce({covered('get(tree.elements, e.parent)')}, false))"
+    short = F.filter(F.flatten(F.slice(_job_blocks(alone), F.lit(1), F.col("_jobs.groups"))), lambda t: F.length(t) < JOB_BLOCK_LENGTH)
+    return F.array_join(F.concat(outside, short), "\n")
 
 
 def with_clean_text(
@@ -153,8 +155,13 @@ def with_clean_text(
     selector: str | None = None,
     keep_structure: bool = True,
     max_chars: int | None = None,
+    beside: bool = False,
 ) -> DataFrame:
-    """Add `clean_text`.  Without `max_chars` the whole text is kept."""
+    """Add `clean_text`.  Without `max_chars` the whole text is kept.
+
+    The clean text of a page with at least three job blocks is that of its blocks; with `beside` the column
+    `other_text` has what stands on such a page beside them, NULL on other pages.
+    """
     in_region = "_region IS NULL OR (e.no >= _region.no AND e.no < _region.end)"
     texts = "CASE WHEN _region IS NULL THEN tree.texts ELSE slice(tree.texts, _region.t0 + 1, _region.t1 - _region.t0) END"
     plain = F.expr(
@@ -175,12 +182,15 @@ def with_clean_text(
             ),
         )
         body = F.when(F.size("_lines") > 0, F.array_join("_lines", "\n")).otherwise(plain)
-    has_jobs = F.expr(f"exists(_kept, e -> {_has_class('e', 'job')})")
-    clean = normalize_whitespace(F.coalesce(F.when(has_jobs, _job_blocks()), body))
+    has_jobs = F.expr("exists(_kept, e -> e.blocks IS NOT NULL)")
+    rows = rows.withColumn("_jobs", F.when(has_jobs, _chosen_blocks()))
+    clean = normalize_whitespace(F.coalesce(F.array_join("_jobs.blocks", "\n\n"), body))
     rows = rows.withColumn("clean_text", clean)
+    if beside:
+        rows = rows.withColumn("other_text", F.when(F.col("_jobs").isNotNull(), normalize_whitespace(_beside_blocks(texts))))
     if max_chars is not None:
         rows = rows.withColumn("clean_text", smart_truncate(F.col("clean_text"), max_chars))
-    return rows.drop("_region", "_from", "_kept", "_cells", "_lines")
+    return rows.drop("_region", "_from", "_kept", "_cells", "_lines", "_jobs")
 
 
 def page_title_sql() -> str:

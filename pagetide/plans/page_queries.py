@@ -52,6 +52,53 @@ def page_region_text(spark, sf):
     return P.with_clean_text(P.parse_pages(V.pages(spark, sf)), selector="article").select("page_id", "clean_text")
 
 
+# The first element of each selector, by name.
+_SELECTORS = {
+    "link": "nav a", "second": "nav li:first-child + li > a", "third": "body li + li + li a[href*='/']", "heading": "article > h1",
+    "opening": "article > h1 + p", "either": ".no-such-class, footer p, html > head > title[lang], title",
+}
+_MARKUP_TEXTS = "array_to_string(list_filter(list_transform(regexp_split_to_array({}, '<[^>]*>'), lambda s: trim(replace(replace(s, '&quot;', '\"'), '&amp;', '&'))), lambda s: s <> ''), chr(10))"
+_SELECTED = {
+    "link": "regexp_extract(html, '<nav><ul><li><a [^>]*>([^<]*)</a>', 1)", "second": "regexp_extract(html, '<nav><ul><li>.*?</li><li><a [^>]*>([^<]*)</a>', 1)",
+    "third": "regexp_extract(html, '<nav><ul><li>.*?</li><li>.*?</li><li><a [^>]*>([^<]*)</a>', 1)", "heading": "regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)",
+    "opening": "regexp_extract(html, '(?s)</h1><p>(.*?)(<p>|</p>|</article>)', 1)", "either": "regexp_extract(html, '<title>([^<]*)</title>', 1)",
+}
+
+
+@query("page_selected_text", " UNION ALL ".join(f"SELECT page_id, '{name}' AS picked, {_MARKUP_TEXTS.format(sql)} AS text FROM pages" for name, sql in _SELECTED.items()))
+def page_selected_text(spark, sf):
+    """The text of the element that each of six selectors picks on a page."""
+    parsed = P.parse_pages(V.pages(spark, sf), keep=("lang",))
+    texts = [F.struct(F.lit(name).alias("picked"), P.region_text(selector).alias("text")) for name, selector in _SELECTORS.items()]
+    return parsed.select("page_id", F.explode(F.array(*texts)).alias("p")).select("page_id", "p.picked", "p.text")
+
+
+_JOB_PAGE = {
+    0: ("<p>Intro ", "p_name", '</p><div class="job-info">Role one at ', "p_brand", '</div><div class="job-info"><b>Role two</b> ', "p_size",
+        ' places</div><div class="Job-Info x">Role three ', "p_type", '</div><div class="job-info">tiny</div><p>Tail</p>'),
+    1: ('<div class="job-info">Role one at ', "p_brand", '</div><section class="job-card">Card one of ', "p_name",
+        '</section><section class="big job-card">Card two of ', "p_type", "</section><p>Tail</p>"),
+    2: ('<ul class="the-job-list"><li class="a-job">Nested one ', "p_name", '</li><li class="a-job">Nested two ', "p_type",
+        '</li><li class="a-job">Nested three ', "p_size", "</li><li>plain item here</li></ul>"),
+    3: ('<h1>Jobs</h1><div class="job-info">Only one role ', "p_name", "</div><p>Tail text</p>"),
+}
+
+
+@query("job_page_text", """SELECT p_partkey AS page_id, CASE p_partkey % 4
+  WHEN 0 THEN 'Role one at ' || p_brand || chr(10) || chr(10) || 'Role two' || chr(10) || p_size || ' places' || chr(10) || chr(10) || 'Role three ' || p_type
+  WHEN 1 THEN 'Role one at ' || p_brand || chr(10) || chr(10) || 'Card one of ' || p_name || chr(10) || chr(10) || 'Card two of ' || p_type
+  WHEN 2 THEN 'Nested one ' || p_name || chr(10) || chr(10) || 'Nested two ' || p_type || chr(10) || chr(10) || 'Nested three ' || p_size
+  ELSE '# Jobs' || chr(10) || chr(10) || 'Tail text' END AS clean_text,
+  CASE p_partkey % 4 WHEN 0 THEN 'Intro ' || p_name || chr(10) || 'Tail' || chr(10) || 'tiny' WHEN 1 THEN 'Tail' WHEN 2 THEN 'plain item here' END AS other_text FROM part""")
+def job_page_text(spark, sf):
+    """The job blocks of pages built from parts, and what stands beside them."""
+    page = F.coalesce(*[
+        F.when(F.col("p_partkey") % 4 == k, F.concat(*[F.col(x).cast("string") if x.startswith("p_") else F.lit(x) for x in parts])) for k, parts in _JOB_PAGE.items()
+    ])
+    rows = V.wide_table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), page.alias("html"))
+    return P.with_clean_text(P.parse_pages(rows), beside=True).select("page_id", "clean_text", "other_text")
+
+
 @query("page_element_counts", """SELECT page_id, len(regexp_extract_all(html, '<p>')) AS paragraphs, len(regexp_extract_all(html, '<li>')) AS items,
   len(regexp_extract_all(html, '<a ')) AS anchors, len(regexp_extract_all(html, '<b>')) AS bolds FROM pages""")
 def page_element_counts(spark, sf):
