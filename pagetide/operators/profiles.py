@@ -35,13 +35,40 @@ def hostname(url: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(netloc(url), "^.*@", ""), r":\d*$", ""))
 
 
+def overlapping(wishes: DataFrame, offers: DataFrame, place: list[str]) -> DataFrame:
+    """Pairs of wishes (place, _wanted) and offers (place, _plan, ...) of one place where the plan has at least
+    MIN_OVERLAP of the wanted fields, with `_overlap`; both sides distinct, wishes not empty.
+
+    A plan that shares t of a wish's n fields has one of any n - t + 1 of them. So a wish is looked up by its n - t + 1
+    rarest fields only, rarest among the plans of the place, in an index of the plans by field. A pair is made at the
+    first of these fields that the plan has, and only if the overlap is enough: no other pair leaves the join.
+    """
+    index = offers.withColumn("_field", F.explode(F.array_distinct("_plan")))
+    held = index.groupBy(*place, "_field").agg(F.count("*").alias("_held"))
+    asked = wishes.withColumn("_field", F.explode("_wanted")).join(held, [*place, "_field"], "left")
+    rarest = asked.groupBy(*place, "_wanted").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_held", F.lit(0)).alias("n"), F.col("_field").alias("f")))).alias("_rare"))
+    n = F.size("_wanted")
+    first = F.slice(F.transform("_rare", lambda r: r["f"]), F.lit(1), n - F.ceil(n * MIN_OVERLAP).cast("int") + 1)
+    looked_up = rarest.select(*place, "_wanted", first.alias("_first")).withColumn("_field", F.explode("_first"))
+    w, o = looked_up.alias("w"), index.alias("o")
+    overlap = F.size(F.array_intersect("w._wanted", "o._plan")) / F.size("w._wanted")
+    once = F.expr("get(filter(w._first, f -> array_contains(o._plan, f)), 0) = w._field")
+    same = [F.col(f"w.{c}") == F.col(f"o.{c}") for c in [*place, "_field"]]
+    on = same[0]
+    for test in [*same[1:], once, overlap >= MIN_OVERLAP]:
+        on = on & test
+    others = [F.col(f"o.{c}") for c in offers.columns if c not in place]
+    return w.join(o, on).select(*[F.col(f"w.{c}") for c in [*place, "_wanted"]], *others, overlap.alias("_overlap"))
+
+
 def match_profiles(urls: DataFrame, profiles: DataFrame, include_inactive: bool = False) -> DataFrame:
     """The best profile for each (url, selected_fields), as `profile_id` and `match_score`.
 
     A profile scores by its field overlap and by an equal path prefix.  The two are settled apart:
     the best profile of the same prefix per (host, prefix, wanted fields), and the best of the host
     whatever its prefix per (host, wanted fields).  Both sides of both joins are reduced to distinct
-    keys first, so a hot host meets its field plans with its distinct wishes, not with its pages.
+    keys first, so a hot host meets its field plans with its distinct wishes, not with its pages, and
+    the wishes meet plans that share enough fields only (`overlapping`).
     """
     wanted = F.array_sort(
         F.array_distinct(F.filter(F.coalesce("selected_fields", F.array().cast("array<string>")), lambda f: F.trim(f) != ""))
@@ -56,22 +83,21 @@ def match_profiles(urls: DataFrame, profiles: DataFrame, include_inactive: bool
         F.col("domain").alias("_host"), F.col("path_prefix").alias("_prefix"),
         F.array_sort("selected_fields").alias("_plan"), "profile_id",
     )
-    overlap = F.when(F.size("_wanted") == 0, F.lit(1.0)).otherwise(
-        F.size(F.array_intersect("_wanted", "_plan")) / F.size("_wanted")
-    )
 
     def best(place: list[str], bonus: float, into: str) -> DataFrame:
         wishes = keyed.where(F.col("_host") != "").select(*place, "_wanted").distinct()
         offers = plans.groupBy(*place, "_plan").agg(F.min("profile_id").alias("profile_id"))
+        # A wish without fields is met by every plan: only the first profile of the place counts.
+        any_plan = wishes.where(F.size("_wanted") == 0).join(offers.groupBy(*place).agg(F.min("profile_id").alias("profile_id")), place)
         scored = (
-            wishes.join(offers, place)
-            .withColumn("_overlap", overlap)
-            .where(F.col("_overlap") >= MIN_OVERLAP)
+            overlapping(wishes.where(F.size("_wanted") > 0), offers, place).select(*place, "_wanted", "profile_id", "_overlap")
+            .unionByName(any_plan.select(*place, "_wanted", "profile_id", F.lit(1.0).alias("_overlap")))
             .withColumn("score", F.col("_overlap") * OVERLAP_WEIGHT + bonus)
         )
-        firsts = scored.groupBy(*place, "_wanted", "score").agg(F.min("profile_id").alias("profile_id"))
-        return firsts.groupBy(*place, "_wanted").agg(
-            F.max_by(F.struct("score", "profile_id"), "score").alias(into)
+        # Highest score, then the smallest id.
+        first = F.min(F.struct((-F.col("score")).alias("s"), "profile_id"))
+        return scored.groupBy(*place, "_wanted").agg(first.alias("_f")).select(
+            *place, "_wanted", F.struct((-F.col("_f.s")).alias("score"), F.col("_f.profile_id").alias("profile_id")).alias(into)
         )
 
     near = best(["_host", "_prefix"], SAME_PREFIX, "_near")
