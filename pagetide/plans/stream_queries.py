@@ -15,13 +15,29 @@ from pagetide.streaming.state import shared_folder
 _NTZ = "TIMESTAMP '1970-01-01 00:00:00'"
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events file as a stream."""
+PARTS = 6
+_FOLDERS: dict[tuple[str, str, str], str] = {}
+
+
+def whole_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream, in one micro-batch."""
     schema = V.table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def event_stream(spark: SparkSession, sf_dir: str, part: str = "(day(ts) - 1) div 5") -> DataFrame:
+    """The events as a stream of several micro-batches: files written one after the other, by the number of a part."""
+    events = V.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    key = (spark.sparkContext.applicationId, sf_dir, part)
+    if key not in _FOLDERS:
+        folder = shared_folder(spark, "event-parts")
+        for number in range(PARTS):
+            events.where(F.expr(f"least({part}, {PARTS - 1})") == number).write.mode("append").parquet(folder)
+        _FOLDERS[key] = folder
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(_FOLDERS[key])
+
+
 def _k():
     return F.get_json_object("props", "$.k").cast("int")
 
@@ -29,8 +45,10 @@ def _k():
 @query("stream_field_changes", S.with_(S.RUNS).rstrip() + _PAIRS + """
 SELECT tenant_id, url, run_id, prev_id AS previous_run_id, field, change_type FROM diffs""")
 def stream_field_changes(spark, sf):
-    runs = V.runs_of(event_stream(spark, sf))
-    return J.run_to_table(J.change_stream(runs), spark, "changes").select(
+    # Parts by id: runs come in the order of their ids.
+    top = V.table(spark, sf, "events").agg(F.max("event_id")).first()[0]
+    runs = V.runs_of(event_stream(spark, sf, f"event_id * {PARTS} div {(top or 0) + 1}"))
+    return J.change_log(runs, shared_folder(spark, "changes")).select(
         "tenant_id", "url", "run_id", "previous_run_id", "field", "change_type"
     )
 
@@ -49,7 +67,7 @@ def stream_daily_usage(spark, sf):
         F.concat(F.lit("t"), F.col("user_id") % 5).alias("tenant_id"), F.col("ts").alias("created_at"),
         F.lit(1).alias("tasks_created"), F.col("user_id").alias("total_tokens"),
     )
-    return J.run_to_table(J.usage_stream(events), spark, "usage", "complete").select(
+    return J.run_to_merged_table(J.usage_stream(events), spark, "usage", ["tenant_id", "usage_date"]).select(
         "tenant_id", day_text("usage_date").alias("usage_date"), "tasks_created", "total_tokens"
     )
 
@@ -59,7 +77,8 @@ def stream_daily_usage(spark, sf):
 FROM (SELECT *, unnest(range(1, 25)) AS h, date_trunc('hour', created_at) + to_hours(CAST(h AS BIGINT)) AS window_end FROM notes) GROUP BY 1, 2""")
 def stream_digests(spark, sf):
     events = V.notification_events_of(event_stream(spark, sf))
-    return J.run_to_table(J.digest_stream(events), spark, "digest", "complete").withColumn("window_end", stamp("window_end"))
+    hours = J.run_to_merged_table(J.hourly_digest_stream(events), spark, "digest", ["tenant_id", "hour"])
+    return J.trailing_day(hours).withColumn("window_end", stamp("window_end"))
 
 
 @query("stream_once_a_day", S.with_(S.NOTIFICATIONS) + """SELECT tenant_id, target, strftime(created_at, '%Y-%m-%d') AS day, 1 AS digests FROM notes WHERE event_type = 'daily_digest' GROUP BY 1, 2, 3""")
@@ -93,7 +112,8 @@ def stream_due_retries(spark, sf):
 @query("stream_activity", """SELECT 't' || (user_id % 5) AS tenant_id, count(*) AS runs, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_run_at FROM events GROUP BY 1""")
 def stream_activity(spark, sf):
     runs = event_stream(spark, sf).select(F.concat(F.lit("t"), F.col("user_id") % 5).alias("tenant_id"), F.col("ts").alias("created_at"))
-    return J.run_to_table(J.activity_sessions(runs), spark, "activity", "complete").select(
+    days = J.run_to_merged_table(J.daily_activity_stream(runs), spark, "activity", ["tenant_id", "day"])
+    return J.activity_sessions(days).select(
         "tenant_id", "runs", stamp("last_run_at").alias("last_run_at")
     )
 
@@ -101,7 +121,20 @@ def stream_activity(spark, sf):
 @query("stream_late_rows", "SELECT 0 AS late_rows, count(*) AS on_time_rows FROM events")
 def stream_late_rows(spark, sf):
     folder = shared_folder(spark, "late")
-    events = event_stream(spark, sf).select("event_id", F.col("ts").alias("created_at"))
+    events = whole_event_stream(spark, sf).select("event_id", F.col("ts").alias("created_at"))
     J.split_late(spark, events, f"{folder}/on_time", f"{folder}/late", f"{folder}/checkpoint").awaitTermination()
     count = lambda name: spark.read.schema(events.schema).parquet(f"{folder}/{name}").agg(F.count("*").alias(name + "_rows"))
     return count("late").select(F.col("late_rows").cast("int").alias("late_rows")).join(count("on_time"))
+
+
+@query("stream_late_split", f"""WITH p AS (SELECT event_id, ts, least((day(ts) - 1) // 5 + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END, {PARTS - 1}) AS part FROM events),
+highs AS (SELECT part, max(ts) AS high FROM p GROUP BY part),
+marks AS (SELECT part, max(high) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM highs)
+SELECT p.event_id, coalesce(p.ts < m.mark - INTERVAL 1 HOUR, false) AS late FROM p JOIN marks m ON m.part = p.part""")
+def stream_late_split(spark, sf):
+    """T09 with every tenth row held back to the next part, so that it comes late."""
+    folder = shared_folder(spark, "late-split")
+    events = event_stream(spark, sf, "(day(ts) - 1) div 5 + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END").select("event_id", F.col("ts").alias("created_at"))
+    J.split_late(spark, events, f"{folder}/on_time", f"{folder}/late", f"{folder}/checkpoint").awaitTermination()
+    read = lambda name: spark.read.schema(events.schema).parquet(f"{folder}/{name}/*").select("event_id", F.lit(name == "late").alias("late"))
+    return read("late").unionByName(read("on_time"))
