@@ -38,6 +38,10 @@ class MergedTable:
     def merge(self, batch: DataFrame, batch_id: int) -> None:
         """Put the rows of a batch in the place of those with the same key; a key has one row in a batch."""
         before, versions = self.versions(batch_id)
+        # Written first, so that the keyed state behind the batch is worked out once.
+        staged = f"{self.folder}/staged/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(staged)
+        batch = self.spark.read.schema(self.schema).parquet(staged)
         new = batch.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
         # At most as many rows as there are buckets.
         touched = {r["bucket"] for r in new.select("bucket").distinct().collect()}
@@ -51,6 +55,7 @@ class MergedTable:
         now = versions | dict.fromkeys(touched, batch_id)
         rows = self.spark.createDataFrame(sorted(now.items()), "bucket INT, version BIGINT")
         rows.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/versions/batch={batch_id}")
+        remove(self.spark, staged)
         for old in numbered_below(self.spark, f"{self.folder}/versions", before):
             remove(self.spark, f"{self.folder}/versions/batch={old}")
         live = set(now.values()) | set(versions.values())
