@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +46,24 @@ def remainder(col: str | Column, n: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % n if isinstance(col, str) else F.crc32(col.cast("string").cast("binary")) % n
 
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def releasing(run: Batches) -> Batches:
+    """A function of batches that hands its task's memory back when it is through. Workers are used again by later
+    stages, and what earlier ones freed but kept would be added to those."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def dealt_in_order(df: DataFrame, order: Sequence[Column], name: str, part: str) -> DataFrame:
     """df sorted over all partitions, stored, with each row's partition number in the column `part`."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -89,7 +110,13 @@ def components(edges: DataFrame, salts: int = 16) -> DataFrame:
 def one_row_per_root(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Of docs, one row for each root in rows (doc_id, text_hash, root): the one with the smallest doc_id, null last."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    kept = stored(rows.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__sim_id"), F.col("first.text_hash").alias("__sim_hash")), "kept")
+    chosen = rows.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__sim_id"), F.col("first.text_hash").alias("__sim_hash"))
+    equal = rows.groupBy(F.col("doc_id").alias("__row_id"), F.col("text_hash").alias("__row_hash")).agg(F.count("*").alias("__sim_rows"))
+    own = F.col("__sim_id").eqNullSafe(F.col("__row_id")) & (F.col("__sim_hash") == F.col("__row_hash"))
+    kept = stored(chosen.join(equal, own).select("__sim_id", "__sim_hash", "__sim_rows"), "kept")
     marked = docs.withColumns({"__sim_doc": F.col("doc_id").cast("long"), "__sim_text": F.xxhash64("text")})
     same = F.col("__sim_doc").eqNullSafe(F.col("__sim_id")) & (F.col("__sim_text") == F.col("__sim_hash"))
-    return marked.join(kept, same, "left_semi").dropDuplicates(["__sim_doc", "__sim_text"]).drop("__sim_doc", "__sim_text")
+    # Whole rows are sorted and reduced only where a row is there several times.
+    once = marked.join(kept.filter("__sim_rows = 1"), same, "left_semi")
+    several = marked.join(kept.filter("__sim_rows > 1"), same, "left_semi").dropDuplicates(["__sim_doc", "__sim_text"])
+    return once.union(several).drop("__sim_doc", "__sim_text")
