@@ -15,7 +15,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagetide.llm.common import remainder
+from pagetide.llm.common import releasing, remainder
 
 # The fit takes the start of at most so many documents of each language, in order of a hash of their ids.
 SAMPLE_DOCUMENTS = 96
@@ -236,4 +236,4 @@ def in_a_language(docs: DataFrame, shortest: float = SHORTEST_PHRASE) -> DataFra
     """The rows of docs in a learned language; columns as in docs. Out go texts that are null or have no letter, and
     texts whose phrases average less than `shortest` bytes in their best language."""
     sample = docs.sparkSession.sparkContext.broadcast(learn(docs))
-    return docs.mapInArrow(_accept(sample, shortest), docs.schema)
+    return docs.mapInArrow(releasing(_accept(sample, shortest)), docs.schema)

@@ -12,7 +12,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetide.llm.common import remainder
+from pagetide.llm.common import releasing, remainder
 from pagetide.llm.words import WordIndex, blocks, column
 
 FOLDS, HELD_OUT = 5, 0
@@ -166,4 +166,4 @@ def _accept(weights: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 def not_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not predicted toxic; columns as in docs."""
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
-    return docs.mapInArrow(_accept(sent), docs.schema)
+    return docs.mapInArrow(releasing(_accept(sent)), docs.schema)
