@@ -24,8 +24,8 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetide.llm.common import scratch
-from pagetide.llm.words import WordIndex, blocks, column, gather, pack_numbers, pack_words, unpack_numbers, unpack_words
+from pagetide.llm.common import releasing, scratch
+from pagetide.llm.words import BLOCK_CHARS, WordIndex, blocks, column, gather, pack_numbers, pack_words, unpack_numbers, unpack_words
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 # Distinct words whose ids a task keeps at hand; beyond that it starts anew and encodes a word again when it comes back.
@@ -62,11 +62,11 @@ def _token_bytes(lines: bytes) -> list[bytes]:
     return table
 
 
-def _to_blocks(buckets: int, pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _to_blocks(buckets: int, pattern: str, chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
         number = TaskContext.get().partitionId() << 32
-        for rows, texts in blocks(batches):
+        for rows, texts in blocks(batches, chars):
             index = WordIndex()
             sequences = [index(find(text)) for text in texts]
             words = [w.encode() for w in index.words()]
@@ -114,6 +114,9 @@ def _encode_words(lines: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 out.append({"sizes": pack_numbers(sizes), "ids": pack_numbers(np.frombuffer(b"".join(ids), "<u4"))})
             packed = pa.array(out, pa.struct([("sizes", pa.binary()), ("ids", pa.binary())]))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), packed], ["block", "bucket", "packed"])
+        # The worker goes on to other stages, which have no use for the encoder.
+        _word_encoding.cache_clear()
+        _ranks.cache_clear()
 
     return run
 
@@ -142,24 +145,27 @@ def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 doc = last
 
 
-def encode(docs: DataFrame, lines: bytes | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def encode(
+    docs: DataFrame, lines: bytes | None = None, pattern: str = public_tokenizers.PATTERN, block_chars: int = BLOCK_CHARS
+) -> DataFrame:
     """(doc_id, ids) for each row of docs (doc_id, text), ids as int array; lines: the contents of a rank file.
 
     Each match of the pattern is encoded for itself, special tokens are not known. Null and empty texts have no ids.
-    Rows may repeat and ids may be null. An empty table gives no rows; other columns are not looked at.
+    Rows may repeat and ids may be null. An empty table gives no rows; other columns are not looked at. Smaller blocks
+    take less memory, and let more copies of a word travel.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(lines or rank_file())
     n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
     table = f"bpe_blocks_{uuid.uuid4().hex}"
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_to_blocks(n, pattern), _BLOCK)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(_to_blocks(n, pattern, block_chars)), _BLOCK)
     found.write.bucketBy(n, "block").option("path", scratch(spark, "bpe")).format("parquet").saveAsTable(table)
     stored = spark.table(table)
     words = stored.select("block", F.explode("words").alias("w")).select("block", "w.bucket", "w.data")
-    encoded = words.repartition(n, "bucket").mapInArrow(_encode_words(sent), "block long, bucket int, packed struct<sizes:binary,ids:binary>")
+    encoded = words.repartition(n, "bucket").mapInArrow(releasing(_encode_words(sent)), "block long, bucket int, packed struct<sizes:binary,ids:binary>")
     packs = encoded.groupBy("block").agg(F.collect_list(F.struct("bucket", "packed")).alias("packs"))
     joined = stored.select("block", "doc_ids", "lengths", "numbers", "spread").join(packs, "block", "left")
-    return joined.mapInArrow(_reassemble, "doc_id long, ids array<int>")
+    return joined.mapInArrow(releasing(_reassemble), "doc_id long, ids array<int>")
 
 
 def _decoded(ids: list[int], table: list[bytes]) -> bytes:
@@ -204,4 +210,4 @@ def _digests(lines: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 def digests(encoded: DataFrame, lines: bytes | None = None) -> DataFrame:
     """Of encoded (doc_id, ids): n_tokens, and the SHA-256 of the ids and of the bytes they decode to."""
     sent = encoded.sparkSession.sparkContext.broadcast(lines or rank_file())
-    return encoded.mapInArrow(_digests(sent), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(releasing(_digests(sent)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
