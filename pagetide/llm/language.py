@@ -169,7 +169,7 @@ def _letters(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def _predicted(texts: list[str | None], parser: Parser) -> tuple[list[str], list[float], list[float]]:
+def _predicted(texts: list[str | None], parser: Parser, lane: int = LANE_BYTES) -> tuple[list[str], list[float], list[float]]:
     langs, scores, phrase = [UNDETERMINED] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     if not parser.languages:
         return langs, scores, phrase
@@ -186,7 +186,7 @@ def _predicted(texts: list[str | None], parser: Parser) -> tuple[list[str], list
             rows.append(k)
             parts.append(normal(text))
             size += len(parts[-1])
-            if size >= LANE_BYTES:
+            if size >= lane:
                 flush()
                 rows, parts, size = [], [], 0
     if rows:
@@ -225,7 +225,7 @@ def _accept(sample: Broadcast, shortest: float) -> Callable[[Iterator[pa.RecordB
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(sample.value)
         for batch in batches:
-            langs, _, phrase = _predicted(batch.column("text").to_pylist(), parser)
+            langs, _, phrase = _predicted(batch.column("text").to_pylist(), parser, LANE_BYTES // 4)
             keep = [lang != UNDETERMINED and length >= shortest for lang, length in zip(langs, phrase, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

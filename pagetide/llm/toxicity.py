@@ -22,6 +22,8 @@ SAMPLE_DOCUMENTS = 12_000
 SAMPLE_FEATURES = 4_000
 HASH_BITS = 20
 SCORED_CHARS = 1 << 22
+# The same in the filter, whose workers also hold whole rows.
+FILTERED_CHARS = 1 << 20
 # Letters of the beginnings of longer words that are features of their own.
 BEGINNINGS = (4, 8)
 # What occurs in a single document cannot pass L1 in so many epochs, so that no document is learned by heart.
@@ -119,12 +121,12 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int
     return weights
 
 
-def _scores(texts: list[str], weights: np.ndarray) -> np.ndarray:
+def _scores(texts: list[str], weights: np.ndarray, chars: int = SCORED_CHARS) -> np.ndarray:
     """Chance of the label; each feature counts once in a text."""
     sums = np.full(len(texts), float(weights[-1]))
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
     # Features of so many characters of text are held at once.
-    for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends // SCORED_CHARS)) + 1):
+    for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends // chars)) + 1):
         for k, found in zip(part, Hasher()([texts[k] for k in part]), strict=True):
             sums[k] += weights[np.unique(found[weights[found] != 0])].sum(dtype=np.float64)
     return 1.0 / (1.0 + np.exp(-np.clip(sums, -30.0, 30.0)))
@@ -157,7 +159,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _accept(weights: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = _scores([t or "" for t in batch.column("text").to_pylist()], weights.value) < 0.5
+            keep = _scores([t or "" for t in batch.column("text").to_pylist()], weights.value, FILTERED_CHARS) < 0.5
             yield batch.filter(pa.array(keep))
 
     return run
