@@ -45,7 +45,7 @@ SQL_BODIES = {
         f"WHEN contains(lower(x), '{m.lower()}') THEN '{c}'" for m, c in T.CURRENCY_MARKERS
     ) + " ELSE '' END",
     "normalize_availability": (
-        f"CASE WHEN lower(clean_text(x)) RLIKE {_r(T.OUT_OF_STOCK)} THEN 'out_of_stock' "
+        f"CASE WHEN lower(clean_text(x)) RLIKE {_r(T.NO_STOCK)} THEN 'out_of_stock' "
         f"WHEN lower(clean_text(x)) RLIKE {_r(T.IN_STOCK)} THEN 'in_stock' "
         f"WHEN lower(clean_text(x)) RLIKE {_r(T.PREORDER)} THEN 'preorder' ELSE clean_text(x) END"
     ),

@@ -35,6 +35,9 @@ IN_STOCK = r"in\s*stock|instock|\bavailable\b|有货|现货|可购买"
 PREORDER = r"pre[-\s]?order|预订|预约"
 # ---- end of fixed values
 
+# Missing stock also in other words.
+NO_STOCK = OUT_OF_STOCK + r"|\b(?:not|no\s+longer)(?:\s+currently)?\s+available\b"
+
 
 def _month_numbers() -> dict[str, int]:
     table = {}
@@ -160,7 +163,7 @@ def _availability(text: Column) -> Column:
     """F06 on a cleaned text."""
     return let(
         F.lower(text),
-        lambda low: F.when(low.rlike(OUT_OF_STOCK), "out_of_stock")
+        lambda low: F.when(low.rlike(NO_STOCK), "out_of_stock")
         .when(low.rlike(IN_STOCK), "in_stock")
         .when(low.rlike(PREORDER), "preorder")
         .otherwise(text),

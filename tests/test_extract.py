@@ -123,3 +123,12 @@ def test_fixed_record(spark):
     rows = spark.createDataFrame([("t", None, "c", ["x"]), ("", "", "", [])], "title STRING, author STRING, content STRING, tags ARRAY<STRING>")
     got = [r.validation for r in VA.validate_record(rows, rows.columns, ["title"]).collect()]
     assert (got[0].status, got[0].completeness, got[1].status) == ("full_success", 0.75, "failed")
+
+
+def test_words_for_missing_stock_go_before_others(spark):
+    for words, want in (
+        ("This item is not available at the moment", "out_of_stock"), ("Available in blue. Currently unavailable in red", "out_of_stock"),
+        ("This colour is available now", "in_stock"), ("Sold out", "out_of_stock"),
+    ):
+        s = specialised(spark, f"Blue Widget\nPrice: $12.50\nBrand: Acme\n{words}", "product")
+        assert s.data["availability"] == want, words
