@@ -16,10 +16,10 @@ from pagetide.llm.common import releasing, remainder
 from pagetide.llm.words import WordIndex, blocks, column
 
 FOLDS, HELD_OUT = 5, 0
-# The fit takes at most so many labelled documents, in order of a hash of their ids, each with at most so many features
-# (of a longer document those with the smallest hashes); its one task reads at most their product.
+# The fit takes at most so many labelled documents, in order of a hash of their ids, each with all its features; no
+# further document is taken once those before have so many features together, which its one task holds in memory.
 SAMPLE_DOCUMENTS = 12_000
-SAMPLE_FEATURES = 4_000
+SAMPLE_FEATURES = 48_000_000
 HASH_BITS = 20
 SCORED_CHARS = 1 << 22
 # The same in the filter, whose workers also hold whole rows.
@@ -82,16 +82,22 @@ class Ftrl:
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, texts in blocks(batches):
-        features = [np.unique(f)[:SAMPLE_FEATURES] for f in Hasher()(texts)]
+        features = [np.unique(f) for f in Hasher()(texts)]
         offsets = np.concatenate(([0], np.cumsum([len(f) for f in features])))
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(features)))
-        yield pa.RecordBatch.from_arrays([column(rows, "place"), column(rows, "toxic"), lists], ["place", "toxic", "features"])
+        yield pa.RecordBatch.from_arrays([column(rows, c) for c in ("place", "toxic", "text_hash")] + [lists], ["place", "toxic", "text_hash", "features"])
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    batches = [b for b in batches if b.num_rows]
-    labels = [label for b in batches for label in b.column("toxic").to_pylist()]
-    features = [f.values.to_numpy() for b in batches for f in b.column("features")]
+    labels: list[int] = []
+    features: list[np.ndarray] = []
+    total = 0
+    for batch in batches:
+        for label, found in zip(batch.column("toxic").to_pylist(), batch.column("features"), strict=True):
+            if total < SAMPLE_FEATURES:
+                labels.append(label)
+                features.append(found.values.to_numpy().copy())
+                total += len(features[-1])
     model = Ftrl(1 << HASH_BITS)
     for _ in range(EPOCHS):
         for f, label in zip(features, labels, strict=True):
@@ -104,17 +110,20 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> np.ndarray:
     """Weights by feature, the bias last, from docs (doc_id, text) and labels (doc_id, toxic).
 
-    Labels are null-free and outside the held-out fold; of several for an id the largest counts. The sample is bounded,
-    so one task fits it, and the driver gets the weights that are not zero.
+    Labels are null-free, outside the held-out fold and of documents that are there; of several for an id the largest
+    counts, of several texts of an id the one with the smallest hash. The sample is bounded, so one task fits it, and the
+    driver gets the weights that are not zero.
     """
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     chosen = chosen.filter(F.col("toxic").isin(0, 1) & (remainder("doc_id", folds) != held_out)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.withColumn("place", F.md5(F.concat(F.lit("toxic:"), F.col("doc_id").cast("string")).cast("binary")))
-    chosen = chosen.orderBy("place").limit(SAMPLE_DOCUMENTS)
-    # At most SAMPLE_DOCUMENTS ids are broadcast; the texts stay where they are read. Of rows that repeat an id one is fitted.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("place", "toxic", "text")
-    hashed = rows.mapInArrow(_hashed, "place string, toxic int, features array<int>").dropDuplicates(["place"])
-    fitted = hashed.coalesce(1).sortWithinPartitions("place").mapInArrow(_fit, "feature int, weight double")
+    ids = F.col("doc_id").cast("long").alias("doc_id")
+    chosen = chosen.join(docs.select(ids), "doc_id", "left_semi").orderBy("place").limit(SAMPLE_DOCUMENTS)
+    # At most SAMPLE_DOCUMENTS ids are broadcast; the texts stay where they are read.
+    rows = docs.select(ids, "text").join(F.broadcast(chosen), "doc_id").select("place", "toxic", F.xxhash64("text").alias("text_hash"), "text")
+    hashed = rows.mapInArrow(_hashed, "place string, toxic int, text_hash long, features array<int>")
+    one = hashed.groupBy("place").agg(F.min_by(F.struct("toxic", "features"), "text_hash").alias("one")).select("place", "one.toxic", "one.features")
+    fitted = one.coalesce(1).sortWithinPartitions("place").mapInArrow(_fit, "feature int, weight double")
     weights = np.zeros((1 << HASH_BITS) + 1, np.float32)
     table = fitted.toArrow()
     weights[table.column("feature").to_numpy()] = table.column("weight").to_numpy()
@@ -166,6 +175,10 @@ def _accept(weights: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 def not_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic; columns as in docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+    """The rows of docs that are not predicted toxic; columns as in docs. Null and empty texts have the score of the bias
+    alone; an empty table gives no rows. Without anything to learn from every row is kept."""
+    weights = learn(docs, labels)
+    if not weights.any():
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
     return docs.mapInArrow(releasing(_accept(sent)), docs.schema)

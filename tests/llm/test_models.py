@@ -2,7 +2,6 @@
 
 import random
 import zlib
-import zlib
 
 import numpy as np
 import pytest
@@ -30,8 +29,20 @@ def test_cross_parsing_counts_longest_matches():
     rng = random.Random(2)
     samples = tuple((lang, bytes(rng.choice(letters) for _ in range(300))) for lang, letters in (("a", b"abc "), ("b", b"bcde")))
     texts = [bytes(rng.choice(b"abcde z") for _ in range(rng.randint(1, 1200))) for _ in range(40)]
-    found = language.Parser(samples).phrases(texts)
-    assert found.tolist() == [[plain_phrases(t, s) for _, s in samples] for t in texts]
+    want = [[plain_phrases(t, s) for _, s in samples] for t in texts]
+    assert language.Parser(samples).phrases(texts).tolist() == want
+    # The same from sorted edges, as with many languages.
+    assert language.Parser(samples, cells=0).phrases(texts).tolist() == want
+
+
+def test_language_sample_counts_copies_once_and_all_languages_alike(spark):
+    rows = [(k, "aa", f"{chr(97 + k % 26)}{chr(97 + k // 26)}word " * 400) for k in range(70)] + [(100 + k, "bb", "one copied text " * 50) for k in range(300)] + [(500 + k, f"l{k:03}", "x") for k in range(60)]
+    docs = spark.createDataFrame(rows + [(900, None, "no"), (901, "cc", None)], "doc_id long, lang string, text string")
+    sample = dict(language.learn(docs, folds=1, held_out=1))
+    assert len(sample["bb"]) <= language.SAMPLE_CHARS and set(sample) == {"aa", "bb"} | {f"l{k:03}" for k in range(60)}
+    assert len({w for w in sample["aa"].split() if len(w) == 6}) == language.SAMPLE_TEXTS
+    assert language.SAMPLE_TEXTS * (language.SAMPLE_CHARS - 2) <= len(sample["aa"]) <= language.SAMPLE_TEXTS * (language.SAMPLE_CHARS + 1)
+    assert sample == dict(language.learn(docs.repartition(7, "text"), folds=1, held_out=1))
 
 
 def test_language_on_held_out_documents(spark):
@@ -76,6 +87,50 @@ def test_sparse_weights_find_a_marked_word():
     assert (weights != 0).sum() < 2000
 
 
+def test_ftrl_equals_a_plain_loop():
+    rng = random.Random(8)
+    rows = [(sorted(rng.sample(range(40), rng.randint(0, 12))), rng.randint(0, 1)) for _ in range(120)]
+    model = toxicity.Ftrl(40)
+    z, n = [0.0] * 41, [0.0] * 41
+
+    def weight(i):
+        l1 = 0.0 if i == 40 else toxicity.L1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for found, label in rows * 3:
+        model.learn(np.array(found, np.int32), label)
+        w = {i: weight(i) for i in [*found, 40]}
+        error = 1 / (1 + np.exp(-sum(w.values()))) - label
+        for i in w:
+            z[i] += error - ((n[i] + error**2) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * w[i]
+            n[i] += error**2
+    assert model.weights(np.arange(41)) == pytest.approx([weight(i) for i in range(41)])
+
+
+def test_toxicity_fit_takes_whole_texts_of_documents_that_are_there(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_DOCUMENTS", 60)
+    rng = random.Random(3)
+    # The marked word stands behind more features than any cut would leave.
+    filler = [f"f{k}" for k in range(3000)]
+    rows = [(k, " ".join(rng.sample(filler, 1500)) + (" marked" * 2 if k % 2 else "")) for k in range(60)]
+    docs = spark.createDataFrame(rows + [(k, t + " again") for k, t in rows[:20]], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 2) if k < 60 else 1) for k in range(4000)], "doc_id long, toxic int")
+    weights = toxicity.learn(docs, labels, folds=1, held_out=1)
+    assert (weights == toxicity.learn(docs.repartition(9, "text"), labels, folds=1, held_out=1)).all()
+    assert ((toxicity._scores(["some marked", "some other"], weights) >= 0.5) == [True, False]).all()
+
+
+def test_toxicity_stage_keeps_clean_documents(spark, given):
+    docs, texts = given
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    kept = {r["doc_id"] for r in toxicity.not_toxic(docs, labels).select("doc_id").collect()}
+    marked = {r["doc_id"] for r in toxicity.scored(docs, labels).filter("predicted = 1").collect()}
+    assert kept == set(texts) - marked
+    assert toxicity.not_toxic(docs, labels.limit(0)).count() == docs.count()
+
+
 def test_network_is_a_distribution():
     net = lm_score.Network.start(np.arange(1.0, lm_score.VOCABULARY + 1))
     around = np.tile(np.array([[1, 2, 3, 4]]), (lm_score.VOCABULARY, 1))
