@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 from pagetide.llm.common import releasing, remainder
 
-# The fit takes the start of at most so many documents of each language, in order of a hash of their ids.
-SAMPLE_DOCUMENTS = 96
-SAMPLE_BYTES_EACH = 1024
-# All languages together; each gets an equal part.
-SAMPLE_BYTES = 1 << 17
+# The fit takes at most so many distinct texts of each language, in order of a hash, whatever the number of languages,
+# and of each so many characters at a place that a hash chooses.
+SAMPLE_TEXTS = 64
+SAMPLE_CHARS = 512
+# Automata of all languages are tables up to so many cells together, beyond that sorted lists of their edges.
+TABLE_CELLS = 1 << 25
 FOLDS, HELD_OUT = 4, 2
 UNDETERMINED = "und"
 # A text whose phrases in its best language are shorter than this, in bytes, is in no language that was learned.
@@ -72,28 +73,44 @@ def suffix_automaton(sample: bytes) -> list[dict[int, int]]:
 
 
 class Parser:
-    """The automata of all languages in one table: rows are states, columns the bytes that occur in any sample."""
+    """The automata of all languages: from states (rows) by the bytes that occur in any sample (columns)."""
 
-    def __init__(self, sample: Sample):
+    def __init__(self, sample: Sample, cells: int = TABLE_CELLS):
         self.languages = [lang for lang, _ in sample]
         self.bits = np.array([np.log2(len(text) + 1) for _, text in sample])
         used = sorted(set(b"".join(text for _, text in sample)))
         self.code = np.full(256, len(used), np.int32)
         self.code[used] = np.arange(len(used))
         self.width = len(used) + 1
-        # Row 0 is a dead end; the table holds row numbers times the width.
-        self.start, cells, base = [], [], 1
+        # Row 0 is a dead end, row 1 the start; states are row numbers times the width.
+        self.start = self.width
+        # For each language: places in ascending order, and where each leads.
+        self._edges = []
+        rows_used = 0
         for _, text in sample:
             edges = suffix_automaton(text)
-            self.start.append(base * self.width)
-            rows = np.repeat(np.arange(len(edges)), [len(e) for e in edges]) + base
+            rows = np.repeat(np.arange(len(edges)), [len(e) for e in edges]) + 1
             columns = self.code[np.fromiter((c for e in edges for c in e), np.int64)]
-            to = np.fromiter((t for e in edges for t in e.values()), np.int64) + base
-            cells.append((rows * self.width + columns, to * self.width))
-            base += len(edges)
-        self.table = np.zeros(base * self.width, np.int32)
-        for at, to in cells:
-            self.table[at] = to
+            to = np.fromiter((t for e in edges for t in e.values()), np.int64) + 1
+            at = rows * self.width + columns
+            order = np.argsort(at)
+            self._edges.append((at[order].astype(np.int32), (to * self.width)[order].astype(np.int32), len(edges) + 1))
+            rows_used += len(edges) + 1
+        self._tables = None
+        if rows_used * self.width <= cells:
+            self._tables = []
+            for at, to, n in self._edges:
+                table = np.zeros(n * self.width, np.int32)
+                table[at] = to
+                self._tables.append(table)
+
+    def _step(self, language: int, places: np.ndarray) -> np.ndarray:
+        """The states that follow places (state plus byte); 0 where there is none."""
+        if self._tables is not None:
+            return self._tables[language][places]
+        at, to, _ = self._edges[language]
+        k = np.minimum(np.searchsorted(at, places), len(at) - 1)
+        return np.where(at[k] == places, to[k], 0)
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """Phrases of each text (rows) in each language (columns); texts are normalised."""
@@ -107,16 +124,17 @@ class Parser:
         order = np.argsort(-size, kind="stable")
         begin, size, owner = begin[order], size[order], owner[order]
         found = np.zeros((len(texts), len(self.languages)), np.int64)
-        for column, start in enumerate(self.start):
+        start = self.start
+        for column in range(len(self.languages)):
             state = np.full(len(begin), start, np.int32)
             count = np.ones(len(begin), np.int64)
             for step in range(int(size[0]) if len(size) else 0):
                 live = int(np.searchsorted(-size, -step, "left"))
                 c = codes[begin[:live] + step]
-                moved = self.table[state[:live] + c]
+                moved = self._step(column, state[:live] + c)
                 stuck = np.flatnonzero(moved == 0)
                 # A phrase ends before this byte, and the next one starts with it; an unknown byte is a phrase of its own.
-                again = self.table[start + c[stuck]]
+                again = self._step(column, start + c[stuck])
                 # Stuck at the start of a phrase means that the byte itself is unknown: it has been counted.
                 fresh = state[stuck] == start
                 count[stuck] += ~fresh
@@ -147,21 +165,22 @@ class Parser:
 def learn(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> Sample:
     """A sample of each lang value of docs (doc_id, text, lang): bounded, so the driver may hold it.
 
-    Rows with null lang, null text or a held-out id take no part. Spark keeps SAMPLE_DOCUMENTS rows of each language
-    before it shuffles them, so a hot language costs no more than another.
+    Rows with null lang, null text or a held-out id take no part. Copies of a text in a language count once: their keys
+    are merged before they are shuffled, and SAMPLE_TEXTS keys of each language kept before they are sorted.
     """
-    rows = docs.select(
-        F.col("lang").cast("string").alias("lang"), F.substring("text", 1, SAMPLE_BYTES_EACH).alias("text"),
-        F.md5(F.concat(F.lit("lang:"), F.col("doc_id").cast("string")).cast("binary")).alias("key"), remainder("doc_id", folds).alias("fold"),
-    ).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("fold") != held_out))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))
-    kept = rows.withColumn("place", place).filter(F.col("place") <= SAMPLE_DOCUMENTS)
+    rows = docs.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text").alias("key"), remainder("doc_id", folds).alias("fold"))
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("fold") != held_out))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    chosen = rows.select("lang", "key").distinct().withColumn("place", place).filter(F.col("place") <= SAMPLE_TEXTS)
+    last = F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)
+    part = F.col("text").substr((F.pmod(F.xxhash64(F.lit("place"), "text"), last) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    # At most SAMPLE_TEXTS keys of each language go to the rows.
+    kept = rows.join(F.broadcast(chosen), ["lang", "key"]).groupBy("lang", "place").agg(F.min(part).alias("text"))
     texts: dict[str, list[bytes]] = {}
     for row in kept.orderBy("lang", "place").toLocalIterator():
         texts.setdefault(row["lang"], []).append(normal(row["text"]))
-    each = max(64, SAMPLE_BYTES // max(1, len(texts)))
     # Each text's end is kept apart from the next one's start by a blank.
-    sample = ((lang, b" ".join(parts)[:each]) for lang, parts in sorted(texts.items()))
+    sample = ((lang, b" ".join(parts)) for lang, parts in sorted(texts.items()))
     return tuple((lang, text) for lang, text in sample if text)
 
 
@@ -234,6 +253,7 @@ def _accept(sample: Broadcast, shortest: float) -> Callable[[Iterator[pa.RecordB
 
 def in_a_language(docs: DataFrame, shortest: float = SHORTEST_PHRASE) -> DataFrame:
     """The rows of docs in a learned language; columns as in docs. Out go texts that are null or have no letter, and
-    texts whose phrases average less than `shortest` bytes in their best language."""
+    texts whose phrases average less than `shortest` bytes in their best language, and all texts when there was no
+    language to learn; an empty table gives no rows."""
     sample = docs.sparkSession.sparkContext.broadcast(learn(docs))
     return docs.mapInArrow(releasing(_accept(sample, shortest)), docs.schema)
