@@ -26,6 +26,8 @@ END_ID = 2
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "compression": "zstd"}
 SENT_WORDS = 20_000
 BATCH_IDS = 1 << 20
+# Chunks whose ids a worker keeps at hand for the blocks and tasks after; others are encoded again when they come back.
+KEPT_CHUNKS = 600_000
 
 
 @lru_cache(maxsize=2)
@@ -92,13 +94,42 @@ def _ids_of(chunks: list[bytes], tokenizer: Tokenizer) -> tuple[np.ndarray, np.n
     return found, np.diff(upto)
 
 
+class Known:
+    """Ids of chunks as `_ids_of` gives them; those of chunks met before are at hand. Beyond KEPT_CHUNKS only the
+    chunks of the last block stay, as far as they fit, those that had come back first."""
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        self._tokenizer = tokenizer
+        self._ids: dict[bytes, bytes] = {}
+
+    def __call__(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [self._ids.get(c) for c in chunks]
+        new = [k for k, known in enumerate(ids) if known is None]
+        flat, sizes = _ids_of([chunks[k] for k in new], self._tokenizer)
+        ends = (np.cumsum(sizes) * 4).tolist()
+        raw = flat.tobytes()
+        if len(self._ids) + len(new) > KEPT_CHUNKS:
+            self._ids = {c: known for c, known in zip(chunks, ids, strict=True) if known is not None}
+        room = max(0, KEPT_CHUNKS - len(self._ids))
+        for n, (k, start, end) in enumerate(zip(new, [0, *ends], ends, strict=False)):
+            ids[k] = raw[start:end]
+            if n < room:
+                self._ids[chunks[k]] = ids[k]
+        return np.frombuffer(b"".join(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+
+@lru_cache(maxsize=1)
+def _known(model: str) -> Known:
+    return Known(_tokenizer(model))
+
+
 def _encode(model: Broadcast, bounds: np.ndarray, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(model.value)
+        known = _known(model.value)
         for rows, texts in blocks(batches):
             index = WordIndex()
             sequences = [index(text.encode().split()) for text in texts]
-            ids, sizes = _ids_of(index.words(), tokenizer)
+            ids, sizes = known(index.words())
             # The end id is one more "chunk".
             ids, sizes = np.append(ids, np.uint32(end_id)), np.append(sizes, 1)
             starts = np.cumsum(sizes) - sizes

@@ -74,6 +74,19 @@ def test_chunks_encode_like_whole_texts():
         assert token_files._ids_of(text.encode().split(), model)[0].tolist() == model.encode(text, add_special_tokens=False).ids, text
 
 
+def test_chunks_met_before_encode_alike(monkeypatch):
+    monkeypatch.setattr(token_files, "KEPT_CHUNKS", 40)
+    model = library(token_files.MODEL)
+    known = token_files.Known(model)
+    texts = odd_texts()
+    for k in range(0, len(texts), 10):
+        chunks = sorted({c for t in texts[k : k + 10] for c in t.encode().split()})
+        ids, sizes = known(chunks)
+        want, sizes_wanted = token_files._ids_of(chunks, model)
+        assert ids.tolist() == want.tolist() and sizes.tolist() == sizes_wanted.tolist() and len(known._ids) <= 40
+    assert [x.tolist() for x in known([])] == [[], []]
+
+
 def test_files_hold_all_ids_in_order(spark, table):
     docs, texts = table
     path = scratch(spark, "test-ids")
