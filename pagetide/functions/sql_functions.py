@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -89,10 +90,53 @@ class JsonNodes:
                 yield node["no"], node["parent"], node["via"], node["fields"]
 
 
+_HTML_ROW = pa.schema([("key", pa.string()), ("node_no", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("dropped", pa.bool_())])
+_JSON_ROW = pa.schema([("key", pa.string()), ("node_no", pa.int32()), ("parent", pa.int32()), ("via", pa.string()), ("fields", pa.map_(pa.string(), pa.string()))])
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[str | None, str]]:
+    """Key and text of each row: the first two columns; null texts are empty."""
+    keys = batch.column(0).cast(pa.string()).to_pylist()
+    for key, text in zip(keys, batch.column(1).to_pylist(), strict=True):
+        yield key, text or ""
+
+
+@F.arrow_udtf(returnType="key STRING, node_no INT, tag STRING, attrs MAP<STRING,STRING>, dropped BOOLEAN")
+class HtmlTable:
+    """SELECT * FROM html_table(TABLE(SELECT key, html FROM ...)): the elements of all pages, batch by batch."""
+
+    def eval(self, pages: pa.RecordBatch) -> Iterator[pa.Table]:
+        for key, html in _texts(pages):
+            tree = _Tree(frozenset(DROP_TAGS))
+            tree.feed(html)
+            rows = [(key, e["no"], e["tag"], e["attrs"], e["dropped_by"] >= 0) for e in tree.finish()[0]]
+            if rows:
+                yield _table(rows, _HTML_ROW)
+
+
+@F.arrow_udtf(returnType="key STRING, node_no INT, parent INT, via STRING, fields MAP<STRING,STRING>")
+class JsonTable:
+    """SELECT * FROM json_table(TABLE(SELECT key, json FROM ...)): the objects of all documents, batch by batch."""
+
+    def eval(self, documents: pa.RecordBatch) -> Iterator[pa.Table]:
+        for key, document in _texts(documents):
+            nodes = (n for value in _documents("whole", document.strip()) for n in _flatten(value))
+            rows = [(key, n["no"], n["parent"], n["via"], n["fields"]) for n in nodes]
+            if rows:
+                yield _table(rows, _JSON_ROW)
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = [[list(v.items()) if isinstance(v, dict) else v for v in values] for values in zip(*rows, strict=True)]
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def register_sql_functions(spark: SparkSession) -> list[str]:
     """Register all functions on the session and return their names."""
     for name, body in SQL_BODIES.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS STRING RETURN {body}")
     spark.udtf.register("html_nodes", HtmlNodes)
     spark.udtf.register("json_nodes", JsonNodes)
-    return [*SQL_BODIES, "html_nodes", "json_nodes"]
+    spark.udtf.register("html_table", HtmlTable)
+    spark.udtf.register("json_table", JsonTable)
+    return [*SQL_BODIES, "html_nodes", "json_nodes", "html_table", "json_table"]

@@ -11,7 +11,8 @@ from pagetide.plans import sql_views as S
 from pagetide.plans import views as V
 from pagetide.plans.registry import day_text, query
 from pagetide.plans.run_queries import _PAIRS, _usage
-from pagetide.sources import readers, schemas, sinks
+from pagetide.operators import links as L
+from pagetide.sources import collection, readers, schemas, sinks
 from pagetide.streaming.jobs import upsert_usage
 from pagetide.streaming.state import shared_folder
 
@@ -209,6 +210,87 @@ def sql_html_nodes(spark, sf):
     )
 
 
+@query("sql_page_tags", "SELECT CAST(page_id AS VARCHAR) AS key, len(regexp_extract_all(html, '<p>')) AS paragraphs, len(regexp_extract_all(html, '<h1>')) AS headings FROM pages")
+def sql_page_tags(spark, sf):
+    """The page parser as a table function over whole batches."""
+    register_sql_functions(spark)
+    V.pages(spark, sf).createOrReplaceTempView("html_input")
+    return spark.sql(
+        "SELECT key, int(count_if(tag = 'p')) AS paragraphs, int(count_if(tag = 'h1')) AS headings "
+        "FROM html_table(TABLE(SELECT page_id, html FROM html_input)) GROUP BY key"
+    )
+
+
+@query("sql_json_nodes", """SELECT CAST(p_partkey AS VARCHAR) AS key, 0 AS node_no, -1 AS parent, '' AS via, p_name AS name, NULL AS price FROM part
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), k, 0, CASE WHEN k = 1 THEN 'offers' ELSE 'brand' END, CASE WHEN k = 2 THEN p_brand END, CASE WHEN k = 1 THEN CAST(p_size AS VARCHAR) END FROM part, (VALUES (1), (2)) n(k) WHERE k = 1 OR p_partkey % 3 <> 0""")
+def sql_json_nodes(spark, sf):
+    """The flattener of JSON documents as a table function over whole batches."""
+    register_sql_functions(spark)
+    brand = F.when(F.col("p_partkey") % 3 != 0, F.struct(F.col("p_brand").alias("name")))
+    offer = F.array(F.struct(F.col("p_size").alias("price")))
+    document = F.to_json(F.struct(F.col("p_name").alias("name"), offer.alias("offers"), brand.alias("brand")))
+    V.table(spark, sf, "part").select("p_partkey", document.alias("document")).createOrReplaceTempView("json_input")
+    return spark.sql(
+        "SELECT key, node_no, parent, via, fields['name'] AS name, fields['price'] AS price "
+        "FROM json_table(TABLE(SELECT p_partkey, document FROM json_input))"
+    ).withColumn("name", F.when((F.col("via") != "offers"), F.col("name")))
+
+
+@query("csv_headers", """SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, p_brand AS brand, '' AS color FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_name, p_brand, '' FROM part WHERE p_partkey % 2 = 1
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_name, '', p_type FROM part""")
+def csv_headers(spark, sf):
+    """S05 as appends to one folder: two with the same header, one with another."""
+    folder = shared_folder(spark, "csv-headers")
+    part = V.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("color"))
+    for odd in (0, 1):
+        sinks.append_csv(part.where(F.col("id") % 2 == odd).drop("color"), folder)
+    sinks.append_csv(part.drop("brand"), folder)
+    return sinks.read_csv_folder(spark, folder).select("id", "name", "brand", "color")
+
+
+@query("stored_collection", """SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice AS price, NULL AS priority FROM orders WHERE o_totalprice >= 100000
+UNION ALL SELECT o_orderkey, NULL, o_totalprice, o_orderpriority FROM orders WHERE o_totalprice >= 100000""")
+def stored_collection(spark, sf):
+    """A collection written twice through the data source, the second time with other columns."""
+    name, folder = collection.register(spark), shared_folder(spark, "collection")
+    rows = V.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority")
+    )
+    for left_out in ("priority", "status"):
+        rows.drop(left_out).write.format(name).mode("append").option("path", folder).save()
+    return spark.read.format(name).option("path", folder).load().where("price >= 100000").select("id", "status", "price", "priority")
+
+
+@query("feed_file_items", """SELECT 'Item & ' || p_partkey AS title, '2024-01-01' AS published, 'About ' || p_name || ' here' AS summary, 'https://shop.example.com/a/' || p_partkey || '?x=1&y=2' AS link FROM part""")
+def feed_file_items(spark, sf):
+    """S11 on feed files written from the part table: RSS items and Atom entries, entities, CDATA, markup."""
+    folder = shared_folder(spark, "feeds")
+    key = F.col("p_partkey")
+    address = F.concat(F.lit("https://shop.example.com/a/"), key, F.lit("?x=1&amp;y=2"))
+    title = F.concat(F.lit("<title>Item &amp; "), key, F.lit("</title>"))
+    about = F.concat(F.lit("<![CDATA[About <b>"), "p_name", F.lit("</b>  here]]>"))
+    rss = F.concat(F.lit("<rss><channel><item>"), title, F.lit("<pubDate>2024-01-01</pubDate><description>"), about, F.lit("</description><link> "), address, F.lit(" </link></item></channel></rss>"))
+    atom = F.concat(F.lit("<feed><entry>"), title, F.lit('<link rel="self" href="'), address, F.lit('"/><updated>2024-01-01</updated><summary>'), about, F.lit("</summary></entry></feed>"))
+    part = V.table(spark, sf, "part")
+    part.where(key % 2 == 0).select(rss).write.text(f"{folder}/rss")
+    part.where(key % 2 == 1).select(atom).write.text(f"{folder}/atom")
+    items = readers.read_feed_items(spark, f"{folder}/rss").union(readers.read_feed_items(spark, f"{folder}/atom", tag="entry"))
+    return items.select("title", "published", "summary", "link")
+
+
+@query("sitemap_file_repairs", """SELECT p_partkey, 'https://shop.example.com/new/' || p_partkey AS repaired_url FROM part""")
+def sitemap_file_repairs(spark, sf):
+    """S12 + J10 on sitemap files written from the part table."""
+    folder = shared_folder(spark, "sitemaps")
+    key = F.col("p_partkey")
+    entry = lambda place: F.concat(F.lit(f"<url><loc> https://shop.example.com/{place}/"), key, F.lit(" </loc></url>"))
+    V.table(spark, sf, "part").select(F.concat(F.lit("<urlset>"), entry("new"), entry("other"), F.lit("</urlset>"))).write.text(folder)
+    dead = V.table(spark, sf, "part").select("p_partkey", F.concat(F.lit("https://shop.example.com/old/"), key).alias("url"))
+    locs = readers.read_sitemap_urls(spark, folder).withColumn("base", F.lit("https://shop.example.com/sitemap.xml"))
+    return L.repair_from_sitemap(dead, locs).select("p_partkey", "repaired_url")
+
+
 @query("region_lines", "SELECT page_id, count(*) AS items FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li>')) AS x FROM pages) GROUP BY 1")
 def region_lines(spark, sf):
     """H09 with a navigation region: the selected region is kept though its tag is a dropped one elsewhere."""

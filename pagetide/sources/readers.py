@@ -132,6 +132,52 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     return decode_bodies(spark.read.format("binaryFile").load(path).select("path", "content"))
 
 
+def _elements(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    """Elements of XML files as rows (path, position, element), position an order within all files.
+
+    The end tag is the separator of the text reader, so a large file is split among tasks. Entities and CDATA are the
+    parser's; an element that it refuses is parsed again with its unknown entities as plain text.
+    """
+    rows = spark.read.option("lineSep", f"</{tag}>").text(path)
+    order = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    start = F.regexp_extract("value", rf"(?s)^.*?(<{tag}(?:\s[^>]*)?>.*)$", 1)
+    found = rows.select(F.col("_metadata.file_path").alias("path"), order.alias("position"), F.concat(start, F.lit(f"</{tag}>")).alias("xml"))
+    parse = lambda xml: F.from_xml(xml, f"{schema}, _corrupt_record STRING", {"ignoreNamespace": "true"})
+    named = F.regexp_replace("xml", r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)", "&amp;")
+    element = F.when(F.col("first._corrupt_record").isNull(), F.col("first")).otherwise(parse(named))
+    whole = found.where(F.col("xml") != f"</{tag}>").withColumn("first", parse(F.col("xml")))
+    return whole.select("path", "position", element.alias("element"))
+
+
+def read_feed_items(spark: SparkSession, path: str, tag: str = "item") -> DataFrame:
+    """Items of feed files as rows (path, position, title, published, summary, link).
+
+    `tag` is "item" for RSS and "entry" for Atom; a file without it is read as a single row without items. Texts are
+    plain: markup goes, runs of blanks are one. An item's link is its first address, else its first text.
+    """
+    texts = ("title", "pubDate", "published", "updated", "description", "summary", "content")
+    schema = ", ".join([f"{t} STRING" for t in texts] + ["link ARRAY<STRUCT<_VALUE: STRING, _href: STRING>>"])
+
+    def plain(*names: str) -> Column:
+        bare = [F.regexp_replace(F.col(f"element.{n}"), r"<[^>]+>", " ") for n in names]
+        found = [F.trim(F.regexp_replace(b, r"(?U)\s+", " ")) for b in bare]
+        return F.coalesce(*[F.when(f != "", f) for f in found], F.lit(""))
+
+    def first(part: str) -> Column:
+        return F.get(F.filter(F.transform("element.link", lambda x: F.trim(x[part])), lambda x: x != ""), 0)
+
+    return _elements(spark, path, tag, schema).select(
+        "path", "position", plain("title").alias("title"), plain("pubDate", "published", "updated").alias("published"),
+        plain("description", "summary", "content").alias("summary"), F.coalesce(first("_href"), first("_VALUE"), F.lit("")).alias("link"),
+    )
+
+
+def read_sitemap_urls(spark: SparkSession, path: str) -> DataFrame:
+    """Addresses of sitemap files as rows (path, position, loc); blank ones are left out."""
+    loc = F.trim("element.loc")
+    return _elements(spark, path, "url", "loc STRING").select("path", "position", loc.alias("loc")).where(F.col("loc") != "")
+
+
 def read_feeds(spark: SparkSession, path: str) -> DataFrame:
     """S11/S12 input: feed or sitemap files as (path, text)."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +82,27 @@ def read_csv_collection(spark: SparkSession, parts: list[str]) -> DataFrame:
     return merged.na.fill("")
 
 
+def append_csv(df: DataFrame, folder: str) -> None:
+    """Append records to a CSV collection whose header may grow; parts with the same header share a folder.
+
+    The catalogue of headers is the folder's listing, so a collection is planned by its headers, however many appends.
+    """
+    flat = flatten_record(df)
+    header = hashlib.md5("\n".join(flat.columns).encode()).hexdigest()
+    texts = flat.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in flat.columns])
+    writer = texts.write.mode("append").option("quoteAll", True).option("escape", '"').option("encoding", "UTF-8")
+    writer.csv(f"{folder.rstrip('/')}/header={header}", header=True)
+
+
+def read_csv_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """A CSV collection with the columns of all its headers, '' where a part lacks one; one scan for each header."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [s.getPath().getName() for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    reader = lambda: spark.read.option("multiLine", True).option("escape", '"').option("header", True)
+    scans = [reader().csv(f"{folder.rstrip('/')}/{n}") for n in sorted(names) if n.startswith("header=")]
+    return reduce(merge_columns, scans).na.fill("")
+
+
 def append_table(df: DataFrame, path: str) -> None:
     """Append to a parquet collection; lists and maps stay native, new columns are new columns."""
     df.write.mode("append").parquet(path)
