@@ -62,7 +62,8 @@ class Written(WriterCommitMessage):
 
 
 def _bounds(file: pq.FileMetaData) -> dict[str, list]:
-    """Smallest and largest value of each integer, float or text column that has them for all its rows."""
+    """Smallest and largest value of each integer or text column that has them in all row groups. Not of floats, whose
+    bounds leave NaN out."""
     found: dict[str, list] = {}
     for k in range(file.num_columns):
         columns = [file.row_group(g).column(k) for g in range(file.num_row_groups)]
@@ -70,7 +71,7 @@ def _bounds(file: pq.FileMetaData) -> dict[str, list]:
         name = columns[0].path_in_schema if columns else ""
         if stats and "." not in name and all(s is not None and s.has_min_max for s in stats):
             low, high = min(s.min for s in stats), max(s.max for s in stats)
-            if type(low) in (int, float, str):
+            if type(low) in (int, str):
                 found[name] = [low, high]
     return found
 

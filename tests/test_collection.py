@@ -50,6 +50,10 @@ def test_filters_leave_out_parts(spark, name, tmp_path):
     assert back.where("id >= 950").rdd.getNumPartitions() == 1 and back.where("id >= 950").count() == 50
     assert back.where("id < 100").rdd.getNumPartitions() == 1 and back.where("id = 500").collect() == [(500,)]
     assert back.where("id > 99 AND id <= 100").collect() == [(100,)] and back.where("id > 5000").collect() == []
+    odd = str(tmp_path / "odd")
+    spark.sql("SELECT * FROM VALUES (1D, 'a'), (double('NaN'), NULL) t(x, y)").coalesce(1).write.format(name).mode("append").option("path", odd).save()
+    back = spark.read.format(name).option("path", odd).load()
+    assert back.where("x > 5").count() == 1 and back.where("y >= 'a'").count() == 1 and back.where("y > 'a'").count() == 0
 
 
 def test_appends_with_one_header_are_one_scan(spark, tmp_path):
