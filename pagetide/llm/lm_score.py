@@ -35,8 +35,10 @@ WIDTH = 24
 SIDE = 2
 # Each word is masked, and so learned from, in one of the rounds.
 ROUNDS = 2
-RATE = 0.1
-BATCH = 1024
+RATE = 0.3
+BATCH = 8192
+# The network's outputs are held within this on either side.
+LARGEST = np.float32(60)
 SCORED_AT_ONCE = 1 << 15
 PIECE = 1 << 14
 BLOCK_CHARS = 1 << 23
@@ -144,54 +146,80 @@ class Network:
         return net
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        return sum(self.embed[around[:, j]] * self.place[j] for j in range(len(_AROUND)))
+        return np.einsum("njw,jw->nw", self.embed.take(around, axis=0), self.place)
 
     def log_probabilities(self, around: np.ndarray, words: np.ndarray) -> np.ndarray:
-        h = self.hidden(around)
+        order = np.argsort(_short(words), kind="stable")
+        h, words = self.hidden(around.take(order, axis=0)), words[order]
         cls, within = words // CLASS_WORDS, words % CLASS_WORDS
-        out = _log_softmax(h @ self.to_class + self.class_bias)[np.arange(len(words)), cls].astype(np.float64)
-        order = np.argsort(cls, kind="stable")
-        for c, part in _groups(cls, order):
-            out[part] += _log_softmax(h[part] @ self.to_word[c] + self.word_bias[c])[np.arange(len(part)), within[part]]
+        found = _log_share(h @ self.to_class + self.class_bias, cls)
+        for c, part in _slices(cls):
+            found[part] += _log_share(h[part] @ self.to_word[c] + self.word_bias[c], within[part])
+        out = np.empty(len(words))
+        out[order] = found
         return out
 
     def learn(self, around: np.ndarray, words: np.ndarray, squares: Network) -> None:
-        """One step of Adagrad on a batch; squares holds the sums of squared gradients."""
+        """One step of Adagrad on a batch; squares holds the sums of squared gradients.
+
+        The batch is taken in order of its words, so that those of a class stand together.
+        """
         n = len(words)
-        h = self.hidden(around)
+        order = np.argsort(_short(words), kind="stable")
+        around, words = around.take(order, axis=0), words[order]
+        context = self.embed.take(around, axis=0)
+        h = np.einsum("njw,jw->nw", context, self.place)
         cls, within = words // CLASS_WORDS, words % CLASS_WORDS
-        d = np.exp(_log_softmax(h @ self.to_class + self.class_bias))
+        slope = Network(np.zeros_like(self.flat))
+        d = _softmax(h @ self.to_class + self.class_bias)
         d[np.arange(n), cls] -= 1
         dh = d @ self.to_class.T
-        steps = [(self.to_class, squares.to_class, ..., h.T @ d), (self.class_bias, squares.class_bias, ..., d.sum(axis=0))]
-        for c, part in _groups(cls, np.argsort(cls, kind="stable")):
-            d = np.exp(_log_softmax(h[part] @ self.to_word[c] + self.word_bias[c]))
-            d[np.arange(len(part)), within[part]] -= 1
+        slope.to_class[:], slope.class_bias[:] = h.T @ d, d.sum(axis=0)
+        for c, part in _slices(cls):
+            own = h[part]
+            d = _softmax(own @ self.to_word[c] + self.word_bias[c])
+            d[np.arange(len(own)), within[part]] -= 1
             dh[part] += d @ self.to_word[c].T
-            steps += [(self.to_word, squares.to_word, c, h[part].T @ d), (self.word_bias, squares.word_bias, c, d.sum(axis=0))]
-        rows, at = np.unique(around, return_inverse=True)
-        at = at.reshape(around.shape)
-        d_embed = np.zeros((len(rows), WIDTH), np.float32)
-        d_place = np.empty_like(self.place)
-        for j in range(len(_AROUND)):
-            np.add.at(d_embed, at[:, j], dh * self.place[j])
-            d_place[j] = (dh * self.embed[around[:, j]]).sum(axis=0)
-        steps += [(self.embed, squares.embed, rows, d_embed), (self.place, squares.place, ..., d_place)]
-        for values, sums, where, gradient in steps:
-            sums[where] += gradient * gradient
-            values[where] -= RATE * gradient / np.sqrt(sums[where] + 1e-6)
-        self.embed[-1] = 0
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
-def _groups(keys: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    if len(order):
-        present, first = np.unique(keys[order], return_index=True)
-        yield from zip(present.tolist(), np.split(order, first[1:]), strict=True)
+            slope.to_word[c], slope.word_bias[c] = own.T @ d, d.sum(axis=0)
+        at = around.ravel()
+        for w in range(WIDTH):
+            slope.embed[:, w] = np.bincount(at, (dh[:, w, None] * self.place[:, w]).ravel(), VOCABULARY + 1)
+        slope.place[:] = np.einsum("nw,njw->jw", dh, context)
+        # The blank beside a text stays zero.
+        slope.embed[-1] = 0
+        squares.flat += slope.flat * slope.flat
+        self.flat -= RATE * slope.flat / np.sqrt(squares.flat + np.float32(1e-6))
+
+
+def _short(numbers: np.ndarray) -> np.ndarray:
+    """Word numbers as 16 bits, which numpy sorts by radix."""
+    return numbers.astype(np.uint16)
+
+
+def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row, and their sums; x is overwritten. Held within LARGEST, so that none is infinite and no sum zero."""
+    np.exp(np.clip(x, -LARGEST, LARGEST, out=x), out=x)
+    return x, x @ np.ones(x.shape[1], x.dtype)
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Of each row; x is overwritten."""
+    x, total = _exponentials(x)
+    x /= total[:, None]
+    return x
+
+
+def _log_share(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The log softmax of each row at its chosen column; x is overwritten."""
+    x, total = _exponentials(x)
+    return np.log(x[np.arange(len(x)), chosen].astype(np.float64) / total)
+
+
+def _slices(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Of sorted keys, each key with where it stands."""
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    for i, j in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=False):
+        yield int(keys[i]), slice(i, j)
 
 
 def _one_blas_thread() -> None:
