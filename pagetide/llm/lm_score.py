@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.llm.common import stored
-from pagetide.llm.words import WordIndex, blocks, column
+from pagetide.llm.words import WordIndex, blocks, column, pack_numbers, unpack_numbers
 
 CLASSES = 64
 CLASS_WORDS = 64
@@ -55,15 +55,42 @@ def _split(text: str) -> list[bytes]:
     return text.encode().split()
 
 
+_NUMBERED = "ids array<long>, sizes array<int>, seeds array<long>, words array<binary>, seen binary"
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block of texts: their ids, numbers of words and hashes, the distinct words of the block, and, one
+    text after the other, the place of each word among those."""
+    for rows, texts in blocks(batches, BLOCK_CHARS):
+        chunks, index = WordIndex(), WordIndex()
+        places = [chunks(_split(t)) for t in texts]
+        number = index([_word(c) for c in chunks.words()])
+        seen = number[np.concatenate(places)] if len(number) else number
+        seeds = [zlib.crc32(t.encode()) for t in texts]
+        values = [(column(rows, "doc_id").to_pylist(), pa.int64()), ([len(p) for p in places], pa.int32()), (seeds, pa.int64()), (index.words(), pa.binary())]
+        arrays = [pa.array([v], pa.list_(t)) for v, t in values] + [pa.array([pack_numbers(seen)], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, ["ids", "sizes", "seeds", "words", "seen"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, list[bytes], np.ndarray]]:
+    """ids, sizes, seeds, words and seen of each block."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            ids, sizes, seeds, words = (batch.column(c)[k].values for c in ("ids", "sizes", "seeds", "words"))
+            seen = unpack_numbers(batch.column("seen")[k].as_py())
+            yield ids, sizes.to_numpy().astype(np.int64), seeds.to_numpy(), words.to_pylist(), seen
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The texts of docs (doc_id, text) as blocks of numbered words, stored, so that they are taken apart only once."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return stored(rows.mapInArrow(_numbered, _NUMBERED), "numbered")
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, texts in blocks(batches, BLOCK_CHARS):
-        index = WordIndex()
-        seen = [index(_split(t)) for t in texts]
-        n = np.bincount(np.concatenate(seen), minlength=len(index.words())) if index.words() else np.zeros(0, np.int64)
-        words = WordIndex()
-        number = words([_word(c) for c in index.words()])
-        total = np.bincount(number, n, len(words.words())).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(words.words(), pa.binary()), pa.array(total)], ["word", "n"])
+    for _, _, _, words, seen in _unpacked(batches):
+        n = np.bincount(seen, minlength=len(words)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n)], ["word", "n"])
 
 
 class Vocabulary:
@@ -84,9 +111,10 @@ class Vocabulary:
         return np.array([self.number.get(w, -1) if w in self.number else rare + zlib.crc32(w) % RARE for w in words], np.int64).reshape(-1)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) for every word of the texts, stored."""
-    return stored(docs.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n) for every word of the numbered texts, stored."""
+    counted = texts.mapInArrow(_count, "word binary, n long")
+    return stored(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
 def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
@@ -96,7 +124,7 @@ def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
     falls are sorted.
     """
     wanted = VOCABULARY - RARE
-    counts = word_counts(docs) if counts is None else counts
+    counts = word_counts(numbered(docs)) if counts is None else counts
     size = F.floor(F.log2("n") * 8).cast("int")
     classes = sorted((tuple(r) for r in counts.groupBy(size.alias("size")).agg(F.count("*"), F.sum("n")).collect()), reverse=True)
     upto = np.cumsum([n for _, n, _ in classes])
@@ -230,27 +258,24 @@ def _one_blas_thread() -> None:
             set_threads(1)
 
 
-def _sequences(texts: list[str], numbers: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """All texts' word numbers behind one another, each text between SIDE blanks; the places of the words; words per text.
+def _sequences(sizes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' vocabulary numbers behind one another, each text between SIDE blanks, and the places of the words.
 
-    And the words themselves, some more than once, and the position there of each word of the texts.
+    number: those of the texts' words, one text after the other; sizes: words of each text.
     """
-    index = WordIndex()
-    seen = [index(_split(t)) for t in texts]
-    words = [_word(c) for c in index.words()]
-    number = numbers(words)
-    blank = np.full(SIDE, VOCABULARY, np.int64)
-    line = np.concatenate([blank, *(x for s in seen for x in (number[s], blank))])
-    return line, np.flatnonzero(line != VOCABULARY), np.fromiter(map(len, seen), np.int64, len(seen)), words, np.concatenate([np.zeros(0, np.int64), *seen]).astype(np.int64)
+    places = np.arange(len(number)) + SIDE * (1 + np.repeat(np.arange(len(sizes)), sizes))
+    line = np.full(len(number) + SIDE * (len(sizes) + 1), VOCABULARY, np.int64)
+    line[places] = number
+    return line, places
 
 
 def _around(line: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([line[at + k] for k in _AROUND], axis=1)
 
 
-def _rounds(texts: list[str], sizes: np.ndarray) -> np.ndarray:
+def _rounds(seeds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The round that masks each word, by a hash of its text and its position there."""
-    start = np.fromiter((zlib.crc32(t.encode()) for t in texts), np.uint64, len(texts))
+    start = seeds.astype(np.uint64)
     position = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     mixed = (np.repeat(start, sizes) + position.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -263,9 +288,9 @@ def _train(numbers: Broadcast, flat: Broadcast, number: int) -> Callable[[Iterat
         net, squares = Network(flat.value.copy()), Network(np.zeros(Network.size(), np.float32))
         rng = np.random.default_rng(number)
         learned = 0
-        for _, texts in blocks(batches, BLOCK_CHARS):
-            line, places, sizes, *_ = _sequences(texts, numbers.value)
-            masked = rng.permutation(places[_rounds(texts, sizes) == number])
+        for _, sizes, seeds, words, seen in _unpacked(batches):
+            line, places = _sequences(sizes, numbers.value(words)[seen])
+            masked = rng.permutation(places[_rounds(seeds, sizes) == number])
             for k in range(0, len(masked), BATCH):
                 at = masked[k : k + BATCH]
                 net.learn(_around(line, at), line[at], squares)
@@ -291,15 +316,15 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), values], ["piece", "change"])
 
 
-def learn(docs: DataFrame, words: Vocabulary) -> np.ndarray:
-    """Parameters from all texts. Their size is fixed, whatever the corpus."""
-    spark = docs.sparkSession
+def learn(texts: DataFrame, words: Vocabulary) -> np.ndarray:
+    """Parameters from all numbered texts. Their size is fixed, whatever the corpus."""
+    spark = texts.sparkSession
     sent = spark.sparkContext.broadcast(words)
     flat = Network.start(words.counts).flat
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for k in range(ROUNDS):
         start = spark.sparkContext.broadcast(flat)
-        copies = docs.select("text").mapInArrow(_train(sent, start, k), "piece int, weight double, change array<float>")
+        copies = texts.mapInArrow(_train(sent, start, k), "piece int, weight double, change array<float>")
         mean = copies.repartition(n, "piece").mapInArrow(_average, "piece int, change array<float>").toArrow()
         flat = flat.copy()
         for piece, change in zip(mean.column("piece").to_pylist(), mean.column("change"), strict=True):
@@ -318,17 +343,17 @@ def _score(numbers: Broadcast, flat: Broadcast) -> Callable[[Iterator[pa.RecordB
         _one_blas_thread()
         net = Network(flat.value)
         block = TaskContext.get().partitionId() << 32
-        for rows, texts in blocks(batches, BLOCK_CHARS):
-            line, places, sizes, words, seen = _sequences(texts, numbers.value)
+        for ids, sizes, _, words, seen in _unpacked(batches):
+            line, places = _sequences(sizes, numbers.value(words)[seen])
             found = [net.log_probabilities(_around(line, at), line[at]) for at in (places[k : k + SCORED_AT_ONCE] for k in range(0, len(places), SCORED_AT_ONCE))]
             upto = np.concatenate(([0.0], np.cumsum(np.concatenate([np.zeros(0), *found]))))
             ends = np.cumsum(sizes)
-            n, none = len(texts), [None] * len(texts)
+            n, none = len(ids), [None] * len(ids)
             yield _half_scored(
-                [block] * n, range(n), column(rows, "doc_id"), sizes, upto[ends] - upto[ends - sizes], none, none, none
+                [block] * n, range(n), ids, sizes, upto[ends] - upto[ends - sizes], none, none, none
             )
             rare = line[places] >= VOCABULARY - RARE
-            pairs, times = np.unique(seen[rare] * n + np.repeat(np.arange(n), sizes)[rare], return_counts=True)
+            pairs, times = np.unique(seen[rare].astype(np.int64) * n + np.repeat(np.arange(n), sizes)[rare], return_counts=True)
             which, first = np.unique(pairs // n, return_index=True)
             none = [None] * len(which)
             starts = pa.array(np.append(first, len(pairs)), pa.int32())
@@ -365,12 +390,12 @@ def scored(docs: DataFrame) -> DataFrame:
     texts, and texts of white space alone, have no words and 0 for both. An empty table gives no rows; other columns
     are not looked at.
     """
-    counts = word_counts(docs)
+    texts = numbered(docs)
+    counts = word_counts(texts)
     words = vocabulary(docs, counts)
-    flat = learn(docs, words)
+    flat = learn(texts, words)
     context = docs.sparkSession.sparkContext
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    half = stored(rows.mapInArrow(_score(context.broadcast(words), context.broadcast(flat)), _HALF_SCORED), "half-scored")
+    half = stored(texts.mapInArrow(_score(context.broadcast(words), context.broadcast(flat)), _HALF_SCORED), "half-scored")
     totals = F.array([F.lit(float(max(1, n))) for n in words.rest])
     shares = counts.select("word", (F.log("n") - F.log(F.element_at(totals, _shared_entry() + 1))).alias("log_share"))
     outside = half.filter("place is null").select("block", "word", "rows", "times").join(shares, "word")

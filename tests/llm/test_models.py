@@ -213,7 +213,45 @@ def test_every_word_is_learned_once_over_the_rounds(monkeypatch):
     start = lm_score.Network.start(numbers.counts).flat
     for k in range(lm_score.ROUNDS):
         before = sum(map(len, learned))
-        found = list(lm_score._train(Sent(value=numbers), Sent(value=start), k)(iter([pa.record_batch({"text": pa.array(texts)})])))
+        blocks = lm_score._numbered(iter([pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})]))
+        found = list(lm_score._train(Sent(value=numbers), Sent(value=start), k)(blocks))
         weights += found[0].column("weight")[0].as_py()
         assert 0.4 < (sum(map(len, learned)) - before) / len(words) < 0.6
     assert Counter(x for part in learned for x in part) == Counter(range(len(words))) and weights == len(words)
+
+
+def test_numbered_blocks_hold_all_words_of_all_texts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm_score, "BLOCK_CHARS", 20)
+    texts = ["One, two", None, "", " \t", "two two (one) !!", "x " * 40, "\u00e9t\u00e9 two"]
+    ids = [3, None, 3, 5, 7, 8, 9]
+    got = []
+    for found, sizes, seeds, words, seen in lm_score._unpacked(lm_score._numbered(iter([pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts)})]))):
+        assert len(set(words)) == len(words) and sizes.sum() == len(seen)
+        ends = np.cumsum(sizes)
+        got += [(i, int(s), [words[k] for k in seen[e - n : e]]) for i, s, n, e in zip(found.to_pylist(), seeds, sizes, ends, strict=True)]
+    want = [(i, zlib.crc32((t or "").encode()), [lm_score._word(c) for c in (t or "").encode().split()]) for i, t in zip(ids, texts, strict=True)]
+    assert got == want
+
+
+def test_slope_of_a_step_equals_differences_of_the_loss():
+    rng = np.random.default_rng(5)
+    counts = rng.integers(1, 50, lm_score.VOCABULARY).astype(float)
+    around, words = rng.integers(0, lm_score.VOCABULARY, (40, 4)), rng.integers(0, lm_score.VOCABULARY, 40)
+    around[:, 0] = 17
+    net, squares = lm_score.Network.start(counts), lm_score.Network(np.zeros(lm_score.Network.size(), np.float32))
+    net.to_class[:] = rng.normal(0, 0.3, net.to_class.shape)
+    net.to_word[:] = rng.normal(0, 0.3, net.to_word.shape)
+    start = lm_score.Network(net.flat.astype(np.float64))
+    net.learn(around, words, squares)
+    # The first step of Adagrad leaves the squared slope in `squares` and goes against its sign.
+    for name, at in (("embed", (17, 3)), ("place", (0, 5)), ("to_class", (2, 9)), ("class_bias", (4,)), ("to_word", (int(words[0]) // 64, 7, int(words[0]) % 64)), ("word_bias", (int(words[1]) // 64, int(words[1]) % 64))):
+        losses = []
+        for change in (1e-5, -1e-5):
+            moved = lm_score.Network(start.flat.copy())
+            getattr(moved, name)[at] += change
+            losses.append(-moved.log_probabilities(around, words).sum())
+        slope = (losses[0] - losses[1]) / 2e-5
+        assert getattr(squares, name)[at] == pytest.approx(slope**2, rel=1e-2, abs=1e-6)
+        assert np.sign(getattr(net, name)[at] - getattr(start, name)[at]) == -np.sign(slope)
