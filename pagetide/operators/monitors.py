@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -333,8 +335,8 @@ def with_business_text(alerts: DataFrame) -> DataFrame:
     return alerts.withColumn("business_summary", summary).withColumn("recommended_actions", actions)
 
 
-def alert_payloads(alerts: DataFrame) -> DataFrame:
-    """The JSON body of each alert."""
+def alert_payloads(alerts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The JSON body of each alert, beside the columns of alerts named in keep."""
     body = F.struct(
         F.lit("monitor_alert").alias("event"),
         F.struct("monitor_id", "name", "url", "profile.scenario_label", "profile.alert_focus", "profile.notify_on").alias("monitor"),
@@ -344,4 +346,4 @@ def alert_payloads(alerts: DataFrame) -> DataFrame:
         ).alias("alert"),
         F.struct("task_id", "status").alias("task"),
     )
-    return alerts.select("tenant_id", "monitor_id", "task_id", F.to_json(body).alias("payload"))
+    return alerts.select("tenant_id", "monitor_id", "task_id", *keep, F.to_json(body).alias("payload"))

@@ -132,10 +132,9 @@ def all_alert_texts(spark, sf):
 
 
 def _alert_texts(rows):
-    bodies = M.alert_payloads(rows).select("tenant_id", "monitor_id", "task_id", F.get_json_object("payload", "$.event").alias("event"))
-    return rows.select("tenant_id", "run_id", "task_id", "monitor_id", F.col("business_summary").alias("quiet_summary")).join(
-        bodies, ["tenant_id", "monitor_id", "task_id"]
-    ).select("run_id", "monitor_id", "quiet_summary", "event")
+    return M.alert_payloads(rows, keep=["run_id", "business_summary"]).select(
+        "run_id", "monitor_id", F.col("business_summary").alias("quiet_summary"), F.get_json_object("payload", "$.event").alias("event")
+    )
 
 
 # ---------------------------------------------------------------- notifications
