@@ -1,8 +1,11 @@
 """Page cleaning and hints on small pages."""
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
+from pagetide.functions import page_tree
 from pagetide.operators import hints as H
 from pagetide.operators import pages as P
 
@@ -165,3 +168,34 @@ def test_rows_of_a_long_table_take_linear_time(spark):
 
     seconds(500)
     assert seconds(16_000) < 5 * seconds(8_000) + 2
+
+
+def test_only_a_piece_of_a_batch_is_nodes_at_a_time(monkeypatch):
+    monkeypatch.setattr(page_tree, "PIECE_CHARS", 100)
+    texts = pa.array(["x" * 40] * 5 + [None, "", "y" * 300, "z"])
+    parsed = []
+
+    def parse(text):
+        parsed.append(text)
+        return len(text or "")
+
+    out = page_tree._in_pieces(iter([texts, texts.slice(0, 0)]), pc.utf8_length, parse, pa.int32())
+    assert next(out).to_pylist() == [40, 40] and len(parsed) == 2
+    rest = [a.to_pylist() for a in out]
+    assert rest == [[40, 40], [40, 0, 0], [300], [1], []]
+
+
+def test_pages_in_pieces_are_those_of_one_batch(spark):
+    html = [None, "", PAGE, "<p a=1>x" * 30, "<div>" * 3] * 40
+    rows = spark.createDataFrame(list(enumerate(html)), "page_id LONG, html STRING").repartition(2)
+
+    def trees():
+        return {r["page_id"]: r["tree"] for r in rows.withColumn("tree", page_tree.page_tree(F.col("html"))).collect()}
+
+    whole = trees()
+    page_tree.PIECE_CHARS, before = 50, page_tree.PIECE_CHARS
+    try:
+        assert trees() == whole and len(whole) == 200
+    finally:
+        page_tree.PIECE_CHARS = before
+    assert whole[0]["elements"] == [] and whole[3]["elements"][0]["attrs"] == {} and whole[2]["elements"][0]["tag"] == "html"
