@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,9 @@ _NTZ = "TIMESTAMP '1970-01-01 00:00:00'"
 
 
 PARTS = 6
-_FOLDERS: dict[tuple[str, str, str], str] = {}
+# Rows of a part that one file holds, about.
+FILE_ROWS = 500_000
+_FOLDERS: dict[tuple[str, str, str], tuple[str, int]] = {}
 
 
 def whole_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,15 +31,29 @@ def whole_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, sf_dir: str, part: str = "(day(ts) - 1) div 5") -> DataFrame:
-    """The events as a stream of several micro-batches: files written one after the other, by the number of a part."""
+    """The events as a stream of several micro-batches: files written one after the other, by the number of a part.
+
+    Every part has the same number of files, so a micro-batch is one whole part, however large the table is. A part cut
+    into several would have its rows come in the order of its files, not in that of the log.
+    """
     events = V.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     key = (spark.sparkContext.applicationId, sf_dir, part)
     if key not in _FOLDERS:
-        folder = shared_folder(spark, "event-parts")
-        for number in range(PARTS):
-            events.where(F.expr(f"least({part}, {PARTS - 1})") == number).write.mode("append").parquet(folder)
-        _FOLDERS[key] = folder
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(_FOLDERS[key])
+        number = F.expr(f"least({part}, {PARTS - 1})")
+        rows = [r["count"] for r in events.where(number.between(0, PARTS - 1)).groupBy(number.alias("part")).count().collect()]
+        files = max(1, -(-max(rows, default=0) // FILE_ROWS))
+        _FOLDERS[key] = write_parts((events.where(number == k) for k in range(PARTS)), shared_folder(spark, "event-parts"), files), files
+    folder, files = _FOLDERS[key]
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def write_parts(parts: Iterable[DataFrame], folder: str, files: int) -> str:
+    """Write the parts one after the other, each as so many files; those without rows count."""
+    for k, part in enumerate(parts, start=1):
+        part.repartition(files).write.mode("append").parquet(folder)
+        for _ in range(k * files - len(part.sparkSession.read.schema(part.schema).parquet(folder).inputFiles())):
+            part.sparkSession.createDataFrame([], part.schema).coalesce(1).write.mode("append").parquet(folder)
+    return folder
 
 
 def _k():

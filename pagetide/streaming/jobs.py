@@ -114,12 +114,21 @@ def change_log(runs: DataFrame, folder: str, remembered_ms: int = REMEMBERED_MS)
     spark = runs.sparkSession
 
     def within(batch: DataFrame, batch_id: int) -> None:
+        # The payloads are parsed once; what is compared is read three times.
+        staged = f"{folder}/successes/batch={batch_id}"
+        document = F.struct("doc.data", "doc.field_labels").alias("doc")
+        parsed = typed_runs(batch).where(F.col("status") == "success").select(
+            "tenant_id", "url", "run_id", "task_id", "status", "completed_at", document, "entries"
+        )
+        parsed.write.mode("overwrite").parquet(staged)
+        batch = batch.sparkSession.read.schema(parsed.schema).parquet(staged)
         inner = explode_changes(compare_with_previous(batch)).select(*_CHANGED)
         inner.write.mode("overwrite").parquet(f"{folder}/within/batch={batch_id}")
         run = F.struct("run_id", "task_id", "fields_json")
         ends = _successes(batch).groupBy("tenant_id", "url").agg(F.min_by(run, "run_id").alias("a"), F.max_by(run, "run_id").alias("z"))
         chains = ends.select("tenant_id", "url", "a.*", F.col("z.run_id").alias("last_id"), F.col("z.fields_json").alias("last_json"))
         chains.write.mode("overwrite").parquet(f"{folder}/chains/batch={batch_id}")
+        remove(batch.sparkSession, staged)
 
     runs.writeStream.foreachBatch(within).option("checkpointLocation", f"{folder}/within-checkpoint").trigger(availableNow=True).start().awaitTermination()
     schema = "tenant_id STRING, url STRING, run_id BIGINT, task_id STRING, fields_json STRING, last_id BIGINT, last_json STRING"

@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from pagetide.plans import stream_queries
 from pagetide.streaming import jobs as J
 from pagetide.streaming.merged import MergedTable
 from pagetide.streaming.state import numbered_below
@@ -67,3 +68,20 @@ def test_sessions_from_days(spark):
         ("a", "2024-01-01 05:00:00", "2024-01-29 07:00:00", 5), ("a", "2024-01-29 07:00:00", "2024-02-12 07:00:00", 1),
         ("b", "2024-01-02 00:00:00", "2024-01-16 00:00:00", 1),
     ]
+
+
+def test_a_micro_batch_is_a_whole_part_of_the_events(spark, tmp_path, monkeypatch):
+    """A part of several files is one batch: cut up, its files would come in any order, and rows before the mark be late."""
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 40)
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(mins=F.col("id").cast("int") * 30)
+    events = spark.range(1400).select(
+        F.col("id").alias("event_id"), at.alias("ts"), (F.col("id") % 7).alias("user_id"), F.lit("click").alias("event_type"),
+        F.col("id").cast("double").alias("value"), F.lit('{"k": 1}').alias("props"),
+    )
+    # Days 21 to 25 are empty, and a part has its rows in several files of the table, the late ones first.
+    events.where("day(ts) NOT BETWEEN 21 AND 25").orderBy(F.desc("ts")).repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    seen = []
+    stream = stream_queries.event_stream(spark, str(tmp_path))
+    query = stream.writeStream.foreachBatch(lambda batch, _: seen.append({(r[0] - 1) // 5 for r in batch.select(F.dayofmonth("ts")).distinct().collect()}))
+    query.option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    assert seen == [{0}, {1}, {2}, {3}, set(), {5}]
