@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from pagetide.functions import text as T
-from pagetide.functions.page_tree import DROP_TAGS, _documents, _flatten, _Tree
+from pagetide.functions.page_tree import DROP_TAGS, _documents, _flatten, _Tree, pieces
 
 def _r(pattern: str) -> str:
     return f"r'{pattern}'"
@@ -94,11 +95,11 @@ _HTML_ROW = pa.schema([("key", pa.string()), ("node_no", pa.int32()), ("tag", pa
 _JSON_ROW = pa.schema([("key", pa.string()), ("node_no", pa.int32()), ("parent", pa.int32()), ("via", pa.string()), ("fields", pa.map_(pa.string(), pa.string()))])
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[str | None, str]]:
-    """Key and text of each row: the first two columns; null texts are empty."""
-    keys = batch.column(0).cast(pa.string()).to_pylist()
-    for key, text in zip(keys, batch.column(1).to_pylist(), strict=True):
-        yield key, text or ""
+def _texts(batch: pa.RecordBatch) -> Iterator[list[tuple[str | None, str]]]:
+    """Key and text of each row, piece by piece: the first two columns; null texts are empty."""
+    keys, texts = batch.column(0).cast(pa.string()), batch.column(1).cast(pa.string())
+    for start, rows in pieces(pc.utf8_length(texts)):
+        yield [(k, t or "") for k, t in zip(keys.slice(start, rows).to_pylist(), texts.slice(start, rows).to_pylist(), strict=True)]
 
 
 @F.arrow_udtf(returnType="key STRING, node_no INT, tag STRING, attrs MAP<STRING,STRING>, dropped BOOLEAN")
@@ -106,10 +107,12 @@ class HtmlTable:
     """SELECT * FROM html_table(TABLE(SELECT key, html FROM ...)): the elements of all pages, batch by batch."""
 
     def eval(self, pages: pa.RecordBatch) -> Iterator[pa.Table]:
-        for key, html in _texts(pages):
-            tree = _Tree(frozenset(DROP_TAGS))
-            tree.feed(html)
-            rows = [(key, e["no"], e["tag"], e["attrs"], e["dropped_by"] >= 0) for e in tree.finish()[0]]
+        for piece in _texts(pages):
+            rows = []
+            for key, html in piece:
+                tree = _Tree(frozenset(DROP_TAGS))
+                tree.feed(html)
+                rows += [(key, e["no"], e["tag"], e["attrs"], e["dropped_by"] >= 0) for e in tree.finish()[0]]
             if rows:
                 yield _table(rows, _HTML_ROW)
 
@@ -119,9 +122,9 @@ class JsonTable:
     """SELECT * FROM json_table(TABLE(SELECT key, json FROM ...)): the objects of all documents, batch by batch."""
 
     def eval(self, documents: pa.RecordBatch) -> Iterator[pa.Table]:
-        for key, document in _texts(documents):
-            nodes = (n for value in _documents("whole", document.strip()) for n in _flatten(value))
-            rows = [(key, n["no"], n["parent"], n["via"], n["fields"]) for n in nodes]
+        for piece in _texts(documents):
+            nodes = ((key, n) for key, text in piece for value in _documents("whole", text.strip()) for n in _flatten(value))
+            rows = [(key, n["no"], n["parent"], n["via"], n["fields"]) for key, n in nodes]
             if rows:
                 yield _table(rows, _JSON_ROW)
 

@@ -229,7 +229,7 @@ def sql_json_nodes(spark, sf):
     brand = F.when(F.col("p_partkey") % 3 != 0, F.struct(F.col("p_brand").alias("name")))
     offer = F.array(F.struct(F.col("p_size").alias("price")))
     document = F.to_json(F.struct(F.col("p_name").alias("name"), offer.alias("offers"), brand.alias("brand")))
-    V.table(spark, sf, "part").select("p_partkey", document.alias("document")).createOrReplaceTempView("json_input")
+    V.wide_table(spark, sf, "part").select("p_partkey", document.alias("document")).createOrReplaceTempView("json_input")
     return spark.sql(
         "SELECT key, node_no, parent, via, fields['name'] AS name, fields['price'] AS price "
         "FROM json_table(TABLE(SELECT p_partkey, document FROM json_input))"
