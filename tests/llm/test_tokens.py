@@ -1,10 +1,12 @@
 import base64
+import gc
 import hashlib
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -115,3 +117,14 @@ def test_repeated_ids_spread_over_files_in_one_order(spark):
     place = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in rows)
     assert [p[2] for p in place] == sorted(r["doc_id"] for r in rows)
     assert all(a[0] + a[1] == b[0] for a, b in zip(place, place[1:], strict=False))
+
+
+def test_no_cycles_are_looked_for_while_token_files_are_encoded():
+    class Sent:
+        value = library(token_files.MODEL).to_str()
+
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["One, two", None], "text_hash": [5, 6]})
+    encode = token_files._encode(Sent, np.zeros(0, np.int64), token_files.END_ID)
+    for batch in encode(iter([rows])):
+        assert not gc.isenabled() and len(batch.column("ids")[1]) == 1
+    assert gc.isenabled()
