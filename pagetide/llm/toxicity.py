@@ -121,9 +121,9 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int
     chosen = chosen.join(docs.select(ids), "doc_id", "left_semi").orderBy("place").limit(SAMPLE_DOCUMENTS)
     # At most SAMPLE_DOCUMENTS ids are broadcast; the texts stay where they are read.
     rows = docs.select(ids, "text").join(F.broadcast(chosen), "doc_id").select("place", "toxic", F.xxhash64("text").alias("text_hash"), "text")
-    hashed = rows.mapInArrow(_hashed, "place string, toxic int, text_hash long, features array<int>")
+    hashed = rows.mapInArrow(releasing(_hashed), "place string, toxic int, text_hash long, features array<int>")
     one = hashed.groupBy("place").agg(F.min_by(F.struct("toxic", "features"), "text_hash").alias("one")).select("place", "one.toxic", "one.features")
-    fitted = one.coalesce(1).sortWithinPartitions("place").mapInArrow(_fit, "feature int, weight double")
+    fitted = one.coalesce(1).sortWithinPartitions("place").mapInArrow(releasing(_fit), "feature int, weight double")
     weights = np.zeros((1 << HASH_BITS) + 1, np.float32)
     table = fitted.toArrow()
     weights[table.column("feature").to_numpy()] = table.column("weight").to_numpy()

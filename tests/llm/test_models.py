@@ -255,3 +255,11 @@ def test_slope_of_a_step_equals_differences_of_the_loss():
         slope = (losses[0] - losses[1]) / 2e-5
         assert getattr(squares, name)[at] == pytest.approx(slope**2, rel=1e-2, abs=1e-6)
         assert np.sign(getattr(net, name)[at] - getattr(start, name)[at]) == -np.sign(slope)
+
+
+def test_the_fit_of_toxicity_hands_its_memory_back(spark, monkeypatch):
+    wrapped = []
+    monkeypatch.setattr(toxicity, "releasing", lambda run: wrapped.append(run.__name__) or run)
+    docs = spark.createDataFrame([(k, f"w{k % 2} w{k % 2} v") for k in range(40)], "doc_id LONG, text STRING")
+    toxicity.learn(docs, docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic"))
+    assert wrapped == ["_hashed", "_fit"]
