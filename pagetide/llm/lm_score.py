@@ -20,11 +20,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.llm.common import stored
-from pagetide.llm.words import WordIndex, blocks, column, pack_numbers, unpack_numbers
+from pagetide.llm.words import WordIndex, blocks, column, gather, pack_numbers, pack_words, unpack_numbers, unpack_words
 
 CLASSES = 64
 CLASS_WORDS = 64
@@ -39,11 +39,16 @@ RATE = 0.3
 BATCH = 8192
 # The network's outputs are held within this on either side.
 LARGEST = np.float32(60)
-SCORED_AT_ONCE = 1 << 15
+SCORED_AT_ONCE = 1 << 13
 PIECE = 1 << 14
 BLOCK_CHARS = 1 << 23
+# Words are counted in so many buckets at least, and in more where there are more blocks to a bucket.
+BUCKETS = 32
+BLOCKS_A_BUCKET = 8
 _AROUND = tuple(k for k in range(-SIDE, SIDE + 1) if k)
 _EDGES = string.punctuation.encode()
+# Names of glibc's mallopt.
+_TRIM_THRESHOLD, _MMAP_THRESHOLD = -1, -3
 
 
 def _word(chunk: bytes) -> bytes:
@@ -78,7 +83,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.
         for k in range(batch.num_rows):
             ids, sizes, seeds, words = (batch.column(c)[k].values for c in ("ids", "sizes", "seeds", "words"))
             seen = unpack_numbers(batch.column("seen")[k].as_py())
-            yield ids, sizes.to_numpy().astype(np.int64), seeds.to_numpy(), words.to_pylist(), seen
+            yield ids, sizes.to_numpy().astype(np.int64), seeds.to_numpy(), words.to_numpy(zero_copy_only=False).tolist(), seen
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -87,10 +92,51 @@ def numbered(docs: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(_numbered, _NUMBERED), "numbered")
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, _, _, words, seen in _unpacked(batches):
-        n = np.bincount(seen, minlength=len(words)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n)], ["word", "n"])
+def _by_bucket(words: list[bytes], buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket of words that has any, with the places of its words; a hash deals them out."""
+    bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) // RARE % buckets
+    order = np.argsort(bucket, kind="stable")
+    for b, part in _slices(bucket[order]):
+        yield b, order[part]
+
+
+_COUNTED = "bucket int, words binary, n binary"
+
+
+def _count(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, words, seen in _unpacked(batches):
+            n = np.bincount(seen, minlength=len(words))
+            found = [(b, pack_words([words[k] for k in at.tolist()]), pack_numbers(n[at])) for b, at in _by_bucket(words, buckets)]
+            if found:
+                columns = zip(zip(*found, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["bucket", "words", "n"])
+
+    return run
+
+
+_TOTALS = "bucket int, words binary, n binary, top array<binary>, top_n array<long>, entries array<long>"
+
+
+def _total(table: pa.Table) -> pa.Table:
+    """Of one bucket: its distinct words with their counts over all blocks (64 bits each), the most frequent of them,
+    ties by their bytes, and the sums for the shared entries."""
+    index = WordIndex()
+    number = np.concatenate([index(unpack_words(w)) for w in table["words"].to_pylist()])
+    times = np.concatenate([unpack_numbers(n) for n in table["n"].to_pylist()])
+    words = index.words()
+    n = np.bincount(number, times, len(words)).astype(np.int64)
+    wanted = min(VOCABULARY - RARE, len(words))
+    least = np.partition(n, len(n) - wanted)[len(n) - wanted]
+    top = sorted((-int(n[k]), words[k]) for k in np.flatnonzero(n >= least).tolist())[:wanted]
+    entries = np.bincount(_entries(words), n, RARE).astype(np.int64)
+    values = {"words": pack_words(words), "n": n.tobytes(), "top": [w for _, w in top], "top_n": [-k for k, _ in top], "entries": entries.tolist()}
+    return pa.table({"bucket": table["bucket"][:1], **{name: [v] for name, v in values.items()}})
+
+
+def _entries(words: list[bytes]) -> np.ndarray:
+    """The shared entry that stands for each word if it is a rare one."""
+    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % RARE
 
 
 class Vocabulary:
@@ -111,55 +157,53 @@ class Vocabulary:
         return np.array([self.number.get(w, -1) if w in self.number else rare + zlib.crc32(w) % RARE for w in words], np.int64).reshape(-1)
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) for every word of the numbered texts, stored."""
-    counted = texts.mapInArrow(_count, "word binary, n long")
-    return stored(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
+def _buckets(texts: DataFrame) -> int:
+    return max(BUCKETS, texts.count() // BLOCKS_A_BUCKET)
 
 
-def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
-    """From the counts of all words; the driver gets the VOCABULARY - RARE most frequent, ties by their bytes.
+def word_counts(texts: DataFrame) -> DataFrame:
+    """How often each word occurs in the numbered texts, as a row for each bucket of words, stored.
 
-    Only words at least as frequent as the class of counts (an eighth of a doubling wide) in which the last of them
-    falls are sorted.
+    Blocks send their words packed, so that Spark moves a row for each block and bucket, not for each word; a bucket
+    meets as many words as BLOCKS_A_BUCKET blocks hold, or, of few blocks, fewer.
     """
-    wanted = VOCABULARY - RARE
+    buckets = _buckets(texts)
+    counted = texts.mapInArrow(_count(buckets), _COUNTED)
+    return stored(counted.groupBy("bucket").applyInArrow(_total, _TOTALS), "words")
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
+    """From the counts of all words; the driver gets the VOCABULARY - RARE most frequent, ties by their bytes."""
     counts = word_counts(numbered(docs)) if counts is None else counts
-    size = F.floor(F.log2("n") * 8).cast("int")
-    classes = sorted((tuple(r) for r in counts.groupBy(size.alias("size")).agg(F.count("*"), F.sum("n")).collect()), reverse=True)
-    upto = np.cumsum([n for _, n, _ in classes])
-    lowest = classes[min(int(np.searchsorted(upto, wanted)), len(classes) - 1)][0] if classes else 0
-    top = counts.filter(size >= lowest).orderBy(F.desc("n"), "word").limit(wanted).collect()
+    most = counts.select(F.explode(F.arrays_zip("top", "top_n")).alias("w")).select(F.col("w.top").alias("word"), F.col("w.top_n").alias("n"))
+    top = most.orderBy(F.desc("n"), "word").limit(VOCABULARY - RARE).collect()
     rest = np.zeros(RARE)
-    for entry, n in counts.groupBy(_shared_entry().alias("entry")).agg(F.sum("n")).collect():
+    for entry, n in counts.select(F.posexplode("entries").alias("entry", "n")).groupBy("entry").agg(F.sum("n")).collect():
         rest[entry] = n
     for r in top:
         rest[zlib.crc32(r["word"]) % RARE] -= r["n"]
     return Vocabulary([bytes(r["word"]) for r in top], [r["n"] for r in top], rest)
 
 
-def _shared_entry() -> Column:
-    return (F.crc32("word") % RARE).cast("int")
-
-
 class Network:
-    """Parameters in one array; the named parts are views of it."""
+    """Parameters in one array; the named parts are views of it. The biases are the last rows of to_class and to_word."""
 
     def __init__(self, flat: np.ndarray):
         self.flat = flat
         shapes = {
-            "embed": (VOCABULARY + 1, WIDTH), "place": (len(_AROUND), WIDTH), "to_class": (WIDTH, CLASSES), "class_bias": (CLASSES,),
-            "to_word": (CLASSES, WIDTH, CLASS_WORDS), "word_bias": (CLASSES, CLASS_WORDS),
+            "embed": (VOCABULARY + 1, WIDTH), "place": (len(_AROUND), WIDTH), "to_class": (WIDTH + 1, CLASSES),
+            "to_word": (CLASSES, WIDTH + 1, CLASS_WORDS),
         }
         at = 0
         for name, shape in shapes.items():
             size = int(np.prod(shape))
             setattr(self, name, flat[at : at + size].reshape(shape))
             at += size
+        self.class_bias, self.word_bias = self.to_class[-1], self.to_word[:, -1]
 
     @staticmethod
     def size() -> int:
-        return (VOCABULARY + 1) * WIDTH + len(_AROUND) * WIDTH + WIDTH * CLASSES + CLASSES + VOCABULARY * (WIDTH + 1)
+        return (VOCABULARY + 1) * WIDTH + len(_AROUND) * WIDTH + (WIDTH + 1) * (CLASSES + VOCABULARY)
 
     @classmethod
     def start(cls, counts: np.ndarray) -> Network:
@@ -173,18 +217,25 @@ class Network:
         net.word_bias[:] = np.log(by_class / by_class.sum(axis=1, keepdims=True))
         return net
 
-    def hidden(self, around: np.ndarray) -> np.ndarray:
-        return np.einsum("njw,jw->nw", self.embed.take(around, axis=0), self.place)
+    def hidden(self, context: np.ndarray) -> np.ndarray:
+        """Of each row of vectors around a word; behind it a one, for the bias."""
+        h = np.ones((len(context), WIDTH + 1), self.flat.dtype)
+        np.einsum("njw,jw->nw", context, self.place, out=h[:, :WIDTH])
+        return h
+
+    def within_class(self, h: np.ndarray, parts: list[tuple[int, slice]]) -> np.ndarray:
+        """The outputs for the words of each row's class; parts: the classes and where their rows stand."""
+        x = np.empty((len(h), CLASS_WORDS), h.dtype)
+        for c, part in parts:
+            np.matmul(h[part], self.to_word[c], out=x[part])
+        return x
 
     def log_probabilities(self, around: np.ndarray, words: np.ndarray) -> np.ndarray:
         order = np.argsort(_short(words), kind="stable")
-        h, words = self.hidden(around.take(order, axis=0)), words[order]
+        h, words = self.hidden(self.embed.take(around.take(order, axis=0), axis=0)), words[order]
         cls, within = words // CLASS_WORDS, words % CLASS_WORDS
-        found = _log_share(h @ self.to_class + self.class_bias, cls)
-        for c, part in _slices(cls):
-            found[part] += _log_share(h[part] @ self.to_word[c] + self.word_bias[c], within[part])
         out = np.empty(len(words))
-        out[order] = found
+        out[order] = _log_share(h @ self.to_class, cls) + _log_share(self.within_class(h, list(_slices(cls))), within)
         return out
 
     def learn(self, around: np.ndarray, words: np.ndarray, squares: Network) -> None:
@@ -192,26 +243,27 @@ class Network:
 
         The batch is taken in order of its words, so that those of a class stand together.
         """
-        n = len(words)
+        rows = np.arange(len(words))
         order = np.argsort(_short(words), kind="stable")
         around, words = around.take(order, axis=0), words[order]
         context = self.embed.take(around, axis=0)
-        h = np.einsum("njw,jw->nw", context, self.place)
+        h = self.hidden(context)
         cls, within = words // CLASS_WORDS, words % CLASS_WORDS
         slope = Network(np.zeros_like(self.flat))
-        d = _softmax(h @ self.to_class + self.class_bias)
-        d[np.arange(n), cls] -= 1
-        dh = d @ self.to_class.T
-        slope.to_class[:], slope.class_bias[:] = h.T @ d, d.sum(axis=0)
-        for c, part in _slices(cls):
-            own = h[part]
-            d = _softmax(own @ self.to_word[c] + self.word_bias[c])
-            d[np.arange(len(own)), within[part]] -= 1
-            dh[part] += d @ self.to_word[c].T
-            slope.to_word[c], slope.word_bias[c] = own.T @ d, d.sum(axis=0)
-        at = around.ravel()
+        d = _softmax(h @ self.to_class)
+        d[rows, cls] -= 1
+        dh = d @ self.to_class[:-1].T
+        slope.to_class[:] = h.T @ d
+        parts = list(_slices(cls))
+        d = _softmax(self.within_class(h, parts))
+        d[rows, within] -= 1
+        for c, part in parts:
+            own = d[part]
+            dh[part] += own @ self.to_word[c, :-1].T
+            np.matmul(h[part].T, own, out=slope.to_word[c])
+        at, by_width, place = around.T.astype(np.intp).ravel(), dh.T.astype(np.float64), self.place.T.astype(np.float64)
         for w in range(WIDTH):
-            slope.embed[:, w] = np.bincount(at, (dh[:, w, None] * self.place[:, w]).ravel(), VOCABULARY + 1)
+            slope.embed[:, w] = np.bincount(at, np.multiply.outer(place[w], by_width[w]).ravel(), VOCABULARY + 1)
         slope.place[:] = np.einsum("nw,njw->jw", dh, context)
         # The blank beside a text stays zero.
         slope.embed[-1] = 0
@@ -250,8 +302,12 @@ def _slices(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(keys[i]), slice(i, j)
 
 
-def _one_blas_thread() -> None:
-    """Products here are so small that a second OpenBLAS thread only waits, at the CPU time of the first."""
+def _prepare_worker() -> None:
+    """Products here are so small that a second OpenBLAS thread only waits, at the CPU time of the first. Arrays of a step
+    are made again for each step, so freed memory is kept between steps instead of being asked for page by page."""
+    if keep := getattr(ctypes.CDLL(None), "mallopt", None):
+        keep(_MMAP_THRESHOLD, 1 << 22)
+        keep(_TRIM_THRESHOLD, 1 << 25)
     for path in Path(np.__file__).parents[1].glob("numpy.libs/libscipy_openblas*"):
         set_threads = getattr(ctypes.CDLL(str(path)), "scipy_openblas_set_num_threads64_", None)
         if set_threads:
@@ -264,7 +320,7 @@ def _sequences(sizes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.nd
     number: those of the texts' words, one text after the other; sizes: words of each text.
     """
     places = np.arange(len(number)) + SIDE * (1 + np.repeat(np.arange(len(sizes)), sizes))
-    line = np.full(len(number) + SIDE * (len(sizes) + 1), VOCABULARY, np.int64)
+    line = np.full(len(number) + SIDE * (len(sizes) + 1), VOCABULARY, np.uint16)
     line[places] = number
     return line, places
 
@@ -284,7 +340,7 @@ def _rounds(seeds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _train(numbers: Broadcast, flat: Broadcast, number: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _one_blas_thread()
+        _prepare_worker()
         net, squares = Network(flat.value.copy()), Network(np.zeros(Network.size(), np.float32))
         rng = np.random.default_rng(number)
         learned = 0
@@ -332,15 +388,17 @@ def learn(texts: DataFrame, words: Vocabulary) -> np.ndarray:
     return flat
 
 
-_HALF_SCORED = "block long, place int, doc_id long, n_words long, log_likelihood double, word binary, rows array<int>, times array<int>"
+_HALF_SCORED = "block long, place int, doc_id long, n_words long, log_likelihood double, bucket int, words binary, sizes binary, rows binary, times binary"
+_OF_TEXT = {"block": pa.int64(), "place": pa.int32(), "doc_id": pa.int64(), "n_words": pa.int64(), "log_likelihood": pa.float64()}
+_OF_BUCKET = {"bucket": pa.int32(), "words": pa.binary(), "sizes": pa.binary(), "rows": pa.binary(), "times": pa.binary()}
 
 
-def _score(numbers: Broadcast, flat: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows with the network's sum for each text of a block, then a row for each of the block's words outside the
-    vocabulary: in which of its texts it stands, and how often."""
+def _score(numbers: Broadcast, flat: Broadcast, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows with the network's sum for each text of a block, then a row for each bucket of the block's words outside the
+    vocabulary, packed: the words, in how many of its texts each stands, in which, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _one_blas_thread()
+        _prepare_worker()
         net = Network(flat.value)
         block = TaskContext.get().partitionId() << 32
         for ids, sizes, _, words, seen in _unpacked(batches):
@@ -348,37 +406,59 @@ def _score(numbers: Broadcast, flat: Broadcast) -> Callable[[Iterator[pa.RecordB
             found = [net.log_probabilities(_around(line, at), line[at]) for at in (places[k : k + SCORED_AT_ONCE] for k in range(0, len(places), SCORED_AT_ONCE))]
             upto = np.concatenate(([0.0], np.cumsum(np.concatenate([np.zeros(0), *found]))))
             ends = np.cumsum(sizes)
-            n, none = len(ids), [None] * len(ids)
-            yield _half_scored(
-                [block] * n, range(n), ids, sizes, upto[ends] - upto[ends - sizes], none, none, none
-            )
+            n = len(ids)
+            yield _half_scored({"block": [block] * n, "place": range(n), "doc_id": ids, "n_words": sizes, "log_likelihood": upto[ends] - upto[ends - sizes]})
             rare = line[places] >= VOCABULARY - RARE
             pairs, times = np.unique(seen[rare].astype(np.int64) * n + np.repeat(np.arange(n), sizes)[rare], return_counts=True)
-            which, first = np.unique(pairs // n, return_index=True)
-            none = [None] * len(which)
-            starts = pa.array(np.append(first, len(pairs)), pa.int32())
-            lists = [pa.ListArray.from_arrays(starts, pa.array(x, pa.int32())) for x in (pairs % n, times)]
-            yield _half_scored([block] * len(which), none, none, none, none, [words[k] for k in which.tolist()], *lists)
+            which, first, size = np.unique(pairs // n, return_index=True, return_counts=True)
+            outside = [words[k] for k in which.tolist()]
+            packed = []
+            for bucket, at in _by_bucket(outside, buckets):
+                rows, _ = gather(pairs % n, first, size, at)
+                often, _ = gather(times, first, size, at)
+                packed.append((bucket, pack_words([outside[k] for k in at.tolist()]), *map(pack_numbers, (size[at], rows, often))))
+            if packed:
+                yield _half_scored({"block": [block] * len(packed), **dict(zip(_OF_BUCKET, zip(*packed, strict=True), strict=True))})
             block += 1
 
     return run
 
 
-def _half_scored(*columns) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-    arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, ["block", "place", "doc_id", "n_words", "log_likelihood", "word", "rows", "times"])
+def _half_scored(columns: dict[str, Iterable]) -> pa.RecordBatch:
+    """With nulls in the columns that are not given."""
+    types = _OF_TEXT | _OF_BUCKET
+    n = len(columns["block"])
+    arrays = [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items()]
+    return pa.RecordBatch.from_arrays(arrays, list(types))
+
+
+_SHARED = "block long, bucket int, sizes binary, rows binary, times binary, log_shares binary"
+
+
+def _with_shares(rest: np.ndarray) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of one bucket: the blocks' words and the counts of all words; each word's log share in its entry of rest."""
+
+    def run(outside: pa.Table, counts: pa.Table) -> pa.Table:
+        index = WordIndex()
+        words = [w for row in counts["words"].to_pylist() for w in unpack_words(row)]
+        index(words)
+        n = np.frombuffer(b"".join(counts["n"].to_pylist()), np.int64)
+        share = np.log(n) - np.log(np.maximum(1, rest))[_entries(words)]
+        shares = [share[index(unpack_words(row))].tobytes() for row in outside["words"].to_pylist()]
+        return outside.drop_columns("words").append_column("log_shares", pa.array(shares, pa.binary()))
+
+    return run
 
 
 def _add_shares(table: pa.Table) -> pa.Table:
     """Of one block: each text's sum with the log shares of its words outside the vocabulary."""
     of_text = pc.is_valid(table["place"])
-    texts, words = table.filter(of_text).sort_by("place"), table.filter(pc.invert(of_text)).combine_chunks()
-    sums, sizes = texts["log_likelihood"].to_numpy().copy(), texts["n_words"].to_numpy()
-    if words.num_rows:
-        share = np.repeat(words["log_share"].to_numpy(), pc.list_value_length(words["rows"]).to_numpy())
-        np.add.at(sums, pc.list_flatten(words["rows"]).to_numpy(), share * pc.list_flatten(words["times"]).to_numpy())
-    mean = np.round(np.where(sizes > 0, sums / np.maximum(1, sizes), 0.0), 4)
+    texts, packed = table.filter(of_text).sort_by("place"), table.filter(pc.invert(of_text)).sort_by("bucket")
+    sums, n = texts["log_likelihood"].to_numpy().copy(), texts["n_words"].to_numpy()
+    for row in packed.select(["sizes", "rows", "times", "log_shares"]).to_pylist():
+        sizes, rows, times = (unpack_numbers(row[c]) for c in ("sizes", "rows", "times"))
+        sums += np.bincount(rows, np.repeat(np.frombuffer(row["log_shares"]), sizes) * times, len(sums))
+    mean = np.round(np.where(n > 0, sums / np.maximum(1, n), 0.0), 4)
     return pa.table({"doc_id": texts["doc_id"], "n_words": texts["n_words"], "log_likelihood": np.round(sums, 2), "score": mean})
 
 
@@ -395,11 +475,12 @@ def scored(docs: DataFrame) -> DataFrame:
     words = vocabulary(docs, counts)
     flat = learn(texts, words)
     context = docs.sparkSession.sparkContext
-    half = stored(texts.mapInArrow(_score(context.broadcast(words), context.broadcast(flat)), _HALF_SCORED), "half-scored")
-    totals = F.array([F.lit(float(max(1, n))) for n in words.rest])
-    shares = counts.select("word", (F.log("n") - F.log(F.element_at(totals, _shared_entry() + 1))).alias("log_share"))
-    outside = half.filter("place is null").select("block", "word", "rows", "times").join(shares, "word")
+    buckets = _buckets(texts)
+    half = stored(texts.mapInArrow(_score(context.broadcast(words), context.broadcast(flat), buckets), _HALF_SCORED), "half-scored")
+    outside = half.filter("place is null").select("block", "bucket", "words", "sizes", "rows", "times")
+    counted = counts.select("bucket", "words", "n")
+    shares = outside.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(_with_shares(words.rest), _SHARED)
     both = half.filter("place is not null").select("block", "place", "doc_id", "n_words", "log_likelihood").unionByName(
-        outside.select("block", "rows", "times", "log_share"), allowMissingColumns=True
+        shares, allowMissingColumns=True
     )
     return both.groupBy("block").applyInArrow(_add_shares, "doc_id long, n_words long, log_likelihood double, score double")

@@ -235,6 +235,31 @@ def test_numbered_blocks_hold_all_words_of_all_texts(monkeypatch):
     assert got == want
 
 
+def test_words_travel_packed_by_bucket_and_are_counted_over_all_blocks(monkeypatch):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from pagetide.llm.words import unpack_words
+
+    monkeypatch.setattr(lm_score, "BLOCK_CHARS", 2000)
+    rng = random.Random(3)
+    texts = [" ".join(f"w{int(rng.expovariate(0.002))}" for _ in range(300)) for _ in range(12)] + [None, ""]
+    blocks = list(lm_score._numbered(iter([pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})])))
+    sent = pa.Table.from_batches(list(lm_score._count(4)(iter(blocks))))
+    assert len(blocks) > 5 and sent.num_rows <= 4 * len(blocks)
+    want = Counter(w.encode() for t in texts for w in (t or "").split())
+    found, top = {}, []
+    for bucket in range(4):
+        total = lm_score._total(sent.filter(pa.compute.equal(sent["bucket"], bucket))).to_pylist()[0]
+        words = unpack_words(total["words"])
+        assert not set(words) & set(found)
+        found |= zip(words, np.frombuffer(total["n"], np.int64).tolist(), strict=True)
+        top.append(list(zip(total["top"], total["top_n"], strict=True)))
+        assert top[-1] == sorted(zip(words, np.frombuffer(total["n"], np.int64).tolist(), strict=True), key=lambda x: (-x[1], x[0]))
+    assert found == want
+
+
 def test_slope_of_a_step_equals_differences_of_the_loss():
     rng = np.random.default_rng(5)
     counts = rng.integers(1, 50, lm_score.VOCABULARY).astype(float)
