@@ -132,3 +132,28 @@ def test_words_for_missing_stock_go_before_others(spark):
     ):
         s = specialised(spark, f"Blue Widget\nPrice: $12.50\nBrand: Acme\n{words}", "product")
         assert s.data["availability"] == want, words
+
+
+def test_lists_of_words_are_searched_for_word_by_word(spark):
+    lists = [X.NOISE_VALUE, X.NOISE_HEADING, X.PAGE_NOISE, X.JOB_TEXT, X.PRICING_TEXT, X.PRODUCT_TEXT, X.POLICY_TEXT]
+    words = sorted({w.replace("\\", "") for words in lists for w in words.split("|")} | {m for _, marks in X.TYPE_BY_TEXT for m in marks})
+    texts = [None, "", "[...", "[... more", "[xyz more", "skipto", "a\ncookie", "Ünlü İSTANBUL pläne", *words, *[w.upper() for w in words], *[f"x{w[:-1]}" for w in words]]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k INT, text STRING")
+    for pattern in lists:
+        both = rows.selectExpr("text", f"{X._holds('text', pattern)} AS found", f"lower(text) RLIKE r'{pattern}' AS want").collect()
+        assert [r["found"] for r in both] == [r["want"] for r in both]
+        assert " RLIKE " not in X._holds("text", pattern)
+    cases = " ".join(f"WHEN lower(text) RLIKE '{'|'.join(marks)}' THEN '{name}'" for name, marks in X.TYPE_BY_TEXT)
+    both = rows.selectExpr(f"{X._type_by_text('text')} AS found", f"CASE {cases} ELSE 'article' END AS want").collect()
+    assert [r["found"] for r in both] == [r["want"] for r in both] and " RLIKE " not in X._type_by_text("text")
+
+
+def test_notices_are_left_out_of_a_fallback_text(spark):
+    import re
+
+    lines = ["| a row of a table", "plain words that stay here", "参考文献 and more words", "  参见：  ", "# 参见", "x (2024年1月2日) and so on", "此条目需要更多来源来证明", "展开 the whole text", "[编辑] this section", "a | bar in the middle", "été words that stay too", "", None]
+    noise = re.compile("|".join(X.FALLBACK_NOISE))
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate([*lines, "\n".join(t for t in lines if t)])], "k INT, text STRING")
+    for r in rows.withColumn("kept", X.fallback_text()).collect():
+        kept = [x.strip(" ") for x in (r["text"] or "").split("\n") if len(x.strip(" ")) >= X.FALLBACK_LINE and not noise.search(x.strip(" "))]
+        assert r["kept"] == ("\n\n".join(kept) or r["text"])
