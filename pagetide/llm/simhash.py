@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagetide.llm.common import components, one_row_per_root, stored
+from pagetide.llm.common import components, one_row_per_root, releasing, stored
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -64,7 +64,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, code) for each row; code is the fingerprint as a signed long."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(_fingerprint_batches, "doc_id long, text_hash long, code long")
+    return rows.mapInArrow(releasing(_fingerprint_batches), "doc_id long, text_hash long, code long")
 
 
 class _Trie:
